@@ -25,13 +25,25 @@ def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(read(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "source", F.size("draws").alias("draws"))
 
 
+def op8_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .token_shards import token_shards
+
+    return token_shards(read(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .bpe import round_trip
+
+    return round_trip(read(spark, sf_dir, "documents"))
+
+
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .exact_dedup import exact_dedup
 
     return exact_dedup(read(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op4_line_dedup, op6_mixing, op10_exact_dedup)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op4_line_dedup, op6_mixing, op8_token_shards, op9_bpe, op10_exact_dedup)}
 
 SQL: dict[str, str] = {
     # A line goes if it lies in 3 nonblank lines in a row that occur at an earlier place; places by (doc_id, position).
