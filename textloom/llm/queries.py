@@ -12,6 +12,12 @@ from .common import read
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .toxicity import toxicity
+
+    return toxicity(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .line_dedup import line_dedup
 
@@ -43,7 +49,7 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(read(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op4_line_dedup, op6_mixing, op8_token_shards, op9_bpe, op10_exact_dedup)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op3_toxicity, op4_line_dedup, op6_mixing, op8_token_shards, op9_bpe, op10_exact_dedup)}
 
 SQL: dict[str, str] = {
     # A line goes if it lies in 3 nonblank lines in a row that occur at an earlier place; places by (doc_id, position).
