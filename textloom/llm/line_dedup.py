@@ -68,7 +68,8 @@ def line_dedup(docs: DataFrame, w: int = MIN_LINES, emptied: bool = True) -> Dat
     gone = work.save(repeated_lines(docs, work, w), "gone")
     names = docs.columns
     keyed = docs.select(*[F.col(f"`{c}`") for c in names], F.col("doc_id").alias("_d"), F.xxhash64("text").alias("_k"))
-    joined = keyed.join(gone, F.col("_d").eqNullSafe(F.col("_doc")) & (F.col("_k") == F.col("_key")), "left")
+    # Documents always move by key: what goes from the corpus grows with it, so a broadcast would not last.
+    joined = keyed.join(gone.hint("merge"), F.col("_d").eqNullSafe(F.col("_doc")) & (F.col("_k") == F.col("_key")), "left")
     lines = F.split("text", "\n")
     left = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("gone"))
     cut = F.array_join(F.transform(left, lambda i: F.get(F.col("_lines"), i)), "\n")
