@@ -8,10 +8,18 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import read
+from .url_trust import oracle_sql as url_sql
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op2_url_trust(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .url_trust import url_trust
+
+    out = url_trust(read(spark, sf_dir, "pages"))
+    return out.withColumns({c: F.round(c, 9) for c in ("trust", "distrust")})
+
+
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .toxicity import toxicity
 
@@ -31,6 +39,12 @@ def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(read(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "source", F.size("draws").alias("draws"))
 
 
+def op7_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .ann_forest import nearest_neighbours
+
+    return nearest_neighbours(read(spark, sf_dir, "embeddings"))
+
+
 def op8_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .token_shards import token_shards
 
@@ -49,9 +63,10 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(read(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op3_toxicity, op4_line_dedup, op6_mixing, op8_token_shards, op9_bpe, op10_exact_dedup)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op2_url_trust, op3_toxicity, op4_line_dedup, op6_mixing, op7_nearest, op8_token_shards, op9_bpe, op10_exact_dedup)}
 
 SQL: dict[str, str] = {
+    "op2_url_trust": url_sql(),
     # A line goes if it lies in 3 nonblank lines in a row that occur at an earlier place; places by (doc_id, position).
     "op4_line_dedup": r"""
 WITH line AS (
