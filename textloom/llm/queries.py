@@ -33,6 +33,12 @@ def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_lines", "n_removed", F.col("text").alias("kept_text"))
 
 
+def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .suffix_dedup import suffix_dedup
+
+    return suffix_dedup(read(spark, sf_dir, "documents"))
+
+
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .mixing import mix
 
@@ -63,7 +69,7 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(read(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op2_url_trust, op3_toxicity, op4_line_dedup, op6_mixing, op7_nearest, op8_token_shards, op9_bpe, op10_exact_dedup)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op2_url_trust, op3_toxicity, op4_line_dedup, op5_suffix_dedup, op6_mixing, op7_nearest, op8_token_shards, op9_bpe, op10_exact_dedup)}
 
 SQL: dict[str, str] = {
     "op2_url_trust": url_sql(),
