@@ -101,6 +101,25 @@ def batch_of(schema: str, *columns: list) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(x, kinds[t]) for x, t in zip(columns, types, strict=True)], list(names))
 
 
-def blobs_by_pack(answers: DataFrame, *columns: str) -> DataFrame:
-    """One row for each pack with the arrays of its answers' binary columns."""
-    return answers.groupBy("pack").agg(*[F.collect_list(F.struct("bucket", *columns)).alias("answers")])
+def digest_table(packs: DataFrame, work: Workspace) -> DataFrame:
+    """digest, doc_id, pack and nth (its number in the pack) of each document."""
+    schema = "digest binary, doc_id long, pack long, nth int"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for pack, ids, digests in zip(*(batch.column(c) for c in ("pack", "ids", "digests")), strict=True):
+                raw = digests.as_buffer().to_pybytes()
+                n = len(raw) // _DIGEST
+                yield batch_of(schema, [raw[_DIGEST * i : _DIGEST * (i + 1)] for i in range(n)], np.frombuffer(ids.as_buffer(), np.int64), [pack.as_py()] * n, list(range(n)))
+
+    return work.save(packs.select("pack", "ids", "digests").mapInArrow(run, schema), "digests")
+
+
+def first_of_copies(digests: DataFrame) -> DataFrame:
+    """digest and least, the smallest doc_id, of the texts that several documents have."""
+    return digests.groupBy("digest").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("n")).where("n > 1").select("digest", "least")
+
+
+def later_copies(digests: DataFrame, firsts: DataFrame) -> DataFrame:
+    """pack and copies: the numbers of its documents whose whole text a smaller doc_id has."""
+    return digests.join(firsts.hint("merge"), "digest").where("doc_id > least").groupBy("pack").agg(F.collect_list("nth").alias("copies"))

@@ -13,6 +13,12 @@ from .url_trust import oracle_sql as url_sql
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op1_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .near_dedup import near_dedup
+
+    return near_dedup(read(spark, sf_dir, "documents"))
+
+
 def op2_url_trust(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .url_trust import url_trust
 
@@ -69,7 +75,7 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(read(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op2_url_trust, op3_toxicity, op4_line_dedup, op5_suffix_dedup, op6_mixing, op7_nearest, op8_token_shards, op9_bpe, op10_exact_dedup)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_near_dedup, op2_url_trust, op3_toxicity, op4_line_dedup, op5_suffix_dedup, op6_mixing, op7_nearest, op8_token_shards, op9_bpe, op10_exact_dedup)}
 
 SQL: dict[str, str] = {
     "op2_url_trust": url_sql(),
