@@ -249,10 +249,10 @@ def _sha256(texts: pa.Array) -> list[str]:
     return [hashlib.sha256(data[a:b]).hexdigest() for a, b in zip(at[:-1], at[1:], strict=True)]
 
 
-def encode_column(docs: DataFrame, out: str = "ids", name: str = VOCABULARY) -> DataFrame:
-    """`docs` with the array column `out`: the ids of its text."""
+def encode_column(docs: DataFrame, out: str = "ids", keep: list[str] | None = None, name: str = VOCABULARY) -> DataFrame:
+    """The columns `keep` of docs (else all) and the array column `out`: the ids of its text."""
     ship(docs.sparkSession)
-    kept = [c for c in docs.columns if c != out]
+    kept = [c for c in keep or docs.columns if c != out]
     schema = docs.select(*[F.col(f"`{c}`") for c in kept]).schema.add(out, "array<int>")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -13,8 +13,9 @@ least THRESHOLD; classes are the connected components of the links, named by the
 
 Equal texts are one document in 2 and 3 and come back at the end, so copies cost nothing.
 
-The inverse document frequency is damped to between 1 and 1.5: a large group of near copies raises the frequency of its
-own shingles, and undamped weights would then hang on the few words by which its members differ.
+The inverse document frequency is damped to between 1 and 1.2: a large group of near copies raises the frequency of its
+own shingles, and undamped weights would then hang on the few words by which its members differ. Between documents whose
+shingles are about equally frequent the similarity is the plain one.
 
 Defined cases: words are runs of anything but white space; a text of one to four words is one shingle of all its words;
 texts without words are similar to nothing, but equal texts are always of one class; null texts count as empty; a null
@@ -47,6 +48,8 @@ SAMPLES = BANDS * ROWS
 ROUNDS = 4
 #: Bytes of text that a bucket of shingles stands for, and least number of buckets.
 BUCKET_BYTES, LEAST_BUCKETS = 18_000_000, 48
+#: The inverse document frequency lies between 1 and 1 + IDF_RANGE.
+IDF_RANGE = 0.2
 #: Document frequencies are kept as powers of two in steps of an eighth; 0 is a single document.
 STEPS = 8
 #: A shingle's number has so many bits more than the number of shingles has.
@@ -149,7 +152,7 @@ def answer_frequencies(pdf: pd.DataFrame) -> pd.DataFrame:
 
 def idf(code: np.ndarray, documents: int) -> np.ndarray:
     """The damped inverse document frequency of codes."""
-    return 1 + 0.5 * np.log1p(documents / np.exp2(code / STEPS)) / math.log1p(max(1, documents))
+    return 1 + IDF_RANGE * np.log1p(documents / np.exp2(code / STEPS)) / math.log1p(max(1, documents))
 
 
 def sample(ids: np.ndarray, weights: np.ndarray, starts: np.ndarray) -> np.ndarray:
