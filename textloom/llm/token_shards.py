@@ -25,20 +25,23 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from .bpe import VOCABULARY, ChunkCoder, ragged, slices, vocabulary_path
+from .bpe import VOCABULARY, ChunkCoder, WordBpe, ragged, slices, vocabulary_path
 from .common import Workspace, ship, text_or_empty
 
 #: Ids a shard should hold; one task holds a shard in memory.
-SHARD_TOKENS = 2_000_000
+SHARD_TOKENS = 1_000_000
+#: Chunks and words that a worker remembers, words encoded in one call of the library, and bytes worked on together.
+CACHE_CHUNKS, CALL_WORDS, SLICE_BYTES = 400_000, 20_000, 8_000_000
 #: The id appended to each document.
 END_ID = 2
 #: Rounds of replacement, pairs replaced in a round, and how often a pair must occur.
-ROUNDS, ROUND_RULES, LEAST_COUNT = 6, 2500, 16
+ROUNDS, ROUND_RULES, LEAST_COUNT = 4, 4000, 16
+#: Rows of the parts' offsets that are broadcast; more are joined by shuffling.
+MOST_BROADCAST = 50_000
 MAGIC, VERSION = b"TLRP", 1
 HEADER = struct.Struct("<4sIIIIQQQ")
-SHARD = "part int, shard int, n_docs long, n_tokens long, payload binary"
+SHARD = "part int, shard int, n_docs long, n_tokens long, inside long, payload binary"
 DOCUMENT = "doc_id long, start long, n_tokens long, ids_crc32 long"
 
 
@@ -52,12 +55,16 @@ def compress(ids: np.ndarray, first: int, barrier: int) -> tuple[np.ndarray, np.
     for _ in range(ROUNDS):
         if len(seq) < 2:
             break
-        key = seq[:-1].astype(np.uint64) << np.uint64(32) | seq[1:]
-        key[(seq[:-1] == barrier) | (seq[1:] == barrier)] = np.iinfo(np.uint64).max
+        # Two symbols in 32 bits while they are below 2^16, else in 64.
+        wide = first + sum(map(len, rules)) > 1 << 16
+        kind, shift = (np.uint64, 32) if wide else (np.uint32, 16)
+        never = np.iinfo(kind).max
+        key = seq[:-1].astype(kind) << kind(shift) | seq[1:].astype(kind)
+        key[(seq[:-1] == barrier) | (seq[1:] == barrier)] = never
         ordered = np.sort(key)
         edge = np.flatnonzero(np.append(True, ordered[1:] != ordered[:-1]))
         counts, pairs = np.diff(np.append(edge, len(ordered))), ordered[edge]
-        frequent = np.flatnonzero((counts >= LEAST_COUNT) & (pairs != np.iinfo(np.uint64).max))
+        frequent = np.flatnonzero((counts >= LEAST_COUNT) & (pairs != never))
         if not len(frequent):
             break
         chosen = frequent[np.argsort(-counts[frequent], kind="stable")[:ROUND_RULES]]
@@ -65,9 +72,15 @@ def compress(ids: np.ndarray, first: int, barrier: int) -> tuple[np.ndarray, np.
         place = np.argsort(np.argsort(pairs[chosen]))  # of each chosen pair in by_key
         rank_of = np.empty(len(chosen), np.int64)
         rank_of[place] = np.arange(len(chosen))
-        at = np.minimum(np.searchsorted(by_key, key), len(by_key) - 1)
         none = len(chosen)
-        rank = np.append(np.where(by_key[at] == key, rank_of[at], none), none)
+        rank = np.full(len(seq), none)
+        # Only places whose symbols begin and end some chosen pair are looked up.
+        sides = np.zeros((2, int(seq.max()) + 1), bool)
+        sides[0, by_key >> kind(shift)] = True
+        sides[1, by_key & kind((1 << shift) - 1)] = True
+        maybe = np.flatnonzero(sides[0, seq[:-1]] & sides[1, seq[1:]])
+        at = np.minimum(np.searchsorted(by_key, key[maybe]), none - 1)
+        rank[maybe] = np.where(by_key[at] == key[maybe], rank_of[at], none)
         # A pair is replaced where no neighbour has a better rank; equal ranks overlap in runs (aaa), from the left.
         before = np.append(none, rank[:-1])
         after = np.append(rank[1:], none)
@@ -83,7 +96,7 @@ def compress(ids: np.ndarray, first: int, barrier: int) -> tuple[np.ndarray, np.
         number = np.zeros(none, np.int64)
         number[used] = np.arange(len(used))
         base = first + sum(map(len, rules))
-        rules.append(np.stack([pairs[chosen[used]] >> np.uint64(32), pairs[chosen[used]] & np.uint64(0xFFFFFFFF)], 1).astype(np.uint32))
+        rules.append(np.stack([pairs[chosen[used]] >> kind(shift), pairs[chosen[used]] & kind((1 << shift) - 1)], 1).astype(np.uint32))
         seq[where] = (base + number[rank[where]]).astype(np.uint32)
         keep = np.ones(len(seq), bool)
         keep[where + 1] = False
@@ -168,48 +181,62 @@ class Shard:
         return expand(self.symbols[a:b], self.rules, self.first)[skip : skip + n]
 
 
+class LibraryBpe(WordBpe):
+    """Words encoded by the tokenizers library, all new ones of a batch in one call.
+
+    The vocabulary marks the end of each word, so the ids of a call fall apart into its words.
+    """
+
+    def __init__(self, path: str) -> None:
+        super().__init__(path)
+        from tokenizers import Tokenizer
+
+        self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer.no_truncation()
+        self.tokenizer.no_padding()
+        self.ends = np.array([t.endswith(self.end) for t in self.tokens])
+        self.words.most = 2 * CACHE_CHUNKS
+
+    def _call(self, text: str) -> np.ndarray:
+        return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.int64)
+
+    def merge_words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        real = np.array([w != "\n" for w in words])
+        some = [w for w in words if w != "\n"]
+        found: list[tuple[np.ndarray, np.ndarray]] = []
+        for a in range(0, len(some), CALL_WORDS):
+            part = some[a : a + CALL_WORDS]
+            ids = self._call(" ".join(part))
+            last = np.flatnonzero(self.ends[ids])
+            if len(last) != len(part):  # a word that is not one word by itself
+                each = [self._call(w) for w in part]
+                found.append((np.array([len(x) for x in each]), np.concatenate(each)))
+            else:
+                found.append((np.diff(np.append(-1, last)), ids))
+        lengths = np.zeros(len(words), np.int64)
+        if found:
+            lengths[real] = np.concatenate([x for x, _ in found])
+        return lengths, np.concatenate([x for _, x in found]) if found else np.zeros(0, np.int64)
+
+
 @lru_cache(2)
 def _coder(name: str) -> tuple[ChunkCoder, int]:
     """The library's encoder over remembered chunks, and its number of ids."""
-    from tokenizers import Tokenizer
-
-    tokenizer = Tokenizer.from_file(vocabulary_path(name))
-    tokenizer.no_truncation()
-    tokenizer.no_padding()
-    special = [t.content for t in tokenizer.get_added_tokens_decoder().values()]
-    mark = special[0] if special else None
-
-    def one(text: str) -> list[int]:
-        return tokenizer.encode(text, add_special_tokens=False).ids
-
-    def encode(chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """All chunks in one call, parted by a special token; chunks that hold special tokens go one by one."""
-        if mark is None:
-            found = [one(c) for c in chunks]
-            return np.array([len(x) for x in found], np.int64), np.array([i for x in found for i in x], np.int64)
-        held = {i: one(c) for i, c in enumerate(chunks) if "<" in c and any(s in c for s in special)}
-        ids = np.array(one(mark.join("" if i in held else c for i, c in enumerate(chunks))), np.int64)
-        parted = ids == tokenizer.token_to_id(mark)
-        sizes = np.bincount(np.cumsum(parted)[~parted], minlength=len(chunks))
-        ids = ids[~parted]
-        if held:
-            parts = np.split(ids, np.cumsum(sizes)[:-1])
-            for i, own in held.items():
-                parts[i], sizes[i] = np.array(own, np.int64), len(own)
-            ids = np.concatenate(parts)
-        return sizes, ids
-
-    return ChunkCoder(encode), tokenizer.get_vocab_size(with_added_tokens=True)
+    bpe = LibraryBpe(vocabulary_path(name))
+    return ChunkCoder(bpe.encode_chunks, CACHE_CHUNKS), bpe.tokenizer.get_vocab_size(with_added_tokens=True)
 
 
 def write_shards(docs: DataFrame, work: Workspace, name: str = VOCABULARY, table: str = "shards") -> DataFrame:
-    """Writes the shards (SHARD) and reads them. part and shard number them in the order of doc_id."""
+    """Writes the shards (SHARD) and reads them.
+
+    part and shard number them in the order of doc_id; inside counts the ids of the part's shards before.
+    """
     ship(docs.sparkSession)
     key = F.col("doc_id").cast("long").alias("doc_id")
     ordered = docs.select(key, text_or_empty().alias("text")).repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, shard = TaskContext.get().partitionId(), 0
+        part, shard, inside = TaskContext.get().partitionId(), 0, 0
         coder, first = _coder(name)
         doc_ids: list[int | None] = []
         sizes: list[np.ndarray] = []
@@ -218,11 +245,11 @@ def write_shards(docs: DataFrame, work: Workspace, name: str = VOCABULARY, table
 
         def out() -> pa.RecordBatch:
             ids = np.concatenate(parts)
-            row = [part, shard, len(doc_ids), len(ids), Shard.write(ids, doc_ids, np.concatenate(sizes), first)]
-            kinds = [pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.binary()]
-            return pa.RecordBatch.from_arrays([pa.array([x], k) for x, k in zip(row, kinds, strict=True)], ["part", "shard", "n_docs", "n_tokens", "payload"])
+            row = [part, shard, len(doc_ids), len(ids), inside, Shard.write(ids, doc_ids, np.concatenate(sizes), first)]
+            kinds = [pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
+            return pa.RecordBatch.from_arrays([pa.array([x], k) for x, k in zip(row, kinds, strict=True)], ["part", "shard", "n_docs", "n_tokens", "inside", "payload"])
 
-        for batch in slices(batches):
+        for batch in slices(batches, "text", SLICE_BYTES):
             lengths, ids = coder.encode_texts(batch.column("text"))
             starts = np.cumsum(lengths) - lengths
             ended = np.full(len(ids) + len(lengths), END_ID, np.int64)
@@ -233,7 +260,7 @@ def write_shards(docs: DataFrame, work: Workspace, name: str = VOCABULARY, table
             n += len(ended)
             if n >= SHARD_TOKENS:
                 yield out()
-                doc_ids, sizes, parts, n, shard = [], [], [], 0, shard + 1
+                doc_ids, sizes, parts, n, shard, inside = [], [], [], 0, shard + 1, inside + n
         if parts:
             yield out()
 
@@ -244,14 +271,12 @@ def read_shards(shards: DataFrame) -> DataFrame:
     """DOCUMENT of each document, from the shards' bytes."""
     spark = shards.sparkSession
     ship(spark)
-    sizes = shards.select("part", "shard", "n_tokens")
-    earlier = Window.partitionBy("part").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
-    inside = sizes.select("part", "shard", F.coalesce(F.sum("n_tokens").over(earlier), F.lit(0)).alias("inside"))
-    # A row for each partition that wrote, not for each shard.
-    totals = sorted((r["part"], r["n"]) for r in sizes.groupBy("part").agg(F.sum("n_tokens").alias("n")).collect())
+    # A row for each task that wrote: as few as the partitions of one shuffle.
+    totals = sorted((r["part"], r["n"]) for r in shards.groupBy("part").agg(F.sum("n_tokens").alias("n")).collect())
     before = np.append(0, np.cumsum([n for _, n in totals])).tolist()
     bases = spark.createDataFrame([(p, b) for (p, _), b in zip(totals, before, strict=False)], "part int, base long")
-    placed = shards.join(inside, ["part", "shard"]).join(bases, "part").select((F.col("base") + F.col("inside")).alias("start"), "payload")
+    bases = F.broadcast(bases) if len(totals) <= MOST_BROADCAST else bases
+    placed = shards.join(bases, "part").select((F.col("base") + F.col("inside")).alias("start"), "payload")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
