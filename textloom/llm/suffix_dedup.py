@@ -38,7 +38,7 @@ from .packs import NO_ID, Pack, batch_of, make_packs, packs_in, squeeze, unsquee
 LENGTH, GRAM = 50, 20
 SPAN = LENGTH - GRAM + 1
 #: Bytes of text that a bucket of the exchanges stands for, and least number of buckets.
-BUCKET_BYTES, LEAST_BUCKETS = 24_000_000, 48
+BUCKET_BYTES, LEAST_BUCKETS = 8_000_000, 48
 #: Bytes hashed at once, to stay in the processor's cache.
 BLOCK = 1 << 18
 #: Low bits of a window's key that hold the position.
@@ -219,16 +219,18 @@ def sort_suffixes(text: np.ndarray, depth: int) -> np.ndarray:
     n = len(text)
     # small[i]: the suffix at i is smaller than the one at i + 1; in a run of one symbol as after the run.
     change = np.append(text[1:] != text[:-1], True)
-    next_change = np.flatnonzero(change)[np.searchsorted(np.flatnonzero(change), np.arange(n))]
-    after = np.minimum(next_change + 1, n - 1)
-    small = text < text[after]
+    ends = np.flatnonzero(change)
+    run = np.cumsum(change) - change
+    small = (text[ends] < text[np.minimum(ends + 1, n - 1)])[run]
     small[n - 1] = True
+    del change, ends, run
 
     words = -(-depth // 7)
-    padded = np.append(text, np.zeros(7 * words + 7, text.dtype)).astype(np.uint64)
+    padded = np.append(text, np.zeros(7 * words + 7, text.dtype)).astype(np.uint16)
     packed = np.zeros(n + 7 * words, np.uint64)
     for k in range(7):
-        packed = packed << np.uint64(9) | padded[k : k + len(packed)]
+        packed <<= np.uint64(9)
+        packed |= padded[k : k + len(packed)]
     direct = np.flatnonzero(small)
     key = packed[direct]
     order = np.argsort(key, kind="stable")
@@ -251,6 +253,7 @@ def sort_suffixes(text: np.ndarray, depth: int) -> np.ndarray:
         fresh[open_] = step
         group = np.cumsum(np.append(0, (group[1:] != group[:-1]) | (fresh[1:] > 0)))
 
+    del packed, padded, key, group
     symbols = int(text.max()) + 1
     total, smalls = np.bincount(text, minlength=symbols), np.bincount(text[direct], minlength=symbols)
     ends = np.cumsum(total)
@@ -313,9 +316,9 @@ def lost_windows(pdf: pd.DataFrame) -> pd.DataFrame:
     size = np.fromiter(map(len, raw), np.int64, len(raw))
     data = np.frombuffer(b"".join(raw), np.uint8)
     # Pieces end with 0, which stands for no byte.
-    text = np.zeros(len(data) + len(raw), np.int64)
+    text = np.zeros(len(data) + len(raw), np.uint16)
     begin = np.cumsum(size + 1) - size - 1
-    text[ragged(begin, size)] = data.astype(np.int64) + 1
+    text[ragged(begin, size)] = data.astype(np.uint16) + np.uint16(1)
     order = sort_suffixes(text, LENGTH)
     piece = np.repeat(np.arange(len(raw)), size + 1)
     room = (begin + size)[piece] - np.arange(len(text)) >= LENGTH
