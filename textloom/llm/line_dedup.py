@@ -23,7 +23,7 @@ from .common import Workspace
 
 #: Lines that a run must have.
 MIN_LINES = 3
-_BLANK = r"^[\x20\x09-\x0D]*$"
+_BLANK = r"^[\x20\x09-\x0D]*\z"
 
 
 def _lines(text: str) -> Column:
