@@ -165,12 +165,17 @@ def peel(chunk: Column) -> Column:
     core unless it is an abbreviation (letters with periods) or a number."""
     front = F.regexp_extract(chunk, rf"^({PEEL_FRONT}*)", 1)
     rest = F.substr(chunk, F.length(front) + 1, F.length(chunk))
-    back = F.regexp_extract(rest, rf"({PEEL_BACK}*)$", 1)
-    core = F.substr(rest, F.lit(1), F.length(rest) - F.length(back))
+
+    def without_back(x: Column) -> tuple[Column, Column]:
+        back = F.regexp_extract(x, rf"({PEEL_BACK}*)$", 1)
+        return F.substr(x, F.lit(1), F.length(x) - F.length(back)), back
+
+    core, outer = without_back(rest)
     ends = core.endswith(".") & ~core.rlike(r"^(\p{L}\.)+$|^[\p{N}.]+\.$|^\.+$")
-    stem = F.when(ends, F.substr(core, F.lit(1), F.length(core) - 1)).otherwise(core)
+    stem, inner = without_back(F.when(ends, F.substr(core, F.lit(1), F.length(core) - 1)).otherwise(core))
     letters = lambda x: F.filter(F.split(x, ""), lambda c: c != "")
-    return F.filter(F.concat(letters(front), F.array(stem), F.when(ends, F.array(F.lit("."))).otherwise(F.array().cast("array<string>")), letters(back)), lambda x: x != "")
+    period = F.when(ends, F.array(F.lit("."))).otherwise(F.array().cast("array<string>"))
+    return F.filter(F.concat(letters(front), F.array(stem), letters(inner), period, letters(outer)), lambda x: x != "")
 
 
 def tokenise_markup(pages: DataFrame, html: str = "html") -> DataFrame:
