@@ -12,12 +12,12 @@ from pyspark.sql.window import Window
 from textloom.functions import words as W
 from textloom.operators.tokens import tokenise
 
-from .scalars import _HEX, _TAG
+from .scalars import HEX_DIGITS, TAG_LETTERS
 
 LEXICON_SQL = rf"""
 bform AS MATERIALIZED (SELECT DISTINCT lower(text) AS wordform FROM (SELECT unnest(regexp_extract_all(text, '({W.TOKEN})', 1)) AS text FROM benchmark) WHERE regexp_matches(text, '^[\p{{L}}\p{{Nl}}\p{{No}}]')),
 bvar AS (SELECT wordform, v, md5(wordform || v::VARCHAR) AS d FROM bform, (SELECT unnest([0, 1]) AS v) WHERE v = 0 OR substr(md5(wordform), 2, 1) < '8'),
-lexicon AS MATERIALIZED (SELECT row_number() OVER (ORDER BY wordform, v) AS seq, wordform, translate(substr(d, 1, 9), '{_HEX}', '{_TAG}') AS tag,
+lexicon AS MATERIALIZED (SELECT row_number() OVER (ORDER BY wordform, v) AS seq, wordform, translate(substr(d, 1, 9), '{HEX_DIGITS}', '{TAG_LETTERS}') AS tag,
   left(wordform, 4) || substr(d, 5, 1) AS lemma,
   CASE WHEN left(d, 1) < '8' THEN regexp_replace(wordform, '([aeiouy])', '\1_', 'g') ELSE regexp_replace(wordform, '([ae])', '\1_', 'g') END AS accented FROM bvar)"""
 
@@ -36,7 +36,7 @@ def lexicon(spark: SparkSession, sf_dir: str) -> DataFrame:
     accented = F.when(F.substring("d", 1, 1) < "8", F.regexp_replace("wordform", "([aeiouy])", "$1_")).otherwise(F.regexp_replace("wordform", "([ae])", "$1_"))
     # The benchmark is a small table of fixed size, so one ordered window numbers it.
     seq = F.row_number().over(Window.orderBy("wordform", "v")).cast("long")
-    return d.select(seq.alias("seq"), "wordform", F.translate(F.substring("d", 1, 9), _HEX, _TAG).alias("tag"), F.concat(F.substring("wordform", 1, 4), F.substring("d", 5, 1)).alias("lemma"), accented.alias("accented"))
+    return d.select(seq.alias("seq"), "wordform", F.translate(F.substring("d", 1, 9), HEX_DIGITS, TAG_LETTERS).alias("tag"), F.concat(F.substring("wordform", 1, 4), F.substring("d", 5, 1)).alias("lemma"), accented.alias("accented"))
 
 
 #: (ending, stemtype, tag), (stem, stemtype, lemma, kind), (form, lemma, tag), prefixes: small tables of our own.

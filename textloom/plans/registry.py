@@ -19,7 +19,7 @@ from textloom.sources import sinks as K
 from . import fixtures as X
 from .fixtures import LEXICON_SQL, table
 from .pipeline import restore_marks
-from .scalars import SQL_T, pseudo_tag
+from .scalars import SQL_T, distance_sql, pseudo_tag
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -280,7 +280,7 @@ r AS (SELECT form, q.tag, q.lemma, accented, levenshtein(q.lemma, l.lemma) AS ld
 m AS (SELECT *, min(cd) OVER (PARTITION BY form, tag, lemma) AS best FROM r),
 o AS (SELECT form, tag, lemma, accented, min((cd, td, ld, accented)) AS k FROM m WHERE cd = best GROUP BY ALL)
 SELECT o.form, o.tag, o.lemma, string_agg(accented, ' ' ORDER BY k) AS accented, any_value(n > 1) AS is_ambiguous
-FROM o JOIN (SELECT form, count(DISTINCT lower(accented)) AS n FROM r GROUP BY form) USING (form) GROUP BY ALL""".replace("{DIST}", __import__("textloom.plans.scalars", fromlist=["_distance_sql"])._distance_sql("q.tag", "l.tag")))
+FROM o JOIN (SELECT form, count(DISTINCT lower(accented)) AS n FROM r GROUP BY form) USING (form) GROUP BY ALL""".replace("{DIST}", distance_sql("q.tag", "l.tag")))
 def w09_candidates(spark, d):
     lexicon = X.lexicon(spark, d)
     lexicon = lexicon.where(~F.col("wordform").rlike("[æœäëïöüÿ]"))  # forms that are their own ASCII form

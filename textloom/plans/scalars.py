@@ -15,7 +15,7 @@ from textloom.operators import morphology as M
 from textloom.operators.tokens import tokenise
 
 WORD = r"^[\p{L}\p{Nl}\p{No}]"
-_HEX, _TAG = "0123456789abcdef", "nvadtvadspspfmnf"
+HEX_DIGITS, TAG_LETTERS = "0123456789abcdef", "nvadtvadspspfmnf"
 
 
 def marked(x: Column) -> Column:
@@ -24,11 +24,11 @@ def marked(x: Column) -> Column:
 
 
 def pseudo_tag(x: Column) -> Column:
-    return F.translate(F.substring(F.md5(x.cast("binary")), 3, 9), _HEX, _TAG)
+    return F.translate(F.substring(F.md5(x.cast("binary")), 3, 9), HEX_DIGITS, TAG_LETTERS)
 
 
 SQL_M = r"CASE WHEN substr(md5(text), 1, 1) < '5' THEN regexp_replace(text, '([aeiouy])', '\1_', 'g') WHEN substr(md5(text), 1, 1) < 'a' THEN regexp_replace(text, '([aeo])', '\1_^', 'g') ELSE regexp_replace(text, '([iu])', '\1^', 'g') END"
-SQL_T = f"translate(substr(md5(text), 3, 9), '{_HEX}', '{_TAG}')"
+SQL_T = f"translate(substr(md5(text), 3, 9), '{HEX_DIGITS}', '{TAG_LETTERS}')"
 SQL_WORDS = rf"SELECT DISTINCT text FROM (SELECT unnest(regexp_extract_all(text, '({W.TOKEN})', 1)) AS text FROM documents) WHERE regexp_matches(text, '{WORD}')"
 
 
@@ -57,7 +57,7 @@ def _describe_sql() -> str:
     return "concat_ws(', ', " + ", ".join(parts) + ")"
 
 
-def _distance_sql(a: str, b: str) -> str:
+def distance_sql(a: str, b: str) -> str:
     noun = lambda t: f"(lower(left({t}, 1)) IN ('n', 'a') OR (lower(left({t}, 1)) = 'v' AND substr({t}, 4, 3) IN ('rpp', 'ppa')))"
     skip = f"({noun(a)} AND {noun(b)} AND left({a}, 1) <> left({b}, 1))"
     parts = [f"(substr({a}, {i}, 1) <> substr({b}, {i}, 1)" + (f" AND NOT {skip}" if i in (4, 5, 6) else "") + ")::INT" for i in range(1, 10)]
@@ -96,7 +96,7 @@ SCALARS: dict[str, Scalar] = {
     ),
     "f19_dots_to_dashes": (lambda x, m, t: W.dots_to_dashes(F.concat_ws(".", t, t)), "{t} || '-' || {t}"),
     "f20_describe_tag": (lambda x, m, t: W.describe_tag(t), _describe_sql()),
-    "f26_tag_distance": (lambda x, m, t: W.tag_distance(t, pseudo_tag(m)).cast("string"), _distance_sql("{t}", SQL_T.replace("md5(text)", "md5({m})")) + "::VARCHAR"),
+    "f26_tag_distance": (lambda x, m, t: W.tag_distance(t, pseudo_tag(m)).cast("string"), distance_sql("{t}", SQL_T.replace("md5(text)", "md5({m})")) + "::VARCHAR"),
     "f27_is_title": (lambda x, m, t: W.is_title(x).cast("string"), f"{_TITLE}::VARCHAR"),
     "f28_is_all_caps": (lambda x, m, t: W.is_all_caps(x).cast("string"), "({x} = upper({x}))::VARCHAR"),
     "f29_also_maius": (lambda x, m, t: W.also_maius(F.concat(x, F.lit("aja"))), f"CASE WHEN regexp_matches({{x}} || 'aja', '{_SHORT_J}') THEN {{x}} || 'aja' ELSE regexp_replace({{x}} || 'aja', '([aeiouy])(j[aeiouy])', '\\1_\\2', 'g') END"),
