@@ -29,8 +29,8 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 def keep_one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document with the smallest doc_id of each class of near copies."""
-    kept = near_dedup.near_dedup(docs).where(F.col("kept") & F.col("doc_id").isNotNull()).select(F.col("doc_id").alias("_kept")).distinct()
-    one = docs.join(kept.hint("merge"), F.col("doc_id") == F.col("_kept"), "left_semi").dropDuplicates(["doc_id"])
+    kept = near_dedup.near_dedup(docs).where(F.col("kept") & F.col("doc_id").isNotNull()).select(F.col("doc_id").alias("_tl_kept")).distinct()
+    one = docs.join(kept.hint("merge"), F.col("doc_id") == F.col("_tl_kept"), "left_semi").dropDuplicates(["doc_id"])
     return one.unionByName(docs.where(F.col("doc_id").isNull()))
 
 

@@ -24,6 +24,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import ship, text_or_empty
 
@@ -253,16 +254,16 @@ def encode_column(docs: DataFrame, out: str = "ids", keep: list[str] | None = No
     """The columns `keep` of docs (else all) and the array column `out`: the ids of its text."""
     ship(docs.sparkSession)
     kept = [c for c in keep or docs.columns if c != out]
-    schema = docs.select(*[F.col(f"`{c}`") for c in kept]).schema.add(out, "array<int>")
+    schema = docs.select(*[F.col(f"`{c}`") for c in kept]).schema.add(out, T.ArrayType(T.IntegerType()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "_text"):
-            lengths, ids = coder(name).encode_texts(batch.column("_text"))
+        for batch in slices(batches, "_tl_text"):
+            lengths, ids = coder(name).encode_texts(batch.column("_tl_text"))
             offsets = pa.array(np.append(0, np.cumsum(lengths)).astype(np.int32))
             columns = [batch.column(i) for i in range(len(kept))]
             yield pa.RecordBatch.from_arrays([*columns, pa.ListArray.from_arrays(offsets, pa.array(ids.astype(np.int32)))], [*kept, out])
 
-    return docs.select(*[F.col(f"`{c}`") for c in kept], text_or_empty().alias("_text")).mapInArrow(run, schema)
+    return docs.select(*[F.col(f"`{c}`") for c in kept], text_or_empty().alias("_tl_text")).mapInArrow(run, schema)
 
 
 def round_trip(docs: DataFrame, name: str = VOCABULARY) -> DataFrame:

@@ -11,7 +11,8 @@ earlier place. Places are ordered by (doc_id, hash of the text, position).
 
 Defined cases: a null text is null and has no lines; blank lines (only white space) are never fingerprints and never
 deleted; documents of fewer than MIN_LINES nonblank lines stay whole; rows with the same doc_id and text are one
-document and get the same result; null doc_ids come first; further columns are carried along.
+document and get the same result; null doc_ids come first; further columns are carried along
+(but for n_lines and n_removed, which are made anew).
 """
 
 from __future__ import annotations
@@ -37,26 +38,26 @@ def _windows(lines: Column, w: int) -> Column:
 
 
 def repeated_lines(docs: DataFrame, work: Workspace, w: int = MIN_LINES) -> DataFrame:
-    """_doc, _key (a document) and gone: the numbers (from 0) of its lines in windows that occurred before."""
-    hashed = docs.select(F.col("doc_id").alias("_doc"), F.xxhash64("text").alias("_key"), _lines("text").alias("h")).where(F.size("h") >= w)
+    """_tl_doc, _tl_key (a document) and _tl_gone: the numbers (from 0) of its lines in windows that occurred before."""
+    hashed = docs.select(F.col("doc_id").alias("_tl_doc"), F.xxhash64("text").alias("_tl_key"), _lines("text").alias("h")).where(F.size("h") >= w)
     chosen = F.array_distinct(F.transform(_windows(F.col("h"), w), lambda x: F.array_min(x)))
-    at = hashed.select("_doc", "_key", "h", F.explode(chosen).alias("print"))
+    at = hashed.select("_tl_doc", "_tl_key", "h", F.explode(chosen).alias("print"))
     # Each fingerprint carries the lines that a window over it can have: w - 1 on either side.
     first = F.greatest(F.lit(1), F.col("print.p") - F.lit(w - 2))
     around = F.slice("h", first, F.least(F.size("h"), F.col("print.p") + F.lit(w)) - first + 1)
-    prints = work.save(at.select("_doc", "_key", F.col("print.x").alias("fp"), F.col("print.p").alias("p"), around.alias("around")), "prints")
+    prints = work.save(at.select("_tl_doc", "_tl_key", F.col("print.x").alias("fp"), F.col("print.p").alias("p"), around.alias("around")), "prints")
 
     known = prints.groupBy("fp").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("fp")
     matched = prints.join(known, "fp", "left_semi")
     # Extension both ways: each window over the fingerprint that chose it.
     own = F.filter(_windows(F.col("around"), w), lambda x: F.array_min(x)["p"] == F.col("p"))
-    each = matched.select("_doc", "_key", F.explode(own).alias("window"))
-    each = each.select("_doc", "_key", F.transform("window", lambda x: x["x"]).alias("lines"), F.col("window")[0]["p"].alias("start"), F.transform("window", lambda x: x["i"]).alias("at"))
+    each = matched.select("_tl_doc", "_tl_key", F.explode(own).alias("window"))
+    each = each.select("_tl_doc", "_tl_key", F.transform("window", lambda x: x["x"]).alias("lines"), F.col("window")[0]["p"].alias("start"), F.transform("window", lambda x: x["i"]).alias("at"))
     each = work.save(each, "windows")
-    place = F.struct("_doc", "_key", "start")
+    place = F.struct("_tl_doc", "_tl_key", "start")
     origin = each.groupBy("lines").agg(F.min(place).alias("origin"), F.count(F.lit(1)).alias("n")).where("n > 1").select("lines", "origin")
     later = each.join(origin, "lines").where(place > F.col("origin"))
-    return later.groupBy("_doc", "_key").agg(F.array_distinct(F.flatten(F.collect_set("at"))).alias("gone"))
+    return later.groupBy("_tl_doc", "_tl_key").agg(F.array_distinct(F.flatten(F.collect_set("at"))).alias("_tl_gone"))
 
 
 def line_dedup(docs: DataFrame, w: int = MIN_LINES, emptied: bool = True) -> DataFrame:
@@ -66,15 +67,15 @@ def line_dedup(docs: DataFrame, w: int = MIN_LINES, emptied: bool = True) -> Dat
     """
     work = Workspace(docs.sparkSession, "lines")
     gone = work.save(repeated_lines(docs, work, w), "gone")
-    names = docs.columns
-    keyed = docs.select(*[F.col(f"`{c}`") for c in names], F.col("doc_id").alias("_d"), F.xxhash64("text").alias("_k"))
+    names = [c for c in docs.columns if c not in ("n_lines", "n_removed")]
+    keyed = docs.select(*[F.col(f"`{c}`") for c in names], F.col("doc_id").alias("_tl_d"), F.xxhash64("text").alias("_tl_k"))
     # Documents always move by key: what goes from the corpus grows with it, so a broadcast would not last.
-    joined = keyed.join(gone.hint("merge"), F.col("_d").eqNullSafe(F.col("_doc")) & (F.col("_k") == F.col("_key")), "left")
+    joined = keyed.join(gone.hint("merge"), F.col("_tl_d").eqNullSafe(F.col("_tl_doc")) & (F.col("_tl_k") == F.col("_tl_key")), "left")
     lines = F.split("text", "\n")
-    left = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("gone"))
-    cut = F.array_join(F.transform(left, lambda i: F.get(F.col("_lines"), i)), "\n")
-    found = joined.withColumn("_lines", F.when(F.col("gone").isNotNull(), lines))
-    text = F.when(F.col("gone").isNotNull(), cut).otherwise(F.col("text"))
+    left = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("_tl_gone"))
+    cut = F.array_join(F.transform(left, lambda i: F.get(F.col("_tl_lines"), i)), "\n")
+    found = joined.withColumn("_tl_lines", F.when(F.col("_tl_gone").isNotNull(), lines))
+    text = F.when(F.col("_tl_gone").isNotNull(), cut).otherwise(F.col("text"))
     n_lines = F.when(F.col("text").isNull(), 0).otherwise(F.regexp_count("text", F.lit("\n")) + 1).cast("long")
-    out = found.select(*[text.alias(c) if c == "text" else F.col(f"`{c}`") for c in names], n_lines.alias("n_lines"), F.coalesce(F.size("gone"), F.lit(0)).cast("long").alias("n_removed"))
+    out = found.select(*[text.alias(c) if c == "text" else F.col(f"`{c}`") for c in names], n_lines.alias("n_lines"), F.coalesce(F.size("_tl_gone"), F.lit(0)).cast("long").alias("n_removed"))
     return out if emptied else out.where((F.col("n_removed") == 0) | F.regexp_like("text", F.lit(r"[^\x20\x09-\x0D]")))

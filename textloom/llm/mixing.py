@@ -163,14 +163,14 @@ def mixed_documents(docs: DataFrame, seed: int = 11) -> DataFrame:
     """
     names = docs.columns
     rows = mix(docs, seed).where(F.size("draws") > 0).dropDuplicates(["doc_id", "source"])
-    drawn = rows.select(F.col("doc_id").alias("_id"), F.col("source").alias("_source"), F.col("size").alias("_size"), "draws")
-    joined = docs.join(drawn, F.col("doc_id").eqNullSafe(F.col("_id")) & F.col("source").eqNullSafe(F.col("_source")))
-    each = joined.select(*[F.col(f"`{c}`") for c in names], "_size", F.posexplode("draws").alias("_copy", "_draw"))
+    drawn = rows.select(F.col("doc_id").alias("_tl_id"), F.col("source").alias("_tl_source"), F.col("size").alias("_tl_size"), "draws")
+    joined = docs.join(drawn, F.col("doc_id").eqNullSafe(F.col("_tl_id")) & F.col("source").eqNullSafe(F.col("_tl_source")))
+    each = joined.select(*[F.col(f"`{c}`") for c in names], "_tl_size", F.posexplode("draws").alias("_tl_copy", "_tl_draw"))
     ends = F.split("text", r"(?<=[^\x20\x09-\x0D])(?=[\x20\x09-\x0D])")
-    head = F.array_join(F.slice(ends, F.lit(1), F.col("_draw.words").cast("int")), "")
-    text = F.when(F.col("_draw.words") < F.col("_size"), head).otherwise(F.col("text"))
+    head = F.array_join(F.slice(ends, F.lit(1), F.col("_tl_draw.words").cast("int")), "")
+    text = F.when(F.col("_tl_draw.words") < F.col("_tl_size"), head).otherwise(F.col("text"))
     out = each.withColumn("text", text)
     if "n_chars" in names:
-        out = out.withColumn("n_chars", F.when(F.col("_draw.words") < F.col("_size"), F.length("text").cast("long")).otherwise(F.col("n_chars")))
-    shards = out.repartition(F.col("_draw.shard"), F.pmod(F.xxhash64("doc_id", "_copy"), F.lit(16)))
-    return shards.sortWithinPartitions(F.col("_draw.shard"), F.xxhash64(F.lit(seed + 2), "doc_id", "_copy")).select(*[F.col(f"`{c}`") for c in names])
+        out = out.withColumn("n_chars", F.when(F.col("_tl_draw.words") < F.col("_tl_size"), F.length("text").cast("long")).otherwise(F.col("n_chars")))
+    shards = out.repartition(F.col("_tl_draw.shard"), F.pmod(F.xxhash64("doc_id", "_tl_copy"), F.lit(16)))
+    return shards.sortWithinPartitions(F.col("_tl_draw.shard"), F.xxhash64(F.lit(seed + 2), "doc_id", "_tl_copy")).select(*[F.col(f"`{c}`") for c in names])

@@ -300,13 +300,13 @@ def learn(docs: DataFrame, labels: DataFrame) -> Model | None:
     spark = docs.sparkSession
     fold = F.crc32(F.col("doc_id").cast("string")) % FOLDS
     known = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & (fold != 0))
-    known = known.groupBy(F.col("doc_id").alias("_id")).agg(F.max("toxic").cast("int").alias("toxic"))
+    known = known.groupBy(F.col("doc_id").alias("_tl_id")).agg(F.max("toxic").cast("int").alias("toxic"))
     counts = {r["toxic"]: r["n"] for r in known.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
-    order = F.pmod(F.xxhash64(F.lit(7), "_id"), F.lit(1 << 30))
+    order = F.pmod(F.xxhash64(F.lit(7), "_tl_id"), F.lit(1 << 30))
     share = F.coalesce(*[F.when(F.col("toxic") == c, F.lit(min(1.0, MOST_DOCS / n) * (1 << 30))) for c, n in counts.items()], F.lit(0.0))
     sample = F.broadcast(known.where(order < share))  # at most about 2 * MOST_DOCS rows
     work = Workspace(spark, "toxic")
-    rows = docs.join(sample, F.col("doc_id") == F.col("_id")).select("doc_id", "text", "toxic").where(F.col("text").isNotNull())
+    rows = docs.join(sample, F.col("doc_id") == F.col("_tl_id")).select("doc_id", "text", "toxic").where(F.col("text").isNotNull())
     rows = work.save(rows, "sample")
     chars = {r["toxic"]: r["n"] for r in rows.groupBy("toxic").agg(F.sum(F.length("text")).alias("n")).collect()}
     limit = F.coalesce(*[F.when(F.col("toxic") == c, F.lit(min(1.0, MOST_CHARS / max(1, n)) * (1 << 30))) for c, n in chars.items()], F.lit(0.0))
@@ -345,12 +345,12 @@ def without_toxic(docs: DataFrame, model: Model | None) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(model)
-        for batch in slices(batches, "_text"):
-            mass, top = scorer.run(batch.column("_text"))[:2]
+        for batch in slices(batches, "_tl_text"):
+            mass, top = scorer.run(batch.column("_tl_text"))[:2]
             clean = batch.filter(pa.array(scorer.model.score(mass, top) < 0.5))
             yield pa.RecordBatch.from_arrays([clean.column(i) for i in range(len(names))], names)
 
-    return docs.select(*[F.col(f"`{c}`") for c in names], text_or_empty().alias("_text")).mapInArrow(run, docs.schema)
+    return docs.select(*[F.col(f"`{c}`") for c in names], text_or_empty().alias("_tl_text")).mapInArrow(run, docs.schema)
 
 
 def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
