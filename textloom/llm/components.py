@@ -22,7 +22,7 @@ def components(edges: DataFrame, work: Workspace, table: str) -> DataFrame:
         k += 1
         both = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy(F.col("a").alias("u")).agg(F.min("b").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(least.hint("merge"), F.col("a") == F.col("u")).where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+        large = both.join(least.hint("merge"), F.col("a") == F.col("u")).where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
         least = large.groupBy(F.col("a").alias("u")).agg(F.min("b").alias("m"))
         joined = large.join(least.hint("merge"), F.col("a") == F.col("u"))
         small = joined.where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(joined.select("a", F.col("m").alias("b"))).where("a <> b")

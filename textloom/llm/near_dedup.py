@@ -7,9 +7,9 @@ least THRESHOLD; classes are the connected components of the links, named by the
 1. Packs count their shingles, buckets add the counts and answer with document frequencies.
 2. A document can only be similar to another if shingles that occur in more than one document make up THRESHOLD of its
    weight; all others are done. The rest get SAMPLES consistent weighted samples in BANDS bands.
-3. Documents that share a band are compared with a centre of that band, never all with all; pairs are verified exactly,
-   on the shingles' weights. In further rounds, documents of a band that are not in their centre's class meet another
-   centre, drawn by hash, so that a band of several classes is compared through several centres.
+3. Documents that share a band are compared with two centres of that band, never all with all; pairs are verified
+   exactly, on the shingles' weights. Then documents of a band that holds several classes meet another centre, drawn by
+   hash from another class where it can be. The centres differ from band to band, so the members of a group meet many.
 
 Equal texts are one document in 2 and 3 and come back at the end, so copies cost nothing.
 
@@ -44,8 +44,9 @@ from .packs import NO_ID, Pack, batch_of, digest_table, first_of_copies, later_c
 WORDS, THRESHOLD = 5, 0.8
 BANDS, ROWS = 14, 3
 SAMPLES = BANDS * ROWS
-#: Rounds of centres; the first takes the smallest doc_id, the others draw one.
-ROUNDS = 4
+#: Rounds of comparisons: the first with two centres of each band, each further one with another of the bands in which
+#: several classes are left.
+ROUNDS = 2
 #: Bytes of text that a bucket of shingles stands for, and least number of buckets.
 BUCKET_BYTES, LEAST_BUCKETS = 18_000_000, 48
 #: The inverse document frequency lies between 1 and 1 + IDF_RANGE.
@@ -233,8 +234,8 @@ def verified(edges: DataFrame, vectors: DataFrame) -> DataFrame:
     return met.mapInArrow(run, "a long, b long")
 
 
-def link(candidates: DataFrame, work: Workspace) -> DataFrame:
-    """The verified pairs (a, b) that join the classes of candidates."""
+def classes(candidates: DataFrame, work: Workspace) -> DataFrame | None:
+    """node and root of the candidates that verified pairs join; None if there are none."""
 
     def explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -246,29 +247,34 @@ def link(candidates: DataFrame, work: Workspace) -> DataFrame:
     shared = bands.groupBy("band", "key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("band", "key")
     bands = work.save(bands.join(shared.hint("merge"), ["band", "key"]), "bands")
     vectors = candidates.select("doc_id", "vector").dropDuplicates(["doc_id"])
-    tested = links = None
+    links = roots = None
+    tested: DataFrame | None = None
     for k in range(ROUNDS):
-        if k == 0:
-            known = bands.withColumn("root", F.col("doc_id"))
-            centre = known.groupBy("band", "key").agg(F.min(F.struct("doc_id", "root")).alias("c"))
+        if roots is None:
+            # Two centres: the smallest doc_id, which most bands of a group share, and one drawn for each band.
+            drawn = F.struct(F.xxhash64("doc_id", "band"), "doc_id")
+            centre = bands.groupBy("band", "key").agg(F.array_distinct(F.array(F.min("doc_id"), F.min(drawn)["doc_id"])).alias("c"))
+            pairs = bands.join(centre.select("band", "key", F.explode("c").alias("centre")).hint("merge"), ["band", "key"]).where("doc_id <> centre")
         else:
-            roots = work.save(components(links, work, f"roots{k}"), f"classes{k}").withColumnsRenamed({"node": "doc_id"})
-            known = bands.join(roots.hint("merge"), "doc_id", "left").withColumn("root", F.coalesce("root", "doc_id"))
+            known = bands.join(roots.withColumnRenamed("node", "doc_id").hint("merge"), "doc_id", "left").withColumn("root", F.coalesce("root", "doc_id"))
             known = work.save(known, f"known{k}")
             drawn = F.struct(F.xxhash64("root", F.lit(k), "band"), F.xxhash64("doc_id", F.lit(k), "band"), "doc_id", "root")
             centre = known.groupBy("band", "key").agg(F.min(drawn).alias("c"), F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high")
-        centre = centre.select("band", "key", F.col("c.doc_id").alias("centre"), F.col("c.root").alias("centre_root"))
-        pairs = known.join(centre.hint("merge"), ["band", "key"]).where("root <> centre_root")
+            centre = centre.select("band", "key", F.col("c.doc_id").alias("centre"), F.col("c.root").alias("centre_root"))
+            pairs = known.join(centre.hint("merge"), ["band", "key"]).where("root <> centre_root")
         pairs = pairs.select(F.least("doc_id", "centre").alias("a"), F.greatest("doc_id", "centre").alias("b")).distinct()
         if tested is not None:
             pairs = pairs.join(tested.hint("merge"), ["a", "b"], "left_anti")
         pairs = work.save(pairs, f"pairs{k}")
         if pairs.isEmpty():
             break
-        good = work.save(verified(pairs, vectors), f"links{k}")
         tested = pairs if tested is None else tested.unionByName(pairs)
+        good = work.save(verified(pairs, vectors), f"links{k}")
+        if links is not None and good.isEmpty():
+            break
         links = good if links is None else links.unionByName(good)
-    return links
+        roots = work.save(components(links, work, f"roots{k}"), f"classes{k}")
+    return roots
 
 
 def near_dedup(docs: DataFrame) -> DataFrame:
@@ -302,10 +308,9 @@ def near_dedup(docs: DataFrame) -> DataFrame:
 
     chosen = work.save(full.mapInArrow(choose, CANDIDATE), "candidates")
     work.drop("answers")
-    links = link(chosen, work)
-    if links is None:
-        links = spark.createDataFrame([], "a long, b long")
-    roots = work.save(components(links, work, "final"), "classes")
+    roots = classes(chosen, work)
+    if roots is None:
+        roots = spark.createDataFrame([], "node long, root long")
     least = digests.join(firsts.hint("merge"), "digest", "left").select("doc_id", F.coalesce("least", "doc_id").alias("least"))
     classed = least.join(roots.hint("merge"), F.col("least") == F.col("node"), "left").select("doc_id", F.coalesce("root", "least").alias("class_id"))
     null = F.col("doc_id") == NO_ID
