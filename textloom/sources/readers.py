@@ -66,7 +66,7 @@ def read_lexicon(spark: SparkSession, path: str, strict: bool = False) -> DataFr
     return lexicon_rows(lines(spark, path), strict)
 
 
-def macron_rows(rows: DataFrame) -> DataFrame:
+def piped_rows(rows: DataFrame) -> DataFrame:
     """Wordform and accented of lines by | or tabs: the last of two columns, or the fourth of more."""
     p = F.split("line", r"[|\t]")
     return rows.where(~comment_or_blank(F.col("line"))).select(F.col("seq"), F.trim(p[0]).alias("wordform"), F.trim(F.when(F.size(p) >= 3, F.element_at(p, -1)).otherwise(F.get(p, F.lit(1)))).alias("accented"))
