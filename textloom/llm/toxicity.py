@@ -35,7 +35,7 @@ from .bpe import ChunkCoder, chunks_of, slices
 from .common import Workspace, ship, text_or_empty
 
 #: The sample that the model is fitted on: documents of each class, and characters of each.
-MOST_DOCS, MOST_CHARS = 3_000, 8_000_000
+MOST_DOCS, MOST_CHARS = 2_000, 3_000_000
 FOLDS = 5
 #: Weights of hashed word features; lengths of the word beginnings that are features.
 WEIGHTS, PREFIXES = 1 << 18, (4, 5, 6)
@@ -252,14 +252,15 @@ def fit(texts: list[str], toxic: np.ndarray) -> Model | None:
     sizes = np.array([len(x) for x in used])
     flat, owner = np.array([f for x in used for f in x], np.int64), np.repeat(np.arange(len(used)), sizes)
 
+    del feature, memo, held, odds, share, sign, chunked, with_sign, without, rows, number, used
     model = Model(np.zeros(WEIGHTS), -3.0, np.ones((2, 2)), np.zeros(3))
     log_trans, inner = np.zeros((2, 2)), np.flatnonzero(~ends)
     seen_pairs = _pairs(y[inner], y[inner + 1], y[inner] * y[inner + 1])
     past_w, past_b, past_t = np.full(WEIGHTS, 1e-8), 1e-8, np.full((2, 2), 1e-8)
     for _ in range(STEPS if len(token) else 0):
-        emission = (model.bias + np.bincount(owner, model.weights[flat], len(used)))[token]
+        emission = (model.bias + np.bincount(owner, model.weights[flat], len(sizes)))[token]
         p, pair = marginals(emission, ends, np.exp(log_trans))
-        error = np.bincount(token, y - p, len(used))
+        error = np.bincount(token, y - p, len(sizes))
         g_w = np.bincount(flat, error[owner], WEIGHTS) - DECAY * len(token) * model.weights
         g_t = seen_pairs - _pairs(p[inner], p[inner + 1], pair[inner])
         g_b = float(error.sum())
@@ -311,7 +312,9 @@ def learn(docs: DataFrame, labels: DataFrame) -> Model | None:
     chars = {r["toxic"]: r["n"] for r in rows.groupBy("toxic").agg(F.sum(F.length("text")).alias("n")).collect()}
     limit = F.coalesce(*[F.when(F.col("toxic") == c, F.lit(min(1.0, MOST_CHARS / max(1, n)) * (1 << 30))) for c, n in chars.items()], F.lit(0.0))
     pdf = rows.where(F.pmod(F.xxhash64(F.lit(8), "doc_id"), F.lit(1 << 30)) < limit).orderBy("doc_id", "text").toPandas()
-    return fit(pdf["text"].tolist(), pdf["toxic"].to_numpy(np.int64)) if len(pdf) else None
+    texts, toxic = pdf["text"].tolist(), pdf["toxic"].to_numpy(np.int64)
+    del pdf
+    return fit(texts, toxic) if len(texts) else None
 
 
 def score(docs: DataFrame, model: Model | None) -> DataFrame:
