@@ -3,6 +3,9 @@ from __future__ import annotations
 import math
 import random
 
+import pytest
+
+import textloom.llm.near_dedup as near_dedup_module
 from textloom.llm.near_dedup import IDF_RANGE, near_dedup
 
 from .helpers import documents, words
@@ -73,6 +76,22 @@ def test_large_group_of_near_copies_is_one_class(spark):
     assert {r["class_id"] for r in near_dedup(documents(spark, rows)).collect()} == {0}
 
 
+@pytest.mark.parametrize("block", [400, 40])
+def test_group_held_together_by_a_document_in_its_middle(spark, monkeypatch, block):
+    monkeypatch.setattr(near_dedup_module, "BLOCK", block, raising=False)
+    rng = random.Random(9)
+    base = words(rng, 200, 5000).split()
+    rows = [(150, " ".join(base), "s")]
+    for i in [*range(150), *range(151, 301)]:
+        copy = list(base)
+        for k in rng.sample(range(5, 195, 6), 3):
+            copy[k] = f"new{i}x{k}"
+        rows.append((i, " ".join(copy), "s"))
+    assert set(brute(rows).values()) == {0}
+    assert len(set(brute([r for r in rows if r[0] != 150]).values())) > 100
+    assert {r["class_id"] for r in near_dedup(documents(spark, rows)).collect()} == {0}
+
+
 def test_null_ids_repeated_rows_and_empty(spark):
     rows = [(None, "a b c d e f", "s"), (None, "a b c d e f", "s"), (1, "a b c d e f", "s"), (1, "a b c d e f", "s")]
     got = sorted((r["doc_id"] or 0, r["class_id"] or 0, r["kept"]) for r in near_dedup(documents(spark, rows)).collect())

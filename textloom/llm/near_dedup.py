@@ -7,11 +7,13 @@ least THRESHOLD; classes are the connected components of the links, named by the
 1. Packs count their shingles, buckets add the counts and answer with document frequencies.
 2. A document can only be similar to another if shingles that occur in more than one document make up THRESHOLD of its
    weight; all others are done. The rest get SAMPLES consistent weighted samples in BANDS bands.
-3. Documents that share a band are compared with two centres of that band, never all with all; pairs are verified
-   exactly, on the shingles' weights. Then documents of a band that holds several classes meet another centre, drawn by
-   hash from another class where it can be. The centres differ from band to band, so the members of a group meet many.
+3. Documents that share a band are compared with two centres of that band; pairs are verified exactly, on the shingles'
+   weights. Then documents of a band that holds several classes meet another centre, drawn by hash from another class
+   where it can be. This joins most of a large group cheaply.
+4. Where a band still holds several classes, all its documents that were no centre are compared with each other, in
+   blocks of about BLOCK documents. So every pair that shares a band is either compared or already of one class.
 
-Equal texts are one document in 2 and 3 and come back at the end, so copies cost nothing.
+Equal texts are one document in 2 to 4 and come back at the end, so copies cost nothing.
 
 The inverse document frequency is damped to between 1 and 1.2: a large group of near copies raises the frequency of its
 own shingles, and undamped weights would then hang on the few words by which its members differ. Between documents whose
@@ -47,6 +49,8 @@ SAMPLES = BANDS * ROWS
 #: Rounds of comparisons: the first with two centres of each band, each further one with another of the bands in which
 #: several classes are left.
 ROUNDS = 2
+#: Documents of a block, when all pairs of a band are compared.
+BLOCK = 400
 #: Bytes of text that a bucket of shingles stands for, and least number of buckets.
 BUCKET_BYTES, LEAST_BUCKETS = 18_000_000, 48
 #: The inverse document frequency lies between 1 and 1 + IDF_RANGE.
@@ -57,6 +61,7 @@ STEPS = 8
 SPARE_BITS = 20
 SENT = "bucket int, pack long, ids binary, counts binary"
 ANSWER = "pack long, bucket int, codes binary"
+LINK = "a long, b long"
 CANDIDATE = "doc_id long, keys binary, weight double, vector binary"
 _RNG = np.random.default_rng(17)
 _R, _LOG_C, _BETA = -np.log(_RNG.random((2, 1 << 16))).sum(0), np.log(-np.log(_RNG.random((2, 1 << 16))).sum(0)), _RNG.random(1 << 16)
@@ -205,7 +210,11 @@ def candidates_of(pack: Pack, codes: np.ndarray, copies: np.ndarray, bits: int,
 
 def similarity(one: bytes, two: bytes) -> float:
     """The weighted Jaccard similarity of two vectors of CANDIDATE."""
-    (i, w), (j, v) = _vector(one), _vector(two)
+    return _jaccard(_vector(one), _vector(two))
+
+
+def _jaccard(one: tuple[np.ndarray, np.ndarray], two: tuple[np.ndarray, np.ndarray]) -> float:
+    (i, w), (j, v) = one, two
     at = np.searchsorted(j, i)
     at[at == len(j)] = 0
     same = j[at] == i
@@ -231,7 +240,47 @@ def verified(edges: DataFrame, vectors: DataFrame) -> DataFrame:
             good = [similarity(x.as_buffer().to_pybytes(), y.as_buffer().to_pybytes()) >= THRESHOLD - 1e-6 for x, y in zip(one, two, strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], ["a", "b"]).filter(pa.array(good, pa.bool_()))
 
-    return met.mapInArrow(run, "a long, b long")
+    return met.mapInArrow(run, LINK)
+
+
+def compare_blocks(pdf: pd.DataFrame) -> pd.DataFrame:
+    """Links among the documents of two blocks of a band, or of one block with itself.
+
+    Pairs that share an earlier band are left to that one, and pairs that known links join are not compared.
+    """
+    band, own = int(pdf["band"].iloc[0]), pdf["one"].iloc[0] == pdf["two"].iloc[0]
+    left = np.flatnonzero(pdf["block"] == pdf["one"])
+    right = left if own else np.flatnonzero(pdf["block"] == pdf["two"])
+    ids, weight = pdf["doc_id"].to_numpy(), pdf["weight"].to_numpy()
+    keys = np.frombuffer(b"".join(pdf["keys"]), np.uint64).reshape(-1, BANDS)
+    vectors = [_vector(x) for x in pdf["vector"]]
+    root = np.unique(pdf["root"].to_numpy(), return_inverse=True)[1]
+    links = []
+    for n, i in enumerate(left):
+        others = right[n + 1 :] if own else right
+        light = np.minimum(weight[i], weight[others]) < (THRESHOLD - 1e-4) * np.maximum(weight[i], weight[others])
+        for j in others[~light & ~(keys[i, :band] == keys[others, :band]).any(1)].tolist():
+            if root[i] != root[j] and _jaccard(vectors[i], vectors[j]) >= THRESHOLD - 1e-6:
+                links.append((ids[i], ids[j]))
+                root[root == root[j]] = root[i]
+    return pd.DataFrame({"a": [min(x) for x in links], "b": [max(x) for x in links]}, dtype="int64")
+
+
+def remaining(known: DataFrame, tried: DataFrame, candidates: DataFrame) -> DataFrame | None:
+    """The links that centres left out, by comparing all pairs; None if no band holds several classes.
+
+    known: doc_id, band, key, root; tried: band, key, doc_id of the centres, which have met all others of their band.
+    """
+    rest = known.join(tried.hint("merge"), ["band", "key", "doc_id"], "left_anti")
+    several = rest.groupBy("band", "key").agg(F.count(F.lit(1)).alias("n"), F.min("root").alias("low"), F.max("root").alias("high"))
+    several = several.where("low <> high").select("band", "key", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
+    if several.isEmpty():
+        return None
+    rows = rest.join(several.hint("merge"), ["band", "key"]).withColumn("block", F.pmod(F.xxhash64("doc_id", "band"), F.col("blocks")).cast("int"))
+    rows = rows.join(candidates.dropDuplicates(["doc_id"]).select("doc_id", "keys", "weight", "vector").hint("merge"), "doc_id")
+    met = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    met = met.withColumn("one", F.least("block", "other")).withColumn("two", F.greatest("block", "other"))
+    return met.groupBy("band", "key", "one", "two").applyInPandas(compare_blocks, LINK)
 
 
 def classes(candidates: DataFrame, work: Workspace) -> DataFrame | None:
@@ -247,21 +296,28 @@ def classes(candidates: DataFrame, work: Workspace) -> DataFrame | None:
     shared = bands.groupBy("band", "key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("band", "key")
     bands = work.save(bands.join(shared.hint("merge"), ["band", "key"]), "bands")
     vectors = candidates.select("doc_id", "vector").dropDuplicates(["doc_id"])
+
+    def rooted(roots: DataFrame) -> DataFrame:
+        return bands.join(roots.withColumnRenamed("node", "doc_id").hint("merge"), "doc_id", "left").withColumn("root", F.coalesce("root", "doc_id"))
+
     links = roots = None
     tested: DataFrame | None = None
+    tried: DataFrame | None = None
     for k in range(ROUNDS):
         if roots is None:
             # Two centres: the smallest doc_id, which most bands of a group share, and one drawn for each band.
             drawn = F.struct(F.xxhash64("doc_id", "band"), "doc_id")
             centre = bands.groupBy("band", "key").agg(F.array_distinct(F.array(F.min("doc_id"), F.min(drawn)["doc_id"])).alias("c"))
-            pairs = bands.join(centre.select("band", "key", F.explode("c").alias("centre")).hint("merge"), ["band", "key"]).where("doc_id <> centre")
+            centre = centre.select("band", "key", F.explode("c").alias("centre"))
+            pairs = bands.join(centre.hint("merge"), ["band", "key"]).where("doc_id <> centre")
         else:
-            known = bands.join(roots.withColumnRenamed("node", "doc_id").hint("merge"), "doc_id", "left").withColumn("root", F.coalesce("root", "doc_id"))
-            known = work.save(known, f"known{k}")
+            known = work.save(rooted(roots), f"known{k}")
             drawn = F.struct(F.xxhash64("root", F.lit(k), "band"), F.xxhash64("doc_id", F.lit(k), "band"), "doc_id", "root")
             centre = known.groupBy("band", "key").agg(F.min(drawn).alias("c"), F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high")
             centre = centre.select("band", "key", F.col("c.doc_id").alias("centre"), F.col("c.root").alias("centre_root"))
             pairs = known.join(centre.hint("merge"), ["band", "key"]).where("root <> centre_root")
+        centres = work.save(centre.select("band", "key", F.col("centre").alias("doc_id")), f"centres{k}")
+        tried = centres if tried is None else tried.unionByName(centres)
         pairs = pairs.select(F.least("doc_id", "centre").alias("a"), F.greatest("doc_id", "centre").alias("b")).distinct()
         if tested is not None:
             pairs = pairs.join(tested.hint("merge"), ["a", "b"], "left_anti")
@@ -274,7 +330,13 @@ def classes(candidates: DataFrame, work: Workspace) -> DataFrame | None:
             break
         links = good if links is None else links.unionByName(good)
         roots = work.save(components(links, work, f"roots{k}"), f"classes{k}")
-    return roots
+    if roots is None:
+        return None
+    more = remaining(work.save(rooted(roots), "known"), tried.distinct(), candidates)
+    if more is None:
+        return roots
+    more = work.save(more, "links")
+    return roots if more.isEmpty() else work.save(components(links.unionByName(more), work, "roots"), "classes")
 
 
 def near_dedup(docs: DataFrame) -> DataFrame:
