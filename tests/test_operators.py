@@ -174,6 +174,30 @@ def test_scan_verse_against_all_choices():
         assert (found[2], tuple(found[1])) == (best if best else (None, ()))
 
 
+def test_query_scans_long_verses(spark, tmp_path):
+    from textloom.plans import registry
+
+    long, endless = "da te me si tu re de ne po sa mi lo vi".split(), ["da"] * 1500
+    text = "\n".join(map(" ".join, (long, endless, long)))
+    spark.createDataFrame([(7, 1, "user", text)], "conv_id long, turn long, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    got = {r["verse_id"]: r for r in registry.queries()["q07_scan_verses"](spark, str(tmp_path)).collect()}
+    assert set(got) == {0, 1, 2} and got[1]["penalty"] is None
+    meter = Q.METERS["hexameter"]
+    every = [Q.scans([w + "_^"], Q.follow_class("".join(long[k + 1 :]))) for k, w in enumerate(long)]
+    costs = []
+    for picks in itertools.product(*every):
+        state, cost, syllables = 0, sum(p for p, _, _ in picks), "".join(q for _, q, _ in picks)
+        for i, q in enumerate(syllables):
+            state, _, extra = meter.get((state, q), (None, "", 0))
+            cost += extra
+            if state is None or (state == 0 and i < len(syllables) - 1):
+                break
+        else:
+            if cost < 100:
+                costs.append(cost)
+    assert costs and got[0]["penalty"] == got[2]["penalty"] == min(costs) and len(got[0]["forms"]) == len(long)
+
+
 def test_viterbi_against_all_paths():
     rng = random.Random(4)
     priors = {"a": 0.5, "b": 0.3, "c": 0.2}

@@ -578,8 +578,8 @@ def q07_scan_verses(spark, d):
     lines = T.verse_ids(conversation_tokens(spark, d), ("conv_id", "turn")).where(W.is_word(F.col("text")))
     ordered = F.array_sort(F.collect_list(F.struct("idx", F.array(W.all_vowels_ambiguous(F.lower(W.to_ascii(F.col("text"))))).alias("forms"))))
     rows = lines.groupBy((F.col("conv_id") * 1000 + F.col("turn")).alias("doc_id"), "verse_id").agg(ordered.alias("o"))
-    short = rows.where(F.size("o") <= 12).select("doc_id", "verse_id", F.transform("o", lambda s: s["forms"]).alias("words"))
-    return Q.scan_verses(short, Q.METER_CYCLES["elegiac"])
+    verses = rows.select("doc_id", "verse_id", F.transform("o", lambda s: s["forms"]).alias("words"))
+    return Q.scan_verses(verses, Q.METER_CYCLES["elegiac"])
 
 
 @query()
