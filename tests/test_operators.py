@@ -217,6 +217,20 @@ def test_viterbi_against_all_paths():
         assert weight(tagger.tag(words)) == pytest.approx(max(map(weight, itertools.product("abc", repeat=4))))
 
 
+def test_query_tagger_learns_from_all_turns_and_long_endings(spark, tmp_path, monkeypatch):
+    from textloom.plans import registry
+
+    turns = [(1, 0, "user", "tame dog"), (1, 1, "user", "abcdefghij dog")]
+    spark.createDataFrame(turns, "conv_id long, turn long, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    made = []
+    tagger = Q.Tagger
+    monkeypatch.setattr(Q, "Tagger", lambda *args: made.append(args) or tagger(*args))
+    assert registry.queries()["q09_viterbi"](spark, str(tmp_path)).count() == 4
+    lexicon, ends = made[0][:2]
+    assert set(lexicon) == {"tame", "abcdefghij", "dog"}
+    assert "defghij" in ends and max(map(len, ends)) == 7
+
+
 def test_trees_tell_contexts_apart(spark):
     assert Q.grow_tree([(("x", "a"), 100, 0), (("x", "b"), 0, 100)], 1.0)[0][0] == 1
     rows = [(k, i, t) for k in range(20) for i, t in enumerate("abab")]

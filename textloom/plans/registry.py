@@ -588,18 +588,17 @@ def q09_viterbi(spark, d):
 
 
 def viterbi(spark, d):
-    """Trains a tagger on the even turns and tags all of them. The model is as large as the tag set and the vocabulary."""
+    """Trains a tagger on all turns and tags all of them. The model is as large as the tag set and the vocabulary."""
     tagged = tagged_words(spark, d)
-    train = tagged.where("key % 2 = 0")
-    prior = S.tag_priors(train)
-    probs = S.tag_probabilities(S.word_tags(train, train.limit(0)), prior)
+    prior = S.tag_priors(tagged)
+    probs = S.tag_probabilities(S.word_tags(tagged, tagged.limit(0)), prior)
     lexicon: dict[str, dict[str, float]] = {}
     for r in probs.where("prob > 0").collect():
         lexicon.setdefault(r["word"], {})[r["tag"]] = r["prob"]
     ends: dict[str, dict[str, float]] = {}
-    for r in S.suffix_probabilities(S.suffix_tag_sums(probs), 3).where("length(suffix) <= 3").collect():
+    for r in S.suffix_probabilities(S.suffix_tag_sums(probs)).collect():
         ends.setdefault(r["suffix"], {})[r["tag"]] = r["prob"]
-    trees = {r["tag"]: Q.load_tree(r["tree"]) for r in Q.train_trees(S.context_grams(train)).collect()}
+    trees = {r["tag"]: Q.load_tree(r["tree"]) for r in Q.train_trees(S.context_grams(tagged)).collect()}
     tagger = Q.Tagger(lexicon, ends, {r["tag"]: r["prob"] for r in prior.collect()}, trees)
     ordered = F.array_sort(F.collect_list(F.struct("pos", "word")))
     sentences = tagged.groupBy("key").agg(F.transform(ordered, lambda s: s["word"]).alias("words"))
