@@ -57,5 +57,17 @@ def test_mixed_documents_hold_the_words_taken(spark):
     assert got == want
 
 
+def test_rows_without_or_with_repeated_doc_ids_hold_the_words_taken(spark):
+    rng = random.Random(5)
+    rows = [(None if i % 2 else i // 8, words(rng, rng.randrange(1, 60)), f"s{i % 3}" if i % 7 else None) for i in range(90)]
+    docs = documents(spark, rows + rows[:5])
+    got, want = {}, {}
+    for r in mixed_documents(docs).collect():
+        got[r["source"]] = got.get(r["source"], 0) + len(r["text"].split())
+    for r in mix(docs).collect():
+        want[r["source"]] = want.get(r["source"], 0) + r["taken"]
+    assert got == want
+
+
 def test_empty(spark):
     assert mix(documents(spark, [])).count() == 0 and mixed_documents(documents(spark, [])).count() == 0

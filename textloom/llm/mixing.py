@@ -16,6 +16,7 @@ a source of its own, last in order; repeated rows are documents of their own; an
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Sequence
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -112,17 +113,17 @@ def plan_blocks(sources: list[tuple[str | None, int, int]], blocks: dict[str | N
     return rows
 
 
-def mix(docs: DataFrame, seed: int = 11) -> DataFrame:
+def mix(docs: DataFrame, seed: int = 11, carry: Sequence[str] = ()) -> DataFrame:
     """A row for each document: doc_id, source, size, source_size, target, draws and taken.
 
-    draws: an array of (shard, words), one entry each time that the document is taken; words is its size, but in the one
+    carry: further columns, which tell rows of one doc_id apart. draws: an array of (shard, words), one entry each time that the document is taken; words is its size, but in the one
     document of a source where the target is met. taken: their sum.
     """
     spark = docs.sparkSession
     work = Workspace(spark, "mix")
     key = F.xxhash64(F.lit(seed), F.col("doc_id"), F.col("source"))
     size = F.regexp_count(text_or_empty(), F.lit(r"[^\x20\x09-\x0D]+")).cast("long")
-    sized = work.save(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), size.alias("size"), key.alias("key")), "sized")
+    sized = work.save(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), size.alias("size"), key.alias("key"), *carry), "sized")
 
     found = {r["source"]: r["words"] for r in sized.groupBy("source").agg(F.sum("size").alias("words")).collect()}
     order = sorted((s for s in found if s is not None), key=lambda s: [ord(c) for c in s]) + [s for s in found if s is None]
@@ -139,7 +140,7 @@ def mix(docs: DataFrame, seed: int = 11) -> DataFrame:
     # Only the block in which a source's target is met needs its documents in order; it holds BLOCK_WORDS words or a
     # MOST_BLOCKS-th of its source.
     plain = joined.where(F.col("cut_words") == 0).withColumn("before", F.lit(0).cast("long"))
-    inside = Window.partitionBy("source", "block").orderBy(F.xxhash64(F.lit(seed + 1), "doc_id"), "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
+    inside = Window.partitionBy("source", "block").orderBy(F.xxhash64(F.lit(seed + 1), "doc_id"), "doc_id", "size", *carry).rowsBetween(Window.unboundedPreceding, -1)
     met = joined.where(F.col("cut_words") > 0).withColumn("before", F.coalesce(F.sum("size").over(inside), F.lit(0)))
     part = F.greatest(F.lit(0), F.least(F.col("size"), F.col("cut_words") - F.col("before"))).cast("long")
     both = plain.unionByName(met).withColumn("part", F.when(F.col("cut_words") > 0, part).otherwise(F.lit(0)))
@@ -147,7 +148,7 @@ def mix(docs: DataFrame, seed: int = 11) -> DataFrame:
     last = F.array(F.struct(F.col("cut_shard").alias("shard"), F.col("part").alias("words")))
     draws = F.filter(F.concat(whole, F.when(F.col("part") > 0, last).otherwise(F.filter(last, lambda x: F.lit(False)))), lambda x: x["words"] > 0)
     out = both.withColumn("draws", draws)
-    return out.select("doc_id", "source", "size", "source_size", "target", "draws", (F.col("size") * F.size("shards") + F.col("part")).alias("taken"))
+    return out.select("doc_id", "source", "size", "source_size", "target", "draws", (F.col("size") * F.size("shards") + F.col("part")).alias("taken"), *carry)
 
 
 def _small(spark, rows: list[tuple], schema: str) -> DataFrame:
@@ -158,13 +159,18 @@ def _small(spark, rows: list[tuple], schema: str) -> DataFrame:
 def mixed_documents(docs: DataFrame, seed: int = 11) -> DataFrame:
     """The documents of the mix, with the columns of `docs`: each as often as it is drawn, in shards shuffled locally.
 
-    A document in which its source's target is met is cut behind its last word taken. Other rows of the same doc_id and
-    source must not exist, or they are taken together.
+    A document in which its source's target is met is cut behind its last word taken. Rows are told apart by doc_id,
+    source and text; rows that are equal in all three share out their draws one by one.
     """
     names = docs.columns
-    rows = mix(docs, seed).where(F.size("draws") > 0).dropDuplicates(["doc_id", "source"])
-    drawn = rows.select(F.col("doc_id").alias("_tl_id"), F.col("source").alias("_tl_source"), F.col("size").alias("_tl_size"), "draws")
-    joined = docs.join(drawn, F.col("doc_id").eqNullSafe(F.col("_tl_id")) & F.col("source").eqNullSafe(F.col("_tl_source")))
+    # Two hashes: one of 64 bits could be the same for different rows of a large corpus.
+    parts = [F.col("doc_id"), F.col("source"), F.col("text"), *[F.col(c).isNull() for c in ("doc_id", "source", "text")]]
+    row = ["_tl_one", "_tl_two"]
+    docs = docs.withColumns({c: F.xxhash64(F.lit(k), *parts) for k, c in enumerate(row)})
+    drawn = mix(docs, seed, row).groupBy(*row).agg(F.max("size").alias("_tl_size"), F.array_sort(F.collect_list("draws")).alias("_tl_draws"))
+    drawn = drawn.where(F.exists("_tl_draws", lambda x: F.size(x) > 0))
+    joined = docs.join(drawn.hint("merge"), row).withColumn("_tl_nth", F.row_number().over(Window.partitionBy(*row).orderBy(row[0])))
+    joined = joined.withColumn("draws", F.element_at("_tl_draws", F.col("_tl_nth")))
     each = joined.select(*[F.col(f"`{c}`") for c in names], "_tl_size", F.posexplode("draws").alias("_tl_copy", "_tl_draw"))
     ends = F.split("text", r"(?<=[^\x20\x09-\x0D])(?=[\x20\x09-\x0D])")
     head = F.array_join(F.slice(ends, F.lit(1), F.col("_tl_draw.words").cast("int")), "")
