@@ -70,3 +70,12 @@ def test_grammar_round_trip_and_ranges(first):
     assert shard.ids().tolist() == ids.tolist() and len(shard.symbols) < len(ids) / 2
     for a in range(0, len(ids) - 30, 97):
         assert shard.range(a, 30).tolist() == ids[a : a + 30].tolist()
+
+
+def test_grammar_goes_on_until_no_pair_is_frequent():
+    rng = random.Random(12)
+    ids = np.array([rng.randrange(3, 30000) for _ in range(512)] * 200, np.uint32)
+    rules, left = token_shards.compress(ids, 40000, 2)
+    assert (token_shards.expand(left, rules, 40000) == ids).all()
+    counts = np.unique(np.stack([left[:-1], left[1:]], 1), axis=0, return_counts=True)[1]
+    assert counts.max(initial=0) < token_shards.LEAST_COUNT and len(left) < 1000

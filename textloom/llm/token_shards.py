@@ -35,8 +35,8 @@ SHARD_TOKENS = 1_000_000
 CACHE_CHUNKS, CALL_WORDS, SLICE_BYTES = 400_000, 20_000, 8_000_000
 #: The id appended to each document.
 END_ID = 2
-#: Rounds of replacement, pairs replaced in a round, and how often a pair must occur.
-ROUNDS, ROUND_RULES, LEAST_COUNT = 4, 4000, 16
+#: Pairs replaced in a round, and how often a pair must occur.
+ROUND_RULES, LEAST_COUNT = 4000, 16
 #: Rows of the parts' offsets that are broadcast; more are joined by shuffling.
 MOST_BROADCAST = 50_000
 MAGIC, VERSION = b"TLRP", 1
@@ -52,9 +52,7 @@ def compress(ids: np.ndarray, first: int, barrier: int) -> tuple[np.ndarray, np.
     them overlap the more frequent one goes first. Pairs with the symbol barrier stay.
     """
     seq, rules = ids.astype(np.uint32), []
-    for _ in range(ROUNDS):
-        if len(seq) < 2:
-            break
+    while len(seq) > 1:
         # Two symbols in 32 bits while they are below 2^16, else in 64.
         wide = first + sum(map(len, rules)) > 1 << 16
         kind, shift = (np.uint64, 32) if wide else (np.uint32, 16)
