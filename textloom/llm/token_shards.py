@@ -1,6 +1,6 @@
 """Token-ID / binary output (8): shards of token ids, compressed by a Re-Pair grammar.
 
-Documents are dealt by ranges of doc_id, sorted, encoded, and gathered into shards of about SHARD_TOKENS ids. A shard is
+Documents are dealt by ranges of doc_id, sorted, encoded whole by the tokenizers library, and gathered into shards of about SHARD_TOKENS ids. A shard is
 one binary value in a Parquet table in the shared folder (so any store that Spark writes to will do, with Spark's own
 commit protocol): in rounds, its most frequent id pairs are replaced by nonterminals until no pair is frequent. The
 rules and each rule's expansion length are stored, so any range of ids can be decoded by itself.
@@ -15,6 +15,7 @@ follow each other in the order of their texts; an empty table gives no shards; f
 
 from __future__ import annotations
 
+import os
 import struct
 import zlib
 from collections.abc import Iterator
@@ -22,17 +23,18 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .bpe import VOCABULARY, ChunkCoder, WordBpe, ragged, slices, vocabulary_path
+from .bpe import VOCABULARY, ragged, slices, vocabulary_path
 from .common import Workspace, ship, text_or_empty
 
 #: Ids a shard should hold; one task holds a shard in memory.
 SHARD_TOKENS = 1_000_000
-#: Chunks and words that a worker remembers, words encoded in one call of the library, and bytes worked on together.
-CACHE_CHUNKS, CALL_WORDS, SLICE_BYTES = 400_000, 20_000, 8_000_000
+#: Bytes of text encoded in one call of the library, and bytes worked on together; a longer text is a call by itself.
+CALL_BYTES, SLICE_BYTES = 500_000, 4_000_000
 #: The id appended to each document.
 END_ID = 2
 #: Pairs replaced in a round, and how often a pair must occur.
@@ -179,49 +181,35 @@ class Shard:
         return expand(self.symbols[a:b], self.rules, self.first)[skip : skip + n]
 
 
-class LibraryBpe(WordBpe):
-    """Words encoded by the tokenizers library, all new ones of a batch in one call.
-
-    The vocabulary marks the end of each word, so the ids of a call fall apart into its words.
-    """
+class LibraryCoder:
+    """Whole texts encoded by the tokenizers library, a bounded number of bytes in one call."""
 
     def __init__(self, path: str) -> None:
-        super().__init__(path)
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        self.ends = np.array([t.endswith(self.end) for t in self.tokens])
-        self.words.most = 2 * CACHE_CHUNKS
-
-    def _call(self, text: str) -> np.ndarray:
-        return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.int64)
-
-    def merge_words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        real = np.array([w != "\n" for w in words])
-        some = [w for w in words if w != "\n"]
-        found: list[tuple[np.ndarray, np.ndarray]] = []
-        for a in range(0, len(some), CALL_WORDS):
-            part = some[a : a + CALL_WORDS]
-            ids = self._call(" ".join(part))
-            last = np.flatnonzero(self.ends[ids])
-            if len(last) != len(part):  # a word that is not one word by itself
-                each = [self._call(w) for w in part]
-                found.append((np.array([len(x) for x in each]), np.concatenate(each)))
-            else:
-                found.append((np.diff(np.append(-1, last)), ids))
-        lengths = np.zeros(len(words), np.int64)
-        if found:
-            lengths[real] = np.concatenate([x for x, _ in found])
-        return lengths, np.concatenate([x for _, x in found]) if found else np.zeros(0, np.int64)
+
+    def encode_texts(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The number of ids of each text, and all ids."""
+        sizes = pc.binary_length(texts).to_numpy(zero_copy_only=False)
+        found: list[np.ndarray] = []
+        for part in np.split(np.arange(len(texts)), np.flatnonzero(np.diff(np.cumsum(sizes) // CALL_BYTES)) + 1):
+            if len(part):
+                every = self.tokenizer.encode_batch_fast(texts.slice(int(part[0]), len(part)).to_pylist(), add_special_tokens=False)
+                found += [np.array(x.ids, np.uint32) for x in every]
+        lengths = np.fromiter(map(len, found), np.int64, len(found))
+        return lengths, np.concatenate(found) if found else np.zeros(0, np.uint32)
 
 
 @lru_cache(2)
-def _coder(name: str) -> tuple[ChunkCoder, int]:
-    """The library's encoder over remembered chunks, and its number of ids."""
-    bpe = LibraryBpe(vocabulary_path(name))
-    return ChunkCoder(bpe.encode_chunks, CACHE_CHUNKS), bpe.tokenizer.get_vocab_size(with_added_tokens=True)
+def _coder(name: str) -> tuple[LibraryCoder, int]:
+    """The library's encoder, and its number of ids."""
+    # A task has one core: its texts are encoded one after the other.
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"
+    coder = LibraryCoder(vocabulary_path(name))
+    return coder, coder.tokenizer.get_vocab_size(with_added_tokens=True)
 
 
 def write_shards(docs: DataFrame, work: Workspace, name: str = VOCABULARY, table: str = "shards") -> DataFrame:
@@ -250,7 +238,7 @@ def write_shards(docs: DataFrame, work: Workspace, name: str = VOCABULARY, table
         for batch in slices(batches, "text", SLICE_BYTES):
             lengths, ids = coder.encode_texts(batch.column("text"))
             starts = np.cumsum(lengths) - lengths
-            ended = np.full(len(ids) + len(lengths), END_ID, np.int64)
+            ended = np.full(len(ids) + len(lengths), END_ID, np.uint32)
             ended[ragged(starts + np.arange(len(lengths)), lengths)] = ids
             doc_ids += batch.column("doc_id").to_pylist()
             sizes.append(lengths + 1)
