@@ -1,6 +1,6 @@
 """Token-ID / binary output (8): shards of token ids, compressed by a Re-Pair grammar.
 
-Documents are dealt by ranges of doc_id, sorted, encoded whole by the tokenizers library, and gathered into shards of about SHARD_TOKENS ids. A shard is
+Documents are dealt by ranges of doc_id, sorted, encoded by the tokenizers library, and gathered into shards of about SHARD_TOKENS ids. A shard is
 one binary value in a Parquet table in the shared folder (so any store that Spark writes to will do, with Spark's own
 commit protocol): in rounds, its most frequent id pairs are replaced by nonterminals until no pair is frequent. The
 rules and each rule's expansion length are stored, so any range of ids can be decoded by itself.
@@ -15,26 +15,29 @@ follow each other in the order of their texts; an empty table gives no shards; f
 
 from __future__ import annotations
 
+import json
 import os
 import struct
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .bpe import VOCABULARY, ragged, slices, vocabulary_path
+from .bpe import VOCABULARY, ChunkCoder, ragged, slices, vocabulary_path
 from .common import Workspace, ship, text_or_empty
 
 #: Ids a shard should hold; one task holds a shard in memory.
 SHARD_TOKENS = 1_000_000
-#: Bytes of text encoded in one call of the library, and bytes worked on together; a longer text is a call by itself.
-CALL_BYTES, SLICE_BYTES = 500_000, 4_000_000
+#: Pieces of text that a worker remembers, texts or pieces encoded in one call of the library, and bytes worked on together.
+CACHE_CHUNKS, CALL_TEXTS, SLICE_BYTES = 1_000_000, 1000, 8_000_000
+#: Fixed value: a pattern of words that matches no white space.
+WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 #: The id appended to each document.
 END_ID = 2
 #: Pairs replaced in a round, and how often a pair must occur.
@@ -51,56 +54,70 @@ def compress(ids: np.ndarray, first: int, barrier: int) -> tuple[np.ndarray, np.
     """Rules (rows of two symbols; rule k is the symbol first + k) and the symbols that are left of ids.
 
     Each round replaces the most frequent pairs, all those of one round by what they counted before it; where two of
-    them overlap the more frequent one goes first. Pairs with the symbol barrier stay.
+    them overlap the more frequent one goes first. Pairs with the symbol barrier stay. A pair only becomes more frequent
+    by a new symbol in it, so after the first round only places beside new symbols, and those of frequent pairs that are
+    left, are looked at.
     """
-    seq, rules = ids.astype(np.uint32), []
-    while len(seq) > 1:
+    seq, rules, made = ids.astype(np.uint32), [], first
+    at = np.arange(max(0, len(seq) - 1))
+    while len(at):
         # Two symbols in 32 bits while they are below 2^16, else in 64.
-        wide = first + sum(map(len, rules)) > 1 << 16
-        kind, shift = (np.uint64, 32) if wide else (np.uint32, 16)
-        never = np.iinfo(kind).max
-        key = seq[:-1].astype(kind) << kind(shift) | seq[1:].astype(kind)
-        key[(seq[:-1] == barrier) | (seq[1:] == barrier)] = never
+        kind, shift = (np.uint64, 32) if made > 1 << 16 else (np.uint32, 16)
+        one, two = seq[at], seq[at + 1]
+        inside = (one != barrier) & (two != barrier)
+        at, one, two = at[inside], one[inside], two[inside]
+        key = one.astype(kind) << kind(shift) | two.astype(kind)
         ordered = np.sort(key)
-        edge = np.flatnonzero(np.append(True, ordered[1:] != ordered[:-1]))
-        counts, pairs = np.diff(np.append(edge, len(ordered))), ordered[edge]
-        frequent = np.flatnonzero((counts >= LEAST_COUNT) & (pairs != never))
-        if not len(frequent):
+        edge = np.flatnonzero(np.append(True, ordered[1:] != ordered[:-1])) if len(ordered) else np.zeros(0, int)
+        counts = np.diff(np.append(edge, len(ordered)))
+        often = counts >= LEAST_COUNT
+        if not often.any():
             break
-        chosen = frequent[np.argsort(-counts[frequent], kind="stable")[:ROUND_RULES]]
-        by_key = np.sort(pairs[chosen])
-        place = np.argsort(np.argsort(pairs[chosen]))  # of each chosen pair in by_key
-        rank_of = np.empty(len(chosen), np.int64)
-        rank_of[place] = np.arange(len(chosen))
-        none = len(chosen)
-        rank = np.full(len(seq), none)
-        # Only places whose symbols begin and end some chosen pair are looked up.
-        sides = np.zeros((2, int(seq.max()) + 1), bool)
-        sides[0, by_key >> kind(shift)] = True
-        sides[1, by_key & kind((1 << shift) - 1)] = True
-        maybe = np.flatnonzero(sides[0, seq[:-1]] & sides[1, seq[1:]])
-        at = np.minimum(np.searchsorted(by_key, key[maybe]), none - 1)
-        rank[maybe] = np.where(by_key[at] == key[maybe], rank_of[at], none)
+        pairs, counts = ordered[edge[often]], counts[often]
+        # Only places whose symbols begin and end some frequent pair are looked up.
+        sides = np.zeros((2, made), bool)
+        sides[0, pairs >> kind(shift)] = True
+        sides[1, pairs & kind((1 << shift) - 1)] = True
+        maybe = np.flatnonzero(sides[0, one] & sides[1, two])
+        key = key[maybe]
+        found = np.minimum(np.searchsorted(pairs, key), len(pairs) - 1)
+        hit = pairs[found] == key
+        at, found = at[maybe[hit]], found[hit]
+        rank_of = np.empty(len(pairs), np.int64)
+        rank_of[np.argsort(-counts, kind="stable")] = np.arange(len(pairs))
+        rank = rank_of[found]
         # A pair is replaced where no neighbour has a better rank; equal ranks overlap in runs (aaa), from the left.
-        before = np.append(none, rank[:-1])
-        after = np.append(rank[1:], none)
-        pick = (rank < none) & (rank <= before) & (rank <= after)
+        none = len(pairs)
+        close = np.diff(at) == 1
+        before = np.append(none, np.where(close, rank[:-1], none))
+        after = np.append(np.where(close, rank[1:], none), none)
+        pick = (rank < ROUND_RULES) & (rank <= before) & (rank <= after)
         twin = pick & np.append(False, pick[:-1]) & (rank == before)
         if twin.any():
             where = np.flatnonzero(pick)
             head = ~twin[where]
             start = where[head][np.cumsum(head) - 1]
             pick[where[(where - start) % 2 == 1]] = False
-        where = np.flatnonzero(pick)
-        used = np.unique(rank[where])
-        number = np.zeros(none, np.int64)
-        number[used] = np.arange(len(used))
-        base = first + sum(map(len, rules))
-        rules.append(np.stack([pairs[chosen[used]] >> kind(shift), pairs[chosen[used]] & kind((1 << shift) - 1)], 1).astype(np.uint32))
-        seq[where] = (base + number[rank[where]]).astype(np.uint32)
+        where = at[pick]
+        used = np.zeros(none, bool)
+        used[found[pick]] = True
+        number = np.cumsum(used) - 1
+        rules.append(np.stack([pairs[used] >> kind(shift), pairs[used] & kind((1 << shift) - 1)], 1).astype(np.uint32))
+        seq[where] = (made + number[found[pick]]).astype(np.uint32)
+        made += len(rules[-1])
         keep = np.ones(len(seq), bool)
         keep[where + 1] = False
+        # Frequent pairs that are left: neither symbol went into a new one.
+        rest = at[~pick]
+        new = np.zeros(len(seq) + 1, bool)
+        new[where] = True
+        rest = rest[~new[rest] & ~new[rest + 1] & keep[rest]]
+        rest = rest - np.searchsorted(where, rest)
         seq = seq[keep]
+        place = where - np.arange(len(where))
+        beside = np.zeros(len(seq) + 1, bool)
+        beside[place] = beside[place - 1] = beside[rest] = True
+        at = np.flatnonzero(beside[: len(seq) - 1])
     return np.concatenate(rules) if rules else np.zeros((0, 2), np.uint32), seq
 
 
@@ -119,17 +136,26 @@ def expansion_lengths(rules: np.ndarray, first: int) -> np.ndarray:
     return out
 
 
-def expand(symbols: np.ndarray, rules: np.ndarray, first: int) -> np.ndarray:
-    """The ids that symbols stand for."""
-    out = symbols.astype(np.uint32)
-    while (deep := out >= first).any():
+def expand(symbols: np.ndarray, rules: np.ndarray, first: int, lengths: np.ndarray | None = None) -> np.ndarray:
+    """The ids that symbols stand for; lengths: of the rules' expansions, if they are at hand."""
+    lengths = (expansion_lengths(rules, first) if lengths is None else lengths).astype(np.int64)
+    # All rules once, a level at a time; then every symbol takes its run.
+    table = np.arange(first, first + len(rules), dtype=np.uint32)
+    while (deep := table >= first).any():
         width = 1 + deep.astype(np.int64)
         at = np.cumsum(width) - width
         new = np.empty(int(width.sum()), np.uint32)
-        new[at[~deep]] = out[~deep]
-        pair = rules[out[deep] - np.uint32(first)]
+        new[at[~deep]] = table[~deep]
+        pair = rules[table[deep] - np.uint32(first)]
         new[at[deep]], new[at[deep] + 1] = pair[:, 0], pair[:, 1]
-        out = new
+        table = new
+    deep = np.flatnonzero(symbols >= first)
+    rule = symbols[deep].astype(np.int64) - first
+    width = np.ones(len(symbols), np.int64)
+    width[deep] = lengths[rule]
+    out = np.repeat(symbols.astype(np.uint32), width)
+    begin = np.cumsum(lengths) - lengths
+    out[ragged((np.cumsum(width) - width)[deep], width[deep])] = table[ragged(begin[rule], width[deep])]
     return out
 
 
@@ -165,7 +191,7 @@ class Shard:
         return b"".join([head, rules.astype("<u4").tobytes(), lengths.tobytes(), symbols.astype(f"<u{width}").tobytes(), numbers.tobytes(), known.tobytes(), np.asarray(sizes, "<i8").tobytes()])
 
     def ids(self) -> np.ndarray:
-        return expand(self.symbols, self.rules, self.first)
+        return expand(self.symbols, self.rules, self.first, self.lengths)
 
     def range(self, start: int, n: int) -> np.ndarray:
         """n ids from start on, decoding only the symbols that cover them."""
@@ -178,11 +204,16 @@ class Shard:
         a = int(np.searchsorted(self._ends, start, "right"))
         b = int(np.searchsorted(self._ends, start + n, "left")) + 1
         skip = start - (int(self._ends[a - 1]) if a else 0)
-        return expand(self.symbols[a:b], self.rules, self.first)[skip : skip + n]
+        return expand(self.symbols[a:b], self.rules, self.first, self.lengths)[skip : skip + n]
 
 
 class LibraryCoder:
-    """Whole texts encoded by the tokenizers library, a bounded number of bytes in one call."""
+    """Texts encoded by the tokenizers library, which normalises, splits and merges.
+
+    Where the tokenizer drops white space between words and neither it nor the normaliser looks across it, a text's ids
+    are those of its pieces between spaces and line feeds, one after the other: each distinct piece is encoded once and
+    remembered. For other tokenizers the library gets the whole texts.
+    """
 
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer
@@ -190,17 +221,34 @@ class LibraryCoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
+        with open(path, encoding="utf-8") as f:
+            self.pieces = ChunkCoder(self._encode, CACHE_CHUNKS) if parts_at_spaces(json.load(f)) else None
+
+    def _encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        lengths, parts = np.zeros(len(texts), np.int64), [np.zeros(0, np.int32)]
+        for a in range(0, len(texts), CALL_TEXTS):
+            found = [x.ids for x in self.tokenizer.encode_batch_fast(texts[a : a + CALL_TEXTS], add_special_tokens=False)]
+            lengths[a : a + len(found)] = [len(x) for x in found]
+            parts.append(np.fromiter(chain.from_iterable(found), np.int32, int(lengths[a : a + len(found)].sum())))
+        return lengths, np.concatenate(parts)
 
     def encode_texts(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """The number of ids of each text, and all ids."""
-        sizes = pc.binary_length(texts).to_numpy(zero_copy_only=False)
-        found: list[np.ndarray] = []
-        for part in np.split(np.arange(len(texts)), np.flatnonzero(np.diff(np.cumsum(sizes) // CALL_BYTES)) + 1):
-            if len(part):
-                every = self.tokenizer.encode_batch_fast(texts.slice(int(part[0]), len(part)).to_pylist(), add_special_tokens=False)
-                found += [np.array(x.ids, np.uint32) for x in every]
-        lengths = np.fromiter(map(len, found), np.int64, len(found))
-        return lengths, np.concatenate(found) if found else np.zeros(0, np.uint32)
+        return self._encode(texts.to_pylist()) if self.pieces is None else self.pieces.encode_texts(texts)
+
+
+def parts_at_spaces(spec: dict) -> bool:
+    """Whether a tokenizer's words never hold or touch white space that matters: by its normalisers, by its split, which
+    keeps what a pattern without white space matches, and by its added tokens."""
+    normal = spec["normalizer"] or {"type": "Sequence", "normalizers": []}
+    steps = normal["normalizers"] if normal["type"] == "Sequence" else [normal]
+    local = all(x["type"] in ("NFC", "Lowercase") or (x["type"] == "Replace" and x["pattern"] == {"Regex": r"\s+"} and x["content"] == " ") for x in steps)
+    cut = spec["pre_tokenizer"] or {"type": ""}
+    cuts = cut["pretokenizers"] if cut["type"] == "Sequence" else [cut]
+    split = cuts[0].get("type") == "Split" and cuts[0]["behavior"] == "Removed" and cuts[0]["invert"] and cuts[0]["pattern"] == {"Regex": WORD_PATTERN}
+    rest = all(x["type"] == "ByteLevel" and not x["use_regex"] and not x["add_prefix_space"] for x in cuts[1:])
+    added = all(not t["content"].split()[1:] and not t["lstrip"] and not t["rstrip"] and not t["single_word"] for t in spec["added_tokens"])
+    return local and split and rest and added
 
 
 @lru_cache(2)
