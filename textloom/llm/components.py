@@ -8,8 +8,13 @@ from pyspark.sql import functions as F
 from .common import Workspace
 
 
+#: A node with more neighbours than this, and than a HOT_SHARE-th of all pairs, is joined by broadcast: there are at most
+#: HOT_SHARE of them, so no task gets all pairs of one node.
+HOT_ROWS, HOT_SHARE = 1000, 256
+
+
 def components(edges: DataFrame, work: Workspace, table: str) -> DataFrame:
-    """node and root (the smallest node of its component) of the nodes of `edges` (a, b: long).
+    """node and root (the smallest node of its component) of the nodes of `edges` (a, b: long), as a table of `work`.
 
     Alternating stars: every node points its larger neighbours at its smallest one, then its smaller neighbours, until
     each component is a star around its root. Each round sums by node and joins by node; the longest path shrinks by
@@ -21,18 +26,30 @@ def components(edges: DataFrame, work: Workspace, table: str) -> DataFrame:
     while before[0]:
         k += 1
         both = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy(F.col("a").alias("u")).agg(F.min("b").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(least.hint("merge"), F.col("a") == F.col("u")).where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        least = large.groupBy(F.col("a").alias("u")).agg(F.min("b").alias("m"))
-        joined = large.join(least.hint("merge"), F.col("a") == F.col("u"))
+        large = _with_least(both, before[0], True).where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        large = work.save(large, f"{table}-large")
+        joined = _with_least(large, before[0], False)
         small = joined.where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(joined.select("a", F.col("m").alias("b"))).where("a <> b")
         pairs = work.save(small.distinct(), f"{table}-{k}")
+        work.drop(f"{table}-large", f"{table}-{k - 1}")
         now = _state(pairs)
         if now == before:
             break
         before = now
     roots = pairs.select(F.col("b").alias("node")).distinct().select("node", F.col("node").alias("root"))
-    return pairs.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(roots)
+    out = work.save(pairs.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(roots), table)
+    work.drop(f"{table}-{k}")
+    return out
+
+
+def _with_least(pairs: DataFrame, n: int, itself: bool) -> DataFrame:
+    """a, b and m: the least neighbour of a, or a itself."""
+    least = pairs.groupBy("a").agg(F.min("b").alias("m"), F.count(F.lit(1)).alias("n"))
+    least = least.withColumn("m", F.least("a", "m")) if itself else least
+    hot = F.col("n") > max(HOT_ROWS, n // HOT_SHARE)
+    many = F.broadcast(least.where(hot).select("a", "m"))
+    few = least.where(~hot).select("a", "m")
+    return pairs.join(many, "a").unionByName(pairs.join(many.select("a"), "a", "left_anti").join(few.hint("merge"), "a"))
 
 
 def _state(pairs: DataFrame) -> tuple:

@@ -7,11 +7,10 @@ least THRESHOLD; classes are the connected components of the links, named by the
 1. Packs count their shingles, buckets add the counts and answer with document frequencies.
 2. A document can only be similar to another if shingles that occur in more than one document make up THRESHOLD of its
    weight; all others are done. The rest get SAMPLES consistent weighted samples in BANDS bands.
-3. Documents that share a band are compared with two centres of that band; pairs are verified exactly, on the shingles'
-   weights. Then documents of a band that holds several classes meet another centre, drawn by hash from another class
-   where it can be. This joins most of a large group cheaply.
+3. Documents that share a band are compared with a centre of it, its smallest doc_id, exactly, on the shingles' weights.
+   In bands that hold several classes after that, documents of other classes meet the document with the most links.
 4. Where a band still holds several classes, all its documents that were no centre are compared with each other, in
-   blocks of about BLOCK documents. So every pair that shares a band is either compared or already of one class.
+   pairs of blocks. So every pair that shares a band is either compared or already of one class.
 
 Equal texts are one document in 2 to 4 and come back at the end, so copies cost nothing.
 
@@ -41,16 +40,15 @@ from pyspark.sql import functions as F
 from .bpe import chunks_of, ragged
 from .common import Workspace, ship
 from .components import components
-from .packs import NO_ID, Pack, batch_of, digest_table, first_of_copies, later_copies, make_packs, packs_in, squeeze, unsqueeze
+from .packs import NO_ID, Pack, batch_of, digest_table, later_copies, make_packs, packs_in, squeeze, unsqueeze
 
 WORDS, THRESHOLD = 5, 0.8
 BANDS, ROWS = 14, 3
 SAMPLES = BANDS * ROWS
-#: Rounds of comparisons: the first with two centres of each band, each further one with another of the bands in which
-#: several classes are left.
-ROUNDS = 2
-#: Documents of a block, when all pairs of a band are compared.
-BLOCK = 400
+#: Documents of a centre that are compared in one place, and places over which the search for large centres is spread.
+PART, SALTS = 1000, 64
+#: Documents and shingles of a block, when all pairs of a band are compared.
+BLOCK, BLOCK_SHINGLES = 1000, 1_000_000
 #: Bytes of text that a bucket of shingles stands for, and least number of buckets.
 BUCKET_BYTES, LEAST_BUCKETS = 18_000_000, 48
 #: The inverse document frequency lies between 1 and 1 + IDF_RANGE.
@@ -62,7 +60,7 @@ SPARE_BITS = 20
 SENT = "bucket int, pack long, ids binary, counts binary"
 ANSWER = "pack long, bucket int, codes binary"
 LINK = "a long, b long"
-CANDIDATE = "doc_id long, keys binary, weight double, vector binary"
+CANDIDATE = "doc_id long, keys binary, weight double, size long, vector binary"
 _RNG = np.random.default_rng(17)
 _R, _LOG_C, _BETA = -np.log(_RNG.random((2, 1 << 16))).sum(0), np.log(-np.log(_RNG.random((2, 1 << 16))).sum(0)), _RNG.random(1 << 16)
 _MULTS = _RNG.integers(1, 1 << 63, SAMPLES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -108,18 +106,19 @@ def shingles(texts: pa.Array, bits: int) -> tuple[np.ndarray, np.ndarray, np.nda
 
 
 def _deltas(ids: np.ndarray) -> bytes:
-    """Sorted numbers as their differences, in four bytes each if those fit."""
-    steps = np.diff(ids, prepend=np.uint64(0))
-    if len(steps) > 1 and steps[1:].max() < 1 << 32:
-        return ids[:1].tobytes() + steps[1:].astype("<u4").tobytes() + b"4"
-    return ids.tobytes() + b"8"
+    """Sorted numbers as their differences, in byte planes: the three low ones as they are, the others squeezed.
+
+    The differences of hashes are spread evenly, so what they take is about their entropy, whatever the numbers' width.
+    """
+    planes = np.diff(ids, prepend=np.uint64(0)).astype("<u8").view(np.uint8).reshape(-1, 8).T
+    return np.ascontiguousarray(planes[:3]).tobytes() + squeeze(np.ascontiguousarray(planes[3:]))
 
 
-def _undelta(data: bytes) -> np.ndarray:
-    if data[-1:] == b"8":
-        return np.frombuffer(data, np.uint64, (len(data) - 1) // 8)
-    steps = np.frombuffer(data, "<u4", (len(data) - 9) // 4, 8).astype(np.uint64)
-    return np.cumsum(np.append(np.frombuffer(data, np.uint64, 1), steps), dtype=np.uint64)
+def _undelta(data: bytes, n: int) -> np.ndarray:
+    planes = np.empty((8, n), np.uint8)
+    planes[:3] = np.frombuffer(data, np.uint8, 3 * n).reshape(3, n)
+    planes[3:] = np.frombuffer(unsqueeze(data[3 * n :]), np.uint8).reshape(5, n)
+    return np.cumsum(np.ascontiguousarray(planes.T).view("<u8").ravel(), dtype=np.uint64)
 
 
 def bucket_edges(ids: np.ndarray, bits: int, buckets: int) -> np.ndarray:
@@ -142,8 +141,8 @@ def send_counts(pack: Pack, bits: int, buckets: int) -> list[tuple]:
 
 def answer_frequencies(pdf: pd.DataFrame) -> pd.DataFrame:
     """Of a bucket: for each pack the codes of its shingles' document frequencies, in the order sent."""
-    ids = [_undelta(x) for x in pdf["ids"]]
     counts = [np.frombuffer(unsqueeze(x), "<u4").astype(np.int64) for x in pdf["counts"]]
+    ids = [_undelta(x, len(c)) for x, c in zip(pdf["ids"], counts, strict=True)]
     flat = np.concatenate(ids)
     order = np.argsort(flat, kind="stable")
     ordered = flat[order]
@@ -205,15 +204,11 @@ def candidates_of(pack: Pack, codes: np.ndarray, copies: np.ndarray, bits: int,
     ends = np.append(starts[1:], len(ids)).tolist()
     # Weights as four-byte floats, for the samples' sums as for the verification.
     light = weight.astype("<f4")
-    return [(int(pack.ids[owner[a]]), keys[i].tobytes(), float(total[owner[a]]), squeeze(ids[a:b].tobytes() + light[a:b].tobytes())) for i, (a, b) in enumerate(zip(starts.tolist(), ends, strict=True))]
-
-
-def similarity(one: bytes, two: bytes) -> float:
-    """The weighted Jaccard similarity of two vectors of CANDIDATE."""
-    return _jaccard(_vector(one), _vector(two))
+    return [(int(pack.ids[owner[a]]), keys[i].tobytes(), float(total[owner[a]]), b - a, squeeze(ids[a:b].tobytes() + light[a:b].tobytes())) for i, (a, b) in enumerate(zip(starts.tolist(), ends, strict=True))]
 
 
 def _jaccard(one: tuple[np.ndarray, np.ndarray], two: tuple[np.ndarray, np.ndarray]) -> float:
+    """The weighted Jaccard similarity of two vectors."""
     (i, w), (j, v) = one, two
     at = np.searchsorted(j, i)
     at[at == len(j)] = 0
@@ -223,120 +218,183 @@ def _jaccard(one: tuple[np.ndarray, np.ndarray], two: tuple[np.ndarray, np.ndarr
 
 
 def _vector(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Ids and weights of a vector of CANDIDATE."""
     raw = unsqueeze(data)
     n = len(raw) // 12
     return np.frombuffer(raw, np.uint64, n), np.frombuffer(raw, "<f4", n, 8 * n).astype(float)
 
 
-def verified(edges: DataFrame, vectors: DataFrame) -> DataFrame:
-    """The pairs a, b of edges whose similarity is THRESHOLD or more."""
-    one = vectors.select(F.col("doc_id").alias("a"), F.col("vector").alias("one"))
-    two = vectors.select(F.col("doc_id").alias("b"), F.col("vector").alias("two"))
-    met = edges.join(one.hint("merge"), "a").join(two.hint("merge"), "b").select("a", "b", "one", "two")
+def _binary(column: pa.Array) -> list[bytes]:
+    return [x.as_buffer().to_pybytes() for x in column]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            one, two = batch.column("one"), batch.column("two")
-            good = [similarity(x.as_buffer().to_pybytes(), y.as_buffer().to_pybytes()) >= THRESHOLD - 1e-6 for x, y in zip(one, two, strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], ["a", "b"]).filter(pa.array(good, pa.bool_()))
 
-    return met.mapInArrow(run, LINK)
+def compare_stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """LINK of documents and their centres. Rows come by centre and part, the centre's own vectors first."""
+    last, centres = None, []
+    for batch in batches:
+        found = []
+        for a, part, doc, data in zip(batch.column("a").to_pylist(), batch.column("part").to_pylist(), batch.column("doc_id").to_pylist(), batch.column("vector"), strict=True):
+            vector = _vector(data.as_buffer().to_pybytes())
+            if (a, part) != last:
+                last, centres = (a, part), []
+            if doc == a:
+                centres.append(vector)
+            elif any(_jaccard(c, vector) >= THRESHOLD - 1e-6 for c in centres):
+                found.append((a, doc))
+        yield batch_of(LINK, [min(x) for x in found], [max(x) for x in found])
 
 
-def compare_blocks(pdf: pd.DataFrame) -> pd.DataFrame:
+def verified(stars: DataFrame, vectors: DataFrame) -> DataFrame:
+    """LINK of the pairs of `stars` (a: a centre, doc_id) whose similarity is THRESHOLD or more.
+
+    A centre of many documents is dealt to several parts of about PART documents.
+    """
+    sizes = stars.groupBy("a").agg(F.count(F.lit(1)).alias("n"))
+    spread = F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int")
+    hot = sizes.where(F.col("n") > PART).select("a", F.ceil(F.col("n") / PART).cast("int").alias("parts"))
+    salted = hot.select("a", "parts", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    dealt = stars.withColumn("salt", spread).join(salted.hint("merge"), ["a", "salt"], "left")
+    dealt = dealt.select("a", F.pmod(F.xxhash64(F.lit(1), "doc_id"), F.coalesce("parts", F.lit(1))).cast("int").alias("part"), "doc_id")
+    parts = sizes.select("a", F.explode(F.sequence(F.lit(0), F.ceil(F.col("n") / PART).cast("int") - 1)).alias("part"), F.col("a").alias("doc_id"))
+    met = dealt.unionByName(parts).join(vectors.hint("merge"), "doc_id")
+    ordered = met.repartition("a", "part").sortWithinPartitions("a", "part", F.col("doc_id") != F.col("a"))
+    return ordered.select("a", "part", "doc_id", "vector").mapInArrow(compare_stars, LINK)
+
+
+def groups_of(batches: Iterator[pa.RecordBatch], names: list[str]) -> Iterator[pa.Table]:
+    """The rows of each group, of batches in the order of the columns `names`."""
+    held: list[pa.RecordBatch] = []
+    last = None
+    for batch in batches:
+        columns = [batch.column(c).to_numpy(zero_copy_only=False) for c in names]
+        change = np.zeros(max(0, batch.num_rows - 1), bool)
+        for c in columns:
+            change |= c[1:] != c[:-1]
+        edges = [0, *(np.flatnonzero(change) + 1).tolist(), batch.num_rows]
+        for a, b in zip(edges[:-1], edges[1:], strict=True):
+            if b > a:
+                key = tuple(c[a] for c in columns)
+                if key != last and held:
+                    yield pa.Table.from_batches(held)
+                    held = []
+                last = key
+                held.append(batch.slice(a, b - a))
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def links_of_blocks(rows: pa.Table) -> list[tuple[int, int]]:
     """Links among the documents of two blocks of a band, or of one block with itself.
 
-    Pairs that share an earlier band are left to that one, and pairs that known links join are not compared.
+    Pairs that share an earlier band are left to that one, and pairs that known links join are not compared. A document
+    is compared with all others at once: their shingles' numbers in the group look up its weights.
     """
-    band, own = int(pdf["band"].iloc[0]), pdf["one"].iloc[0] == pdf["two"].iloc[0]
-    left = np.flatnonzero(pdf["block"] == pdf["one"])
-    right = left if own else np.flatnonzero(pdf["block"] == pdf["two"])
-    ids, weight = pdf["doc_id"].to_numpy(), pdf["weight"].to_numpy()
-    keys = np.frombuffer(b"".join(pdf["keys"]), np.uint64).reshape(-1, BANDS)
-    vectors = [_vector(x) for x in pdf["vector"]]
-    root = np.unique(pdf["root"].to_numpy(), return_inverse=True)[1]
+    column = {c: rows.column(c).to_numpy() for c in ("band", "one", "two", "block", "doc_id", "weight", "root")}
+    band, one, two = (int(column[c][0]) for c in ("band", "one", "two"))
+    ids, weight, block = column["doc_id"], column["weight"], column["block"]
+    root = np.unique(column["root"], return_inverse=True)[1]
+    left = np.flatnonzero(block == one)
+    right = left if one == two else np.flatnonzero(block == two)
+    if len(np.unique(root)) < 2 or not len(left) or not len(right):
+        return []
+    keys = np.frombuffer(b"".join(_binary(rows.column("keys"))), np.uint64).reshape(-1, BANDS)
+    vectors = [_vector(x) for x in _binary(rows.column("vector"))]
+    size = np.fromiter((len(i) for i, _ in vectors), np.int64, len(vectors))
+    start = np.cumsum(size) - size
+    flat = np.unique(np.concatenate([i for i, _ in vectors]), return_inverse=True)[1]
+    light = np.concatenate([w for _, w in vectors])
+    total = np.add.reduceat(light, start)
+    own = np.zeros(int(flat.max()) + 1)
     links = []
-    for n, i in enumerate(left):
-        others = right[n + 1 :] if own else right
-        light = np.minimum(weight[i], weight[others]) < (THRESHOLD - 1e-4) * np.maximum(weight[i], weight[others])
-        for j in others[~light & ~(keys[i, :band] == keys[others, :band]).any(1)].tolist():
-            if root[i] != root[j] and _jaccard(vectors[i], vectors[j]) >= THRESHOLD - 1e-6:
-                links.append((ids[i], ids[j]))
+    for n, i in enumerate(left.tolist()):
+        others = right[n + 1 :] if one == two else right
+        near = np.minimum(weight[i], weight[others]) >= (THRESHOLD - 1e-4) * np.maximum(weight[i], weight[others])
+        others = others[near & (root[others] != root[i]) & ~(keys[i, :band] == keys[others, :band]).any(1)]
+        if not len(others):
+            continue
+        mine = slice(start[i], start[i] + size[i])
+        own[flat[mine]] = light[mine]
+        at = ragged(start[others], size[others])
+        both = np.add.reduceat(np.minimum(own[flat[at]], light[at]), np.cumsum(size[others]) - size[others])
+        own[flat[mine]] = 0
+        for j in others[both >= (THRESHOLD - 1e-6) * (total[i] + total[others] - both)].tolist():
+            if root[i] != root[j]:
+                links.append((min(int(ids[i]), int(ids[j])), max(int(ids[i]), int(ids[j]))))
                 root[root == root[j]] = root[i]
-    return pd.DataFrame({"a": [min(x) for x in links], "b": [max(x) for x in links]}, dtype="int64")
+    return links
+
+
+def compare_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """LINK of rows that come by band, key and pair of blocks."""
+    for rows in groups_of(batches, ["band", "key", "one", "two"]):
+        if links := links_of_blocks(rows):
+            yield batch_of(LINK, *map(list, zip(*links, strict=True)))
 
 
-def remaining(known: DataFrame, tried: DataFrame, candidates: DataFrame) -> DataFrame | None:
-    """The links that centres left out, by comparing all pairs; None if no band holds several classes.
+def remaining(known: DataFrame, tried: DataFrame, candidates: DataFrame) -> DataFrame:
+    """The links that centres left out, by comparing all pairs of the bands that still hold several classes.
 
-    known: doc_id, band, key, root; tried: band, key, doc_id of the centres, which have met all others of their band.
+    known: doc_id, band, key, size, root; tried: band, key, doc_id of the centres, which have met all others of their band.
     """
     rest = known.join(tried.hint("merge"), ["band", "key", "doc_id"], "left_anti")
-    several = rest.groupBy("band", "key").agg(F.count(F.lit(1)).alias("n"), F.min("root").alias("low"), F.max("root").alias("high"))
-    several = several.where("low <> high").select("band", "key", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
-    if several.isEmpty():
-        return None
+    several = rest.groupBy("band", "key").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("held"), F.min("root").alias("low"), F.max("root").alias("high"))
+    blocks = F.greatest(F.ceil(F.col("n") / BLOCK), F.ceil(F.col("held") / BLOCK_SHINGLES)).cast("int")
+    several = several.where("low <> high").select("band", "key", blocks.alias("blocks"))
     rows = rest.join(several.hint("merge"), ["band", "key"]).withColumn("block", F.pmod(F.xxhash64("doc_id", "band"), F.col("blocks")).cast("int"))
-    rows = rows.join(candidates.dropDuplicates(["doc_id"]).select("doc_id", "keys", "weight", "vector").hint("merge"), "doc_id")
+    rows = rows.drop("size").join(candidates.select("doc_id", "keys", "weight", "vector").hint("merge"), "doc_id")
     met = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     met = met.withColumn("one", F.least("block", "other")).withColumn("two", F.greatest("block", "other"))
-    return met.groupBy("band", "key", "one", "two").applyInPandas(compare_blocks, LINK)
+    group = ["band", "key", "one", "two"]
+    met = met.select(*group, "block", "doc_id", "root", "weight", "keys", "vector")
+    return met.repartition(*group).sortWithinPartitions(*group).mapInArrow(compare_blocks, LINK)
 
 
-def classes(candidates: DataFrame, work: Workspace) -> DataFrame | None:
-    """node and root of the candidates that verified pairs join; None if there are none."""
+def classes(candidates: DataFrame, same: DataFrame, work: Workspace) -> DataFrame:
+    """node and root of the candidates that verified pairs, or the links `same`, join."""
 
     def explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys = np.frombuffer(b"".join(x.as_py() for x in batch.column("keys")), np.int64)
-            doc = np.repeat(batch.column("doc_id").to_numpy(), BANDS)
-            yield batch_of("doc_id long, band int, key long", doc, np.tile(np.arange(BANDS, dtype=np.int32), batch.num_rows), keys)
+            keys = np.frombuffer(b"".join(_binary(batch.column("keys"))), np.int64)
+            doc, size = (np.repeat(batch.column(c).to_numpy(), BANDS) for c in ("doc_id", "size"))
+            yield batch_of("doc_id long, band int, key long, size long", doc, np.tile(np.arange(BANDS, dtype=np.int32), batch.num_rows), keys, size)
 
-    bands = candidates.select("doc_id", "keys").mapInArrow(explode, "doc_id long, band int, key long").distinct()
+    bands = candidates.select("doc_id", "keys", "size").mapInArrow(explode, "doc_id long, band int, key long, size long")
+    bands = bands.groupBy("band", "key", "doc_id").agg(F.max("size").alias("size"))
     shared = bands.groupBy("band", "key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("band", "key")
     bands = work.save(bands.join(shared.hint("merge"), ["band", "key"]), "bands")
-    vectors = candidates.select("doc_id", "vector").dropDuplicates(["doc_id"])
-
-    def rooted(roots: DataFrame) -> DataFrame:
-        return bands.join(roots.withColumnRenamed("node", "doc_id").hint("merge"), "doc_id", "left").withColumn("root", F.coalesce("root", "doc_id"))
-
-    links = roots = None
-    tested: DataFrame | None = None
-    tried: DataFrame | None = None
-    for k in range(ROUNDS):
-        if roots is None:
-            # Two centres: the smallest doc_id, which most bands of a group share, and one drawn for each band.
-            drawn = F.struct(F.xxhash64("doc_id", "band"), "doc_id")
-            centre = bands.groupBy("band", "key").agg(F.array_distinct(F.array(F.min("doc_id"), F.min(drawn)["doc_id"])).alias("c"))
-            centre = centre.select("band", "key", F.explode("c").alias("centre"))
-            pairs = bands.join(centre.hint("merge"), ["band", "key"]).where("doc_id <> centre")
-        else:
-            known = work.save(rooted(roots), f"known{k}")
-            drawn = F.struct(F.xxhash64("root", F.lit(k), "band"), F.xxhash64("doc_id", F.lit(k), "band"), "doc_id", "root")
-            centre = known.groupBy("band", "key").agg(F.min(drawn).alias("c"), F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high")
-            centre = centre.select("band", "key", F.col("c.doc_id").alias("centre"), F.col("c.root").alias("centre_root"))
-            pairs = known.join(centre.hint("merge"), ["band", "key"]).where("root <> centre_root")
-        centres = work.save(centre.select("band", "key", F.col("centre").alias("doc_id")), f"centres{k}")
-        tried = centres if tried is None else tried.unionByName(centres)
-        pairs = pairs.select(F.least("doc_id", "centre").alias("a"), F.greatest("doc_id", "centre").alias("b")).distinct()
-        if tested is not None:
-            pairs = pairs.join(tested.hint("merge"), ["a", "b"], "left_anti")
-        pairs = work.save(pairs, f"pairs{k}")
-        if pairs.isEmpty():
-            break
-        tested = pairs if tested is None else tested.unionByName(pairs)
-        good = work.save(verified(pairs, vectors), f"links{k}")
-        if links is not None and good.isEmpty():
-            break
-        links = good if links is None else links.unionByName(good)
-        roots = work.save(components(links, work, f"roots{k}"), f"classes{k}")
-    if roots is None:
-        return None
-    more = remaining(work.save(rooted(roots), "known"), tried.distinct(), candidates)
-    if more is None:
+    vectors = candidates.select("doc_id", "vector")
+
+    def rooted(roots: DataFrame, table: str) -> DataFrame:
+        """The bands that hold several classes, with each document's class."""
+        named = bands.join(roots.withColumnRenamed("node", "doc_id").hint("merge"), "doc_id", "left").withColumn("root", F.coalesce("root", "doc_id"))
+        several = named.groupBy("band", "key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("band", "key")
+        return work.save(named.join(several.hint("merge"), ["band", "key"]), table)
+
+    def pairs(rows: DataFrame) -> DataFrame:
+        return rows.select(F.col("centre").alias("a"), "doc_id").distinct()
+
+    # The smallest doc_id of a band, which most bands of a group share.
+    first = work.save(bands.groupBy("band", "key").agg(F.min("doc_id").alias("centre")), "centres0")
+    stars = work.save(pairs(bands.join(first.hint("merge"), ["band", "key"]).where("doc_id <> centre")), "stars0")
+    links = work.save(verified(stars, vectors).unionByName(same), "links0")
+    roots = components(links, work, "classes0")
+    work.drop("stars0")
+    # The document with the most links: where a group hangs together by one document, that one.
+    degree = links.select(F.col("a").alias("doc_id")).unionByName(links.select(F.col("b").alias("doc_id"))).groupBy("doc_id").agg(F.count(F.lit(1)).alias("degree"))
+    known = rooted(roots, "known1").join(degree.hint("merge"), "doc_id", "left")
+    drawn = F.struct(F.coalesce("degree", F.lit(0)).alias("degree"), F.xxhash64("doc_id").alias("draw"), "doc_id", "root")
+    most = known.groupBy("band", "key").agg(F.max(drawn).alias("c"))
+    second = work.save(most.select("band", "key", F.col("c.doc_id").alias("centre"), F.col("c.root").alias("centre_root")), "centres1")
+    stars = work.save(pairs(known.join(second.hint("merge"), ["band", "key"]).where("root <> centre_root")), "stars1")
+    links = links.unionByName(work.save(verified(stars, vectors), "links1"))
+    roots = components(links, work, "classes1")
+    work.drop("stars1", "known1", "classes0")
+    # What is left: each pair of a band, between documents that were no centre of it.
+    tried = first.unionByName(second.select("band", "key", "centre")).select("band", "key", F.col("centre").alias("doc_id")).distinct()
+    more = work.save(remaining(rooted(roots, "known2"), tried, candidates), "links2")
+    if more.isEmpty():
         return roots
-    more = work.save(more, "links")
-    return roots if more.isEmpty() else work.save(components(links.unionByName(more), work, "roots"), "classes")
+    return components(links.unionByName(more), work, "classes2")
 
 
 def near_dedup(docs: DataFrame) -> DataFrame:
@@ -349,8 +407,9 @@ def near_dedup(docs: DataFrame) -> DataFrame:
     total, documents = total or 0, documents or 0
     bits, buckets = id_bits(total), max(LEAST_BUCKETS, -(-total // BUCKET_BYTES))
     digests = digest_table(packs, work)
-    firsts = work.save(first_of_copies(digests), "firsts")
-    copies = later_copies(digests, firsts)
+    place = F.struct("doc_id", "pack", "nth")
+    firsts = work.save(digests.groupBy("digest").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").select("digest", "first"), "firsts")
+    copies = later_copies(digests, firsts, place > F.col("first"))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for (pack,) in packs_in(batches):
@@ -369,11 +428,13 @@ def near_dedup(docs: DataFrame) -> DataFrame:
                 yield batch_of(CANDIDATE, *map(list, zip(*rows, strict=True)))
 
     chosen = work.save(full.mapInArrow(choose, CANDIDATE), "candidates")
-    work.drop("answers")
-    roots = classes(chosen, work)
-    if roots is None:
-        roots = spark.createDataFrame([], "node long, root long")
-    least = digests.join(firsts.hint("merge"), "digest", "left").select("doc_id", F.coalesce("least", "doc_id").alias("least"))
+    work.drop("answers", "packs")
+    least = digests.select("digest", "doc_id").join(firsts.select("digest", F.col("first.doc_id").alias("least")).hint("merge"), "digest", "left").select("doc_id", F.coalesce("least", "doc_id").alias("least"))
+    # Rows with one doc_id are of one class, whatever their texts.
+    least = work.save(least, "least")
+    several = least.where(F.col("doc_id") != NO_ID).groupBy("doc_id").agg(F.min("least").alias("a"), F.max("least").alias("high")).where("a <> high").select("doc_id", "a")
+    same = least.join(several.hint("merge"), "doc_id").select("a", F.col("least").alias("b")).where("a <> b").distinct()
+    roots = classes(chosen, same, work)
     classed = least.join(roots.hint("merge"), F.col("least") == F.col("node"), "left").select("doc_id", F.coalesce("root", "least").alias("class_id"))
     null = F.col("doc_id") == NO_ID
     return classed.select(F.when(~null, F.col("doc_id")).alias("doc_id"), F.when(~null, F.col("class_id")).alias("class_id"), (null | (F.col("doc_id") == F.col("class_id"))).alias("kept"))

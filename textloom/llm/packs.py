@@ -14,7 +14,7 @@ import numpy as np
 import pyarrow as pa
 import zstandard
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import slices
@@ -115,11 +115,6 @@ def digest_table(packs: DataFrame, work: Workspace) -> DataFrame:
     return work.save(packs.select("pack", "ids", "digests").mapInArrow(run, schema), "digests")
 
 
-def first_of_copies(digests: DataFrame) -> DataFrame:
-    """digest and least, the smallest doc_id, of the texts that several documents have."""
-    return digests.groupBy("digest").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("n")).where("n > 1").select("digest", "least")
-
-
-def later_copies(digests: DataFrame, firsts: DataFrame) -> DataFrame:
-    """pack and copies: the numbers of its documents whose whole text a smaller doc_id has."""
-    return digests.join(firsts.hint("merge"), "digest").where("doc_id > least").groupBy("pack").agg(F.collect_list("nth").alias("copies"))
+def later_copies(digests: DataFrame, firsts: DataFrame, later: Column) -> DataFrame:
+    """pack and copies: the numbers of its documents that are `later` than the first (firsts: digest, ...) of their text."""
+    return digests.join(firsts.hint("merge"), "digest").where(later).groupBy("pack").agg(F.collect_list("nth").alias("copies"))

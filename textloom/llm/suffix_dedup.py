@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from .bpe import ragged
 from .common import Workspace, ship
-from .packs import NO_ID, Pack, batch_of, make_packs, packs_in, squeeze, unsqueeze
+from .packs import NO_ID, Pack, batch_of, digest_table, later_copies, make_packs, packs_in, squeeze, unsqueeze
 
 #: Bytes of a repeated string, of a gram, and so the grams in a string.
 LENGTH, GRAM = 50, 20
@@ -358,17 +358,9 @@ def removed_bytes(pack: Pack, copies: np.ndarray, answers: list[tuple[bytes, byt
 
 def whole_copies(packs: DataFrame, work: Workspace) -> DataFrame:
     """pack and copies: the numbers of its documents whose whole text a smaller doc_id has."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for pack, ids, digests in zip(*(batch.column(c) for c in ("pack", "ids", "digests")), strict=True):
-                raw = digests.as_buffer().to_pybytes()
-                n = len(raw) // 16
-                yield batch_of("digest binary, doc_id long, pack long, nth int", [raw[16 * i : 16 * i + 16] for i in range(n)], np.frombuffer(ids.as_buffer(), np.int64), [pack.as_py()] * n, list(range(n)))
-
-    docs = work.save(packs.select("pack", "ids", "digests").mapInArrow(run, "digest binary, doc_id long, pack long, nth int"), "digests")
-    first = docs.groupBy("digest").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    return docs.join(first.select("digest", "least").hint("merge"), "digest").where("doc_id > least").groupBy("pack").agg(F.collect_list("nth").alias("copies"))
+    digests = digest_table(packs, work)
+    first = digests.groupBy("digest").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("n")).where("n > 1").select("digest", "least")
+    return later_copies(digests, first, F.col("doc_id") > F.col("least"))
 
 
 def buckets_for(packs: DataFrame) -> int:
