@@ -307,3 +307,128 @@ def test_engine(spark, lexicon):
     assert not engine.is_ready
     gold = spark.createDataFrame([(1, "tēla")], "item_id long, text string")
     assert evaluate(gold, spark.createDataFrame([(1, "tela")], "item_id long, text string")).first()["accuracy"] == 0.5
+
+
+def by_enumeration(accented, follow):
+    """Readings of a word by trying every variant, each by itself."""
+    found = {}
+    for nth, form in enumerate(v for a in accented for v in Q.variants(a)):
+        for penalty, quantities, text in Q.scans([form.replace("_^", "")], follow):
+            row = (penalty + (nth > 0), text)
+            found[quantities] = min(found.get(quantities, row), row)
+    return sorted((p, q, f) for q, (p, f) in found.items())
+
+
+def test_scans_choose_uncertain_vowels_as_by_trying_all():
+    rng = random.Random(11)
+    for _ in range(400):
+        forms = ["".join(rng.choice(["a", "e", "i", "u", "ae", "o_", "a_^", "e_^", "u_^", "i_^", "qu", "tr", "s", "m", "j", "x", "h", "n"]) for _ in range(rng.randint(1, 6))) for _ in range(rng.randint(1, 2))]
+        for follow in ("V", "C", "CC", "#"):
+            assert Q.scans(forms, follow) == by_enumeration(forms, follow), (forms, follow)
+    assert Q.scans(["ho_^c"], "V") == by_enumeration(["ho_^c"], "V") and Q.scans(["hoc"], "V")[0][1] == "L"
+
+
+def test_scans_of_known_words():
+    assert Q.scans(["multum"], "V") == [(0, "L", "multum"), (3, "LL", "multum")]
+    assert Q.scans(["patris"], "C") == [(0, "SL", "patris"), (1, "LL", "patris")]
+    assert Q.scans(["rosae"], "#") == [(0, "SL", "rosae"), (2, "SSS", "rosae")]
+    assert Q.scans(["arma"], "V")[0] == (0, "L", "arma")
+
+
+@pytest.mark.parametrize("name", ["hexameter", "pentameter", "hendecasyllable", "trimeter", "dimeter"])
+def test_lines_scan_as_by_all_readings(name):
+    rng, meter, met = random.Random(5), Q.METERS[name], 0
+    pool = ["da_^", "te", "me_^", "si_^t", "tu_", "re_^be_^", "de_^nt", "no_^", "po_^tu_^", "san", "lae", "mi_^hi_^", "et", "tra_^"]
+    for _ in range(150):
+        words = [[rng.choice(pool)] for _ in range(rng.randint(4, 9))]
+        follows = [Q.follow_class(" ".join(x[0] for x in words[k + 1 :])) for k in range(len(words))]
+        every = [Q.scans(w, f) for w, f in zip(words, follows, strict=True)]
+        feet, picks, penalty = Q.scan_verse(every, meter)
+        got = Q.scan_line(words, meter)
+        assert got == (feet, [r[p][2] for r, p in zip(every, picks, strict=False)], penalty)
+        met += penalty is not None
+    assert met
+
+
+def test_a_long_word_of_uncertain_vowels_is_read_fast():
+    feet, forms, penalty = Q.scan_line([["na_^" * 60], ["te_^"]], Q.METERS["hexameter"])
+    assert (feet, forms, penalty) == ("", [], None)
+    assert Q.scan_line([["na_^" * 13 + "nt"]], Q.METERS["hexameter"])[2] is not None
+
+
+def test_feet_of_iambic_lines():
+    def line(quantities, name):
+        return Q.scan_verse([[(0, quantities, "w")]], Q.METERS[name])[::2]
+
+    assert line("SLSLSLSLSLSL", "trimeter") == ("u-|u-|u-|u-|u-|u-", 0)
+    assert line("LLSLLLSLLLSS", "trimeter") == ("--|u-|--|u-|--|uu", 0)
+    assert line("LSSSSSSSLSLSSSSL", "trimeter") == ("-uu|uuu|uu-|u-|uuu|u-", 1)
+    assert line("SLSLSLSL", "dimeter") == ("u-|u-|u-|u-", 0)
+    assert line("SLLL", "trimeter") == ("", None)
+    assert line("LLLLLLSSLSSS"[:0] + "LLLLLLSSLSSS", "pentameter") == ("SS-DD-", 0)
+
+
+def test_following_segment():
+    assert [Q.follow_class(x) for x in ("", None, "ab", "hic", "qui_", "tra_", "sta", "xe", "s", " ruit")] == ["#", "#", "V", "V", "C", "C", "CC", "CC", "CC", "C"]
+
+
+def test_variants_in_the_engine(spark):
+    forms = ["ba_^ce_^", "nescio_", "plain", "a_^b_^c_^"]
+    df = spark.createDataFrame([(x,) for x in forms], "f string")
+    assert {r["f"]: r["v"] for r in df.select("f", Q.variants_column(F.col("f")).alias("v")).collect()} == {x: Q.variants(x) for x in forms}
+
+
+def test_piped_rows_of_both_layouts(spark):
+    rows = [(0, "# note"), (1, "tela\tn-s\tte_la\ttelum"), (2, "via\tn-s\tvi^a"), (3, "iam|jam|jam|d--"), (4, "et|et|et"), (5, "too few")]
+    got = {r["seq"]: tuple(r)[1:] for r in R.piped_rows(spark.createDataFrame(rows, "seq long, line string")).collect()}
+    assert got == {1: ("tela", "n-s", "telum", "te_la"), 2: ("via", "n-s", "via", "vi^a"), 3: ("iam", "d--", "jam", "jam"), 4: ("et", "---------", "et", "et")}
+
+
+def test_long_words_are_not_cut(spark):
+    word = "i" + "a" * 150
+    got = spark.createDataFrame([(word,)], "w string").select(M.retries(F.col("w")).alias("r")).first()["r"]
+    assert "j" + word[1:] in got
+    words = spark.createDataFrame([("deabdeabdenter",)], "word string")
+    out = M.preverbs(words, spark.createDataFrame([("de",), ("ab",)], "prefix string")).collect()
+    assert {r["taken"] for r in out} == {"de", "de-ab", "de-ab-de", "de-ab-de-ab", "de-ab-de-ab-de"}
+
+
+def test_words_are_joined_alike_whatever_the_size_of_the_table(spark, lexicon, monkeypatch):
+    docs = spark.createDataFrame([(1, "Telaque, que viamne; neque 12 iam!\n atque"), (2, ""), (3, " .. ")], "doc_id long, text string")
+    tokens = T.tokenise(docs)
+    small = sorted(map(tuple, T.split_clitics(tokens, lexicon).collect()))
+    cover = sorted(map(tuple, S.coverage(tokens, lexicon, F.lit(False)).collect()))
+    monkeypatch.setattr(T, "MOST_BROADCAST", 0)
+    assert sorted(map(tuple, T.split_clitics(tokens, lexicon).collect())) == small
+    assert sorted(map(tuple, S.coverage(tokens, lexicon, F.lit(False)).collect())) == cover
+    tails = T.word_tails(docs)
+    assert {r["doc_id"]: "".join(x["text"] + x["tail"] for x in sorted(tails.where(F.col("doc_id") == r["doc_id"]).collect(), key=lambda x: x["idx"])) for r in docs.collect()} == {r["doc_id"]: r["text"] for r in docs.collect()}
+
+
+def test_flow_scans_verses_and_strips_marks(spark):
+    rows = [(0, "arma", "n", "arma", "arma"), (1, "virum", "n", "vir", "virum"), (2, "virum", "n", "virus", "vi_rum"), (3, "cano", "v", "cano", "cano_"), (4, "troiae", "n", "troia", "tro_jae"), (5, "qui", "p", "qui", "qui_"), (6, "primus", "a", "primus", "pri_mus"), (7, "ab", "r", "ab", "ab"), (8, "oris", "n", "ora", "o_ri_s")]
+    words = spark.createDataFrame(rows, "seq long, wordform string, tag string, lemma string, accented string")
+    docs = spark.createDataFrame([(1, "\nArmā virumque cano, Troiae qui primus ab oris\n\nnihil\n")], "doc_id long, text string")
+    from textloom.plans.pipeline import mark_tokens, restore_marks, scan_tokens
+
+    plain = restore_marks(docs, words).first()["text"]
+    assert plain.startswith("\nArma v") and "canō" in plain
+    scanned = restore_marks(docs, words, options=Options(scan="hexameter")).first()
+    assert scanned["text"] == "\nArma virumque canō, Trōiae quī prīmus ab ōrīs\n\nnīhīl\n"
+    assert (scanned["words"], scanned["unknown"]) == (10, 2)
+    feet = scan_tokens(mark_tokens(docs, words), Options(scan="hexameter"))[1].orderBy("verse_id").collect()
+    assert [r["feet"] for r in feet] == ["", "DDSSDS", "", "S", ""]  # the last line has begun and ends early
+
+
+def test_lemmas_choose_among_entries(spark):
+    rows = [(0, "tela", "---------", "tela", "te_la"), (1, "tela", "---------", "telum", "te_la_")]
+    words = spark.createDataFrame(rows, "seq long, wordform string, tag string, lemma string, accented string")
+    docs = spark.createDataFrame([(1, "tela")], "doc_id long, text string")
+    from textloom.plans.pipeline import Lemmas, restore_marks
+
+    def marked(lemma):
+        frequency = spark.createDataFrame([(lemma, 9)], "lemma string, freq long")
+        corpus = spark.createDataFrame([], "wordform string, ord long, lemma string, freq long")
+        return restore_marks(docs, words, lemmas=Lemmas(frequency, corpus)).first()["text"]
+
+    assert marked("tela") == "tēla" and marked("telum") == "tēlā"

@@ -9,6 +9,7 @@ from pyspark.sql.window import Window
 from textloom.functions import words as W
 
 from .lexicon import suffixes
+from .tokens import left_join_words
 
 
 def token_statistics(tokens: DataFrame, lexicon: DataFrame) -> DataFrame:
@@ -23,7 +24,7 @@ def token_statistics(tokens: DataFrame, lexicon: DataFrame) -> DataFrame:
 def coverage(tokens: DataFrame, lexicon: DataFrame, endings: Column) -> DataFrame:
     """The mean label of all tokens: 0.95 known, 0.85 with a known ending, else 0.60."""
     known = lexicon.select(F.col("wordform").alias("_form"), F.lit(1).alias("_hit")).distinct()
-    joined = tokens.join(known, F.lower(W.to_ascii(F.col("text"))) == F.col("_form"), "left")
+    joined = left_join_words(tokens, known, W.is_word(F.col("text")), F.lower(W.to_ascii(F.col("text"))), "_form")
     # Hundredths, so that the sum is the same in any order.
     label = F.when(F.col("_hit").isNotNull(), 95).when(endings, 85).otherwise(60)
     return joined.groupBy("doc_id").agg((F.sum(label) / F.count(F.lit(1)) / 100).alias("coverage"))
@@ -36,7 +37,7 @@ def ending_counts(tagged: DataFrame) -> DataFrame:
     each = tagged.where(n > 0).select("tag", F.explode(F.transform(F.sequence(F.lit(1), n), lambda k: F.substr(F.col("accented"), F.length("accented") - k + 1, k))).alias("ending"))
     counted = each.groupBy("tag", "ending").agg(F.count(F.lit(1)).alias("n"))
     twin = counted.select("tag", F.col("ending").alias("plain"), F.col("n").alias("twin"))
-    marked = counted.where(F.substring("ending", 1, 1).rlike(f"[{W.LONG}]")).withColumn("plain", F.concat(W.remove_marks(F.substring("ending", 1, 1)), F.substring("ending", 2, 99)))
+    marked = counted.where(F.substring("ending", 1, 1).rlike(f"[{W.LONG}]")).withColumn("plain", F.concat(W.remove_marks(F.substring("ending", 1, 1)), F.substr("ending", F.lit(2), F.length("ending"))))
     return marked.join(twin, ["tag", "plain"], "left").where(F.col("n") > F.coalesce("twin", F.lit(1))).select("tag", "ending", "n")
 
 

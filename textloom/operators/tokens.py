@@ -12,7 +12,7 @@ from pyspark.sql.window import Window
 
 from textloom.functions import words as W
 
-#: Words that are split though the lexicon knows them.
+# Words that are split though the lexicon knows them.
 SPECIAL = ("nec", "neque", "necnon", "seque", "seseque", "quique", "mecumque", "tecumque", "secumque")
 # Compounds, and how many of their last letters are a word of their own.
 COMPOUNDS = {
@@ -32,6 +32,22 @@ COMPOUNDS = {
 }
 
 
+#: Rows of a table that is broadcast; a larger one is joined by shuffling the words that need it.
+MOST_BROADCAST = 500_000
+
+
+def left_join_words(tokens: DataFrame, table: DataFrame, needed: Column, key: Column, on: str) -> DataFrame:
+    """`tokens` with the row of `table` (one for each `on`) that `key` names, or nulls where it has none or is not `needed`.
+
+    The table is counted: a small one goes to the tokens, which then stay where they are. Else only the tokens that need
+    it move, so blanks and punctuation, which a corpus has most of, are no hot keys.
+    """
+    if table.limit(MOST_BROADCAST + 1).count() <= MOST_BROADCAST:
+        return tokens.join(F.broadcast(table), needed & (key == F.col(on)), "left")
+    met = tokens.where(needed).join(table, key == F.col(on), "left")
+    return met.unionByName(tokens.where(~F.coalesce(needed, F.lit(False))), allowMissingColumns=True)
+
+
 def token_array(text: Column) -> Column:
     """Letters, white space, punctuation, digits: runs of each; joined they are the text."""
     return F.regexp_extract_all(text, F.lit(f"({W.TOKEN})"), F.lit(1))
@@ -105,6 +121,31 @@ def verse_ids(tokens: DataFrame, key: tuple[str, ...] = ("doc_id",)) -> DataFram
     return tokens.withColumn("verse_id", F.coalesce(before, F.lit(0)).cast("long"))
 
 
+def sentences(flagged: DataFrame, key: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """The sentences of tokens with sentence_flags: sentence_id, the number of words and the text."""
+    ordered = F.array_sort(F.collect_list(F.struct("idx", "text")))
+    text = F.array_join(F.transform(ordered, lambda s: s["text"]), "").alias("sentence")
+    return flagged.groupBy(*key, "sentence_id").agg(F.count(F.when(F.col("is_word"), 1)).alias("words"), text)
+
+
+def word_tails(docs: DataFrame, text: str = "text") -> DataFrame:
+    """The words of a document with what stands between them: doc_id, idx, text (a word, or nothing at the beginning) and
+    tail (what comes before the next word). Joined in order they are the document, with half the rows of its tokens."""
+    letter = r"\p{L}\p{Nl}\p{No}"
+    pairs = [F.regexp_extract_all(text, F.lit(rf"(?s)([{letter}]+|^)([^{letter}]*)"), F.lit(k)) for k in (1, 2)]
+    rows = docs.select("doc_id", F.posexplode(F.arrays_zip(pairs[0].alias("w"), pairs[1].alias("t"))).alias("idx", "x"))
+    return rows.select("doc_id", F.col("idx").cast("long").alias("idx"), F.col("x.w").alias("text"), F.col("x.t").alias("tail")).where("text <> '' OR tail <> ''")
+
+
+def generic_clitic(word: Column) -> Column:
+    """The clitic that a word ends with, or nothing; the word must be longer."""
+    low = F.lower(word)
+    found = F.when((F.length(low) > 3) & low.endswith("que"), "que")
+    for clitic in ("ve", "ue", "ne", "st"):
+        found = found.when((F.length(low) > 2) & low.endswith(clitic), clitic)
+    return found.otherwise("")
+
+
 def clitic_parts(text: Column, unknown: Column) -> Column:
     """The parts of a word, as structs of text and kind: word, bearer or clitic."""
     low = F.lower(text)
@@ -116,25 +157,31 @@ def clitic_parts(text: Column, unknown: Column) -> Column:
 
     size = F.element_at(F.create_map(*[F.lit(v) for kv in COMPOUNDS.items() for v in kv]), low)
     nec = F.array(part(F.substring(text, 1, 2), "bearer"), part(F.substring(text, 3, 1), "clitic"), part(F.substring(text, 4, 3), "word"))
-    two = (F.length(low) > 2) & (low.endswith("ve") | low.endswith("ue") | low.endswith("ne") | low.endswith("st"))
+    clitic = generic_clitic(text)
     split = (
         F.when(low == "nec", cut(1, "bearer", "clitic"))
         .when(low == "necnon", nec)
         .when(size.isNotNull(), cut(size, "word", "word"))
-        .when((F.length(low) > 3) & low.endswith("que"), cut(3, "bearer", "clitic"))
-        .when(two, cut(2, "bearer", "clitic"))
+        .when(clitic != "", cut(F.length(clitic), "bearer", "clitic"))
     )
     tried = W.is_word(text) & (low != "que") & (unknown | low.isin(*SPECIAL))
     return F.coalesce(F.when(tried, split), F.array(part(text, "word")))
 
 
-def split_clitics(tokens: DataFrame, lexicon: DataFrame, key: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """P10 as rows: the token table with sub_idx and kind. lexicon: wordform.
+def with_parts(words: DataFrame, lexicon: DataFrame) -> DataFrame:
+    """`words` (text) with _parts, their clitic_parts. lexicon: wordform.
 
-    Unknown words are found once for each distinct form, not for each token.
+    Only words that could be split are looked up, and only among such forms of the lexicon.
     """
-    known = lexicon.select(F.col("wordform").alias("_form"), F.lit(True).alias("_known")).distinct()
-    marked = tokens.join(known, F.lower("text") == F.col("_form"), "left").withColumn("_parts", clitic_parts(F.col("text"), F.col("_known").isNull()))
+    could = lambda x: F.size(clitic_parts(x, F.lit(True))) > 1
+    known = lexicon.select(F.col("wordform").alias("_form"), F.lit(True).alias("_known")).where(could(F.col("_form"))).distinct()
+    marked = left_join_words(words, known, could(F.col("text")), F.lower("text"), "_form")
+    return marked.withColumn("_parts", clitic_parts(F.col("text"), F.col("_known").isNull())).drop("_form", "_known")
+
+
+def split_clitics(tokens: DataFrame, lexicon: DataFrame, key: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """P10 as rows: the token table with sub_idx and kind. lexicon: wordform."""
+    marked = with_parts(tokens, lexicon)
     return marked.select(*key, "idx", F.posexplode("_parts").alias("sub_idx", "part")).select(*key, "idx", F.col("sub_idx").cast("long"), "part.text", "part.kind")
 
 
@@ -148,10 +195,10 @@ def tagger_stream(split: DataFrame, key: tuple[str, ...] = ("doc_id",)) -> DataF
     return shown.withColumn("pos", F.row_number().over(order).cast("long")).withColumn("word", W.to_ascii(word))
 
 
-def display_lines(tokens: DataFrame) -> DataFrame:
+def display_lines(tokens: DataFrame, key: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """P25: verse_id and the line's text."""
     ordered = F.array_sort(F.collect_list(F.struct("idx", "text")))
-    return verse_ids(tokens).groupBy("doc_id", "verse_id").agg(F.array_join(F.transform(ordered, lambda s: s["text"]), "").alias("line"))
+    return verse_ids(tokens, key).groupBy(*key, "verse_id").agg(F.array_join(F.transform(ordered, lambda s: s["text"]), "").alias("line"))
 
 
 # Abbreviations and clitics of the markup-preserving tokeniser, by language.

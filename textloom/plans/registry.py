@@ -115,9 +115,8 @@ def w01_sentence_flags(spark, d):
 
 @query(f"WITH {FLAGS} SELECT conv_id, turn, sentence_id, count(*) FILTER (WHERE is_word) AS words, string_agg(text, '' ORDER BY idx) AS sentence FROM flagged GROUP BY ALL")
 def p06_sentences(spark, d):
-    flagged = T.sentence_flags(conversation_tokens(spark, d), ("conv_id", "turn"))
-    ordered = F.array_sort(F.collect_list(F.struct("idx", "text")))
-    return flagged.groupBy("conv_id", "turn", "sentence_id").agg(F.count(F.when(F.col("is_word"), 1)).alias("words"), F.array_join(F.transform(ordered, lambda s: s["text"]), "").alias("sentence"))
+    key = ("conv_id", "turn")
+    return T.sentences(T.sentence_flags(conversation_tokens(spark, d), key), key)
 
 
 @query(f"WITH {TOK} SELECT *, (sum(length(text)) OVER w)::BIGINT AS \"end\", (sum(length(text)) OVER w)::BIGINT - length(text) AS start FROM tok WINDOW w AS (PARTITION BY doc_id ORDER BY idx)")
@@ -177,12 +176,11 @@ def w06_verse_ids(spark, d):
     return T.verse_ids(conversation_tokens(spark, d), ("conv_id", "turn"))
 
 
-@query(f"WITH {VERSES} SELECT conv_id, turn, verse_id, verse_id % 2 AS meter, string_agg(text, '' ORDER BY idx) AS line FROM verse GROUP BY ALL")
+@query(f"WITH {VERSES} SELECT conv_id, turn, verse_id, CASE verse_id % 2 WHEN 0 THEN 'hexameter' ELSE 'pentameter' END AS meter, string_agg(text, '' ORDER BY idx) AS line FROM verse GROUP BY ALL")
 def w07_meter_cycle(spark, d):
-    rows = T.verse_ids(conversation_tokens(spark, d), ("conv_id", "turn"))
-    ordered = F.array_sort(F.collect_list(F.struct("idx", "text")))
-    lines = rows.groupBy("conv_id", "turn", "verse_id").agg(F.array_join(F.transform(ordered, lambda s: s["text"]), "").alias("line"))
-    return lines.withColumn("meter", F.pmod("verse_id", F.lit(2)))
+    key = ("conv_id", "turn")
+    lines = T.display_lines(conversation_tokens(spark, d), key)
+    return lines.withColumn("meter", Q.meter_of(F.col("verse_id"), Q.METER_CYCLES["elegiac"]))
 
 
 # Lexicon
@@ -214,11 +212,11 @@ def j06_exact_or_first(spark, d):
     return L.lookup_exact_or_first(lexicon.groupBy("wordform").agg(F.max("tag").alias("tag")), lexicon)
 
 
-CORPUS = rf"corpus AS (SELECT {ASCII.format('text')} AS wordform, left(lower(text), 3) AS lemma, count(*) AS freq FROM ctok WHERE regexp_matches(text, '{WORD}') AND length(text) % 2 = 0 GROUP BY ALL)"
+CORPUS = rf"corpus AS (SELECT {ASCII.format('text')} AS wordform, left(lower(text), 3) AS lemma, count(*) AS freq FROM ctok WHERE regexp_matches(text, '{WORD}') GROUP BY ALL)"
 
 
 def corpus_lemmas(spark, d):
-    words = conversation_tokens(spark, d).where(W.is_word(F.col("text")) & (F.length("text") % 2 == 0))
+    words = conversation_tokens(spark, d).where(W.is_word(F.col("text")))
     return words.groupBy(W.to_ascii(F.col("text")).alias("wordform"), F.substring(F.lower("text"), 1, 3).alias("lemma")).agg(F.count(F.lit(1)).alias("freq")).withColumn("ord", F.lit(0).cast("long"))
 
 
@@ -273,17 +271,16 @@ def j27_known_lemma(spark, d):
     return L.known_lemma(forms(spark, d).withColumnRenamed("wordform", "word"), corpus_lemmas(spark, d), X.lexicon(spark, d))
 
 
-@query(f"""WITH {LEXICON_SQL}, q AS (SELECT wordform AS form, min(tag) AS tag, min(lemma) AS lemma FROM lexicon GROUP BY wordform HAVING wordform NOT SIMILAR TO '.*[æœäëïöüÿ].*'),
+@query(f"""WITH {LEXICON_SQL}, folded AS (SELECT lower({ASCII.format('wordform')}) AS wordform, tag, lemma, accented FROM lexicon), q AS (SELECT wordform AS form, min(tag) AS tag, min(lemma) AS lemma FROM folded GROUP BY wordform),
 r AS (SELECT form, q.tag, q.lemma, accented, levenshtein(q.lemma, l.lemma) AS ld, {{DIST}} AS td,
   ((form = upper(left(form, 1)) || lower(substr(form, 2)) AND form <> lower(form)) <> (l.lemma = upper(left(l.lemma, 1)) || lower(substr(l.lemma, 2)) AND l.lemma <> lower(l.lemma)))::INT AS cd
-  FROM q JOIN lexicon l ON form = wordform),
+  FROM q JOIN folded l ON form = wordform),
 m AS (SELECT *, min(cd) OVER (PARTITION BY form, tag, lemma) AS best FROM r),
 o AS (SELECT form, tag, lemma, accented, min((cd, td, ld, accented)) AS k FROM m WHERE cd = best GROUP BY ALL)
 SELECT o.form, o.tag, o.lemma, string_agg(accented, ' ' ORDER BY k) AS accented, any_value(n > 1) AS is_ambiguous
 FROM o JOIN (SELECT form, count(DISTINCT lower(accented)) AS n FROM r GROUP BY form) USING (form) GROUP BY ALL""".replace("{DIST}", distance_sql("q.tag", "l.tag")))
 def w09_candidates(spark, d):
-    lexicon = X.lexicon(spark, d)
-    lexicon = lexicon.where(~F.col("wordform").rlike("[æœäëïöüÿ]"))  # forms that are their own ASCII form
+    lexicon = X.lexicon(spark, d).withColumn("wordform", F.lower(W.to_ascii(F.col("wordform"))))  # keys of a lexicon are folded
     wanted = lexicon.groupBy(F.col("wordform").alias("form")).agg(F.min("tag").alias("tag"), F.min("lemma").alias("lemma"))
     return L.candidates(wanted, lexicon).withColumn("accented", F.array_join("accented", " "))
 
@@ -481,13 +478,13 @@ def a17_run_counters(spark, d):
     return out.withColumns({c: F.round(c, 6) for c in ("analyses_per_hit", "lemmas_per_hit")})
 
 
-PAIRS = "pairs AS (SELECT item_id, translate(text, 'aeo', 'āēō') AS gold, translate(substr(text, 1, length(text) - length(text) % 3), 'ae', 'āe') AS out FROM benchmark), ch AS (SELECT item_id, unnest(range(1, least(length(gold), length(out)) + 1)) AS pos, gold, out FROM pairs), c AS (SELECT item_id, pos, gold[pos] AS g, out[pos] AS o FROM ch)"
+PAIRS = "pairs AS (SELECT item_id, translate(text, 'aeo', 'āēō') AS gold, translate(text, 'ae', 'āe') || repeat('a', (length(text) % 3)::INT) AS out FROM benchmark), ch AS (SELECT item_id, unnest(range(1, least(length(gold), length(out)) + 1)) AS pos, gold, out FROM pairs), c AS (SELECT item_id, pos, gold[pos] AS g, out[pos] AS o FROM ch)"
 
 
 def pairs(spark, d):
     text = F.col("text")
-    cut = F.substr(text, F.lit(1), F.length(text) - F.length(text) % 3)
-    return table(spark, d, "benchmark").select("item_id", F.translate(text, "aeo", "āēō").alias("gold"), F.translate(cut, "ae", "āe").alias("out"))
+    longer = F.concat(F.translate(text, "ae", "āe"), F.repeat(F.lit("a"), F.length(text) % 3))
+    return table(spark, d, "benchmark").select("item_id", F.translate(text, "aeo", "āēō").alias("gold"), longer.alias("out"))
 
 
 @query(f"WITH {PAIRS} SELECT item_id, pos, g, o FROM c")
@@ -538,16 +535,16 @@ def s05_lexicon_rows(spark, d):
 @query(f"WITH {TOK}, {LEXICON_SQL}, n AS (SELECT wordform, count(DISTINCT lower(accented)) AS n FROM lexicon GROUP BY wordform) SELECT doc_id, string_agg(CASE WHEN regexp_matches(text, '{WORD}') THEN '<span class=\"' || CASE WHEN n IS NULL THEN 'unknown' WHEN n > 1 THEN 'ambig' ELSE 'auto' END || '\">' || text || '</span>' ELSE replace(replace(replace(replace(replace(text, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;'), '''', '&#39;') END, '' ORDER BY idx) AS html FROM tok LEFT JOIN n ON lower(text) = wordform GROUP BY doc_id")
 def k03_marked_html(spark, d):
     n = X.lexicon(spark, d).groupBy(F.col("wordform").alias("form")).agg(F.countDistinct(F.lower("accented")).alias("n"))
-    joined = tokens(spark, d).join(n, F.lower("text") == F.col("form"), "left")
+    joined = T.left_join_words(tokens(spark, d), n, W.is_word(F.col("text")), F.lower("text"), "form")
     shown = joined.withColumn("html", K.marked_html(F.col("text"), F.col("n").isNull(), F.col("n") > 1))
     return T.detokenise(shown, "html").withColumnRenamed("text", "html")
 
 
 @query(f"WITH {TAGGED} SELECT key, string_agg(word || chr(9) || tag || chr(9) || left(word, 3), chr(10) ORDER BY pos) AS lines FROM tagged GROUP BY key")
 def k10_tagged_lines(spark, d):
-    rows = tagged_words(spark, d).withColumn("lemma", F.substring("word", 1, 3))
-    line = F.array_sort(F.collect_list(F.struct("pos", F.concat_ws("\t", "word", "tag", "lemma").alias("v"))))
-    return rows.groupBy("key").agg(F.array_join(F.transform(line, lambda s: s["v"]), "\n").alias("lines"))
+    rows = K.tagged_lines(tagged_words(spark, d).withColumn("lemma", F.substring("word", 1, 3)), ("key", "pos"))
+    line = F.array_sort(F.collect_list(F.struct("pos", "value")))
+    return rows.groupBy("key").agg(F.array_join(F.transform(line, lambda s: s["value"]), "\n").alias("lines"))
 
 
 @query(f"WITH {TOK}, {FORMS}, {LEXICON_SQL} SELECT wordform AS word FROM forms WHERE wordform NOT IN (SELECT wordform FROM lexicon)")
@@ -564,13 +561,13 @@ def q01_align(spark, d):
     return lexicon.select("seq", Q.align_column(F.col("wordform"), F.col("accented"), utov=True, itoj=True).alias("aligned"))
 
 
-@query(f"WITH {LEXICON_SQL} SELECT wordform, count(*) AS n FROM (SELECT wordform, unnest(range(0, (1 << greatest(0, (length(wordform) - length(replace(wordform, 'a', ''))))::INT))) AS v FROM lexicon WHERE seq % 2 = 1) GROUP BY wordform")
+@query(rf"""WITH {LEXICON_SQL}, m AS (SELECT seq, string_split(regexp_replace(accented, '([ae])_', '\1_^', 'g'), '_^') AS p FROM lexicon),
+v AS (SELECT seq, p, unnest(range(0, (1 << (len(p) - 1)::INT))) AS nth FROM m)
+SELECT seq, nth::BIGINT AS nth, array_to_string(list_transform(p, lambda x, i: x || CASE WHEN i < len(p) AND ((nth >> (i - 1)::INT) & 1) = 1 THEN '_' ELSE '' END), '') AS form FROM v""")
 def j18_variants(spark, d):
-    words = X.lexicon(spark, d).where("seq % 2 = 1")
-    marked_a = F.replace("wordform", F.lit("a"), F.lit("a_^"))
-    k = F.size(F.split(marked_a, r"_\^")) - 1
-    bits = F.explode(F.sequence(F.lit(0), F.shiftleft(F.lit(1), 0) * F.pow(F.lit(2), k).cast("int") - 1))
-    return words.select("wordform", bits.alias("v")).groupBy("wordform").agg(F.count(F.lit(1)).alias("n"))
+    """The forms of the whole lexicon, its long a and e taken as uncertain."""
+    uncertain = F.regexp_replace("accented", "([ae])_", "$1_^")
+    return X.lexicon(spark, d).select("seq", F.posexplode(Q.variants_column(uncertain)).alias("nth", "form")).withColumn("nth", F.col("nth").cast("long"))
 
 
 @query()
@@ -648,7 +645,7 @@ PRE = X.values_sql("pre", "prefix", [(p,) for p in X.PREFIXES])
 
 
 @query(f"""WITH RECURSIVE {TOK}, {FORMS}, {PRE}, w(word, taken, rest, depth) AS (SELECT wordform, '', wordform, 0 FROM forms
-UNION ALL SELECT word, CASE WHEN taken = '' THEN prefix ELSE taken || '-' || prefix END, substr(rest, length(prefix) + 1), depth + 1 FROM w JOIN pre ON starts_with(rest, prefix) AND length(prefix) <= length(rest) - 2 WHERE depth < 3)
+UNION ALL SELECT word, CASE WHEN taken = '' THEN prefix ELSE taken || '-' || prefix END, substr(rest, length(prefix) + 1), depth + 1 FROM w JOIN pre ON starts_with(rest, prefix) AND length(prefix) <= length(rest) - 2)
 SELECT word, taken, rest FROM w WHERE depth > 0""")
 def j14_preverbs(spark, d):
     return M.preverbs(forms(spark, d).withColumnRenamed("wordform", "word"), X.inline(spark, [(p,) for p in X.PREFIXES], "prefix string"))
@@ -693,12 +690,10 @@ def f21_tag_to_parse(spark, d):
 @query("SELECT conv_id, turn, len(regexp_extract_all(text, '({T})', 1)) AS tokens FROM conversations".replace("{T}", W.TOKEN))
 def x01_stream_tokens(spark, d):
     """The token counts of the conversations, read as a stream of files; the same as the batch."""
-    import uuid
-
+    from textloom.session import temporary_folder
     from textloom.streaming.replay import run_over_files
 
-    base = (spark.conf.get("spark.checkpoint.dir", None) or "file:///tmp/textloom-shared").rstrip("/")
-    folder = f"{base}/textloom-stream-{uuid.uuid4().hex}"
+    folder = temporary_folder(spark, "stream")
     schema = table(spark, d, "conversations").schema
     table(spark, d, "conversations").write.parquet(f"{folder}/in")
     count = lambda df: df.select("conv_id", "turn", F.size(T.token_array(F.col("text"))).cast("long").alias("tokens"))

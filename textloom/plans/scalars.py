@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from textloom.functions import words as W
 from textloom.operators import morphology as M
-from textloom.operators.tokens import tokenise
+from textloom.operators.tokens import generic_clitic, tokenise
 
 WORD = r"^[\p{L}\p{Nl}\p{No}]"
 HEX_DIGITS, TAG_LETTERS = "0123456789abcdef", "nvadtvadspspfmnf"
@@ -122,8 +122,10 @@ SCALARS: dict[str, Scalar] = {
     "f49_comparable_accent": (lambda x, m, t: W.comparable_accent(m), _nested(r"regexp_replace({m}, '_?\^', '', 'g')", [(p + "_", q) for p, q in zip(W.PLAIN, W.LONG, strict=True) if p not in "yY"])),
     "f50_comparable_word": (lambda x, m, t: W.comparable_word(x), "translate(lower({x}), 'j', 'i')"),
     "p13_generic_clitic": (
-        lambda x, m, t: F.regexp_extract(F.lower(x), "^.+(que|ve|ue|ne|st)$", 1),
-        "CASE WHEN regexp_matches(lower({x}), '^.+(que|ve|ue|ne|st)$') THEN regexp_extract(lower({x}), '^.+(que|ve|ue|ne|st)$', 1) ELSE '' END",
+        lambda x, m, t: generic_clitic(x),
+        "CASE WHEN length({x}) > 3 AND ends_with(lower({x}), 'que') THEN 'que' WHEN length({x}) <= 2 THEN '' "
+        + " ".join(f"WHEN ends_with(lower({{x}}), '{c}') THEN '{c}'" for c in ("ve", "ue", "ne", "st"))
+        + " ELSE '' END",
     ),
     "p20_has_vowel": (lambda x, m, t: W.has_vowel(x).cast("string"), "regexp_matches({x}, '(?i)[aeiouy]')::VARCHAR"),
     "p31_toggle_length": (lambda x, m, t: W.toggle_length(W.marks_to_unicode(m)), f"translate({_nested('({m})', _MARKS)}, '{W.LONG + W.PLAIN}', '{W.PLAIN + W.LONG}')"),

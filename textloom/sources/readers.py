@@ -67,9 +67,19 @@ def read_lexicon(spark: SparkSession, path: str, strict: bool = False) -> DataFr
 
 
 def piped_rows(rows: DataFrame) -> DataFrame:
-    """Wordform and accented of lines by | or tabs: the last of two columns, or the fourth of more."""
-    p = F.split("line", r"[|\t]")
-    return rows.where(~comment_or_blank(F.col("line"))).select(F.col("seq"), F.trim(p[0]).alias("wordform"), F.trim(F.when(F.size(p) >= 3, F.element_at(p, -1)).otherwise(F.get(p, F.lit(1)))).alias("accented"))
+    """Seq, wordform, tag, lemma and accented of lines (seq, line) in either of two layouts of three columns or more.
+
+    By tabs: wordform, tag, accented, lemma (else the wordform). By |: wordform, accented, lemma, tag (else no features).
+    Lines of fewer columns are left out.
+    """
+    tabs, bars = F.split(F.trim("line"), "\t"), F.split(F.trim("line"), r"\|")
+    names = ("wordform", "tag", "lemma", "accented")
+
+    def columns(p: Column, places: tuple[int, ...], absent: dict[str, Column]) -> Column:
+        return F.struct(*[F.trim(F.coalesce(F.get(p, F.lit(i)), absent.get(n, F.lit(None)))).alias(n) for n, i in zip(names, places, strict=True)])
+
+    row = F.when(F.size(tabs) >= 3, columns(tabs, (0, 1, 3, 2), {"lemma": tabs[0]})).when(F.size(bars) >= 3, columns(bars, (0, 3, 2, 1), {"tag": F.lit("---------")}))
+    return rows.where(~comment_or_blank(F.col("line"))).select("seq", row.alias("r")).where("r IS NOT NULL").select("seq", *[f"r.{n}" for n in names])
 
 
 def read_lemmas(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
@@ -110,7 +120,7 @@ def treebank_words(spark: SparkSession, path: str) -> DataFrame:
     order = Window.partitionBy("path", "sentence").orderBy("pos")
     rows = each.select("path", "sentence", "pos", F.col("w._form").alias("form"), F.col("w._lemma").alias("lemma"), F.col("w._postag").alias("postag"))
     before = F.lag("form").over(order)
-    joined = F.when(before.rlike("^-"), F.concat("form", F.substring(before, 2, 99))).otherwise(F.col("form"))
+    joined = F.when(before.rlike("^-"), F.concat("form", F.substr(before, F.lit(2), F.length(before)))).otherwise(F.col("form"))
     return rows.withColumn("joined", joined).where(~F.col("form").rlike("^-")).drop("form").withColumnRenamed("joined", "form")
 
 
@@ -121,7 +131,7 @@ def stem_rows(rows: DataFrame) -> DataFrame:
     filled = rows.withColumn("lemma", F.last(F.when(head != "", head), ignorenulls=True).over(order))
     stems = filled.where(F.col("line").rlike("^:(no|vs|aj|de|wd):"))
     p = F.split(F.regexp_extract("line", r"^:\w\w:\s*(.*)$", 1), r"\s+")
-    return stems.select("lemma", F.regexp_extract("line", r"^:(\w\w):", 1).alias("kind"), p[0].alias("stem"), F.slice(p, 2, 99).alias("keys"))
+    return stems.select("lemma", F.regexp_extract("line", r"^:(\w\w):", 1).alias("kind"), p[0].alias("stem"), F.slice(p, F.lit(2), F.size(p)).alias("keys"))
 
 
 def ending_rows(rows: DataFrame) -> DataFrame:
@@ -129,10 +139,10 @@ def ending_rows(rows: DataFrame) -> DataFrame:
     name = F.regexp_replace(F.regexp_replace("path", r"^.*/", ""), r"\.[^.]*$", "")
     named = rows.where(~comment_or_blank(F.col("line"))).withColumn("table", name)
     plain = named.where(~F.col("line").startswith("@"))
-    used = named.where(F.col("line").startswith("@")).select(F.col("table").alias("into"), F.trim(F.substring("line", 2, 999)).alias("table"))
+    used = named.where(F.col("line").startswith("@")).select(F.col("table").alias("into"), F.trim(F.substr("line", F.lit(2), F.length("line"))).alias("table"))
     expanded = plain.join(used, "table").select(F.col("into").alias("table"), "line")
     p = F.split(F.trim("line"), r"\s+")
-    return plain.select("table", "line").unionByName(expanded).select("table", p[0].alias("ending"), F.get(p, F.lit(1)).alias("stemtype"), F.slice(p, 3, 99).alias("features"))
+    return plain.select("table", "line").unionByName(expanded).select("table", p[0].alias("ending"), F.get(p, F.lit(1)).alias("stemtype"), F.slice(p, F.lit(3), F.size(p)).alias("features"))
 
 
 def driver_words(rows: DataFrame) -> DataFrame:

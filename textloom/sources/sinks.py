@@ -38,9 +38,17 @@ def new_entries(entries: DataFrame, lexicon: DataFrame) -> DataFrame:
     return fresh.join(old, [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in columns], "left_anti")
 
 
-def tagged_lines(rows: DataFrame) -> DataFrame:
-    """Lines of word, tag and lemma by tabs."""
-    return rows.select(F.concat_ws("\t", "word", "tag", "lemma").alias("value"))
+def tagged_lines(rows: DataFrame, key: tuple[str, ...] = ()) -> DataFrame:
+    """Lines (value) of word, tag and lemma by tabs, with the columns `key`."""
+    return rows.select(*key, F.concat_ws("\t", "word", "tag", "lemma").alias("value"))
+
+
+def tagger_lines(rows: DataFrame) -> DataFrame:
+    """Lines (value) of word, tag and lemma; a word whose accented form begins with a capital gets one."""
+    capital = F.substring("accented", 1, 1)
+    title = F.concat(F.upper(F.substring("word", 1, 1)), F.lower(F.substr("word", F.lit(2), F.length("word"))))
+    word = F.when(capital != F.lower(capital), title).otherwise(F.col("word"))
+    return tagged_lines(rows.withColumn("word", word))
 
 
 def write_json(df: DataFrame, path: str) -> None:
