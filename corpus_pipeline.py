@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from textloom.llm import bpe, line_dedup, mixing, near_dedup, toxicity
 from textloom.llm.common import Workspace
@@ -30,7 +31,10 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 def keep_one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document with the smallest doc_id of each class of near copies."""
     kept = near_dedup.near_dedup(docs).where(F.col("kept") & F.col("doc_id").isNotNull()).select(F.col("doc_id").alias("_tl_kept")).distinct()
-    one = docs.join(kept.hint("merge"), F.col("doc_id") == F.col("_tl_kept"), "left_semi").dropDuplicates(["doc_id"])
+    one = docs.join(kept.hint("merge"), F.col("doc_id") == F.col("_tl_kept"), "left_semi")
+    # Rows of one doc_id: the first by text, whichever task reads it. They are together already.
+    first = Window.partitionBy("doc_id").orderBy(F.xxhash64("text"), "text", *[f"`{c}`" for c in docs.columns if c not in ("doc_id", "text")])
+    one = one.withColumn("_tl_nth", F.row_number().over(first)).where("_tl_nth = 1").drop("_tl_nth")
     return one.unionByName(docs.where(F.col("doc_id").isNull()))
 
 
