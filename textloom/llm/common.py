@@ -2,35 +2,21 @@
 
 from __future__ import annotations
 
-import atexit
 import io
 import os
 import tempfile
-import uuid
 import zipfile
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from textloom.session import remove_folder, temporary_folder
+
 #: `[\x20\x09-\x0D]`: the white space that the contracts name.
 SPACE = r"[\x20\x09-\x0D]"
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors see: spark.checkpoint.dir, or a local one where that is unset."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not base:
-        base = f"file://{tempfile.gettempdir()}/textloom-shared"
-    return base.rstrip("/")
-
-
-def _filesystem(spark: SparkSession, path: str):
-    jvm = spark.sparkContext._jvm
-    target = jvm.org.apache.hadoop.fs.Path(path)
-    return target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), target
-
-
 class Workspace:
     """Tables written under the shared folder, so that later steps survive lost executors.
 
@@ -40,8 +26,7 @@ class Workspace:
 
     def __init__(self, spark: SparkSession, name: str) -> None:
         self.spark = spark
-        self.root = f"{shared_dir(spark)}/textloom-{name}-{uuid.uuid4().hex}"
-        atexit.register(self.close)
+        self.root = temporary_folder(spark, name)
 
     def save(self, df: DataFrame, table: str) -> DataFrame:
         path = f"{self.root}/{table}"
@@ -50,15 +35,22 @@ class Workspace:
 
     def drop(self, *tables: str) -> None:
         for table in tables:
-            fs, path = _filesystem(self.spark, f"{self.root}/{table}")
-            fs.delete(path, True)
-
-    def close(self) -> None:
-        try:
-            fs, path = _filesystem(self.spark, self.root)
-            fs.delete(path, True)
-        except Exception:  # the session has ended: nothing is left to ask
-            pass
+            remove_folder(self.spark, f"{self.root}/{table}")
+
+
+#: A key that more rows share than this, and than a HOT_SHARE-th of all, is joined by broadcast: see join_counted.
+HOT_ROWS, HOT_SHARE = 1000, 256
+
+
+def join_counted(rows: DataFrame, table: DataFrame, key: str, total: int, how: str = "inner", count: str = "n") -> DataFrame:
+    """`rows` with the row of `table` for their key. table: one row for each key, `count` says how many of `rows` have it.
+
+    how: inner or left. Keys that very many rows share would put all of them in one task. There are at most HOT_SHARE such
+    keys, as their counts add up to no more than `total`, so they are broadcast and their rows stay where they are.
+    """
+    hot = F.col(count) > max(HOT_ROWS, total // HOT_SHARE)
+    many, few = F.broadcast(table.where(hot).drop(count)), table.where(~hot).drop(count)
+    return rows.join(many, key).unionByName(rows.join(many.select(key), key, "left_anti").join(few.hint("merge"), key, how))
 
 
 def ship(spark: SparkSession) -> None:

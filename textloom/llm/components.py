@@ -5,12 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Workspace
-
-
-#: A node with more neighbours than this, and than a HOT_SHARE-th of all pairs, is joined by broadcast: there are at most
-#: HOT_SHARE of them, so no task gets all pairs of one node.
-HOT_ROWS, HOT_SHARE = 1000, 256
+from .common import Workspace, join_counted
 
 
 def components(edges: DataFrame, work: Workspace, table: str) -> DataFrame:
@@ -46,10 +41,7 @@ def _with_least(pairs: DataFrame, n: int, itself: bool) -> DataFrame:
     """a, b and m: the least neighbour of a, or a itself."""
     least = pairs.groupBy("a").agg(F.min("b").alias("m"), F.count(F.lit(1)).alias("n"))
     least = least.withColumn("m", F.least("a", "m")) if itself else least
-    hot = F.col("n") > max(HOT_ROWS, n // HOT_SHARE)
-    many = F.broadcast(least.where(hot).select("a", "m"))
-    few = least.where(~hot).select("a", "m")
-    return pairs.join(many, "a").unionByName(pairs.join(many.select("a"), "a", "left_anti").join(few.hint("merge"), "a"))
+    return join_counted(pairs, least, "a", n)
 
 
 def _state(pairs: DataFrame) -> tuple:

@@ -79,17 +79,22 @@ QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_near_dedup, op2_url_tru
 
 SQL: dict[str, str] = {
     "op2_url_trust": url_sql(),
-    # A line goes if it lies in 3 nonblank lines in a row that occur at an earlier place; places by (doc_id, position).
+    # A line goes if it lies in a run that occurs at an earlier place: 3 nonblank lines in a row, or 1 or 2 of more than 50
+    # words; places by (doc_id, position).
     "op4_line_dedup": r"""
 WITH line AS (
   SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents WHERE text IS NOT NULL),
 nonblank AS (
-  SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS p FROM line WHERE NOT regexp_full_match(line, '[\x20\x09-\x0D]*')),
-run AS (
-  SELECT doc_id, p, [i, lead(i, 1) OVER w, lead(i, 2) OVER w] AS spots, [line, lead(line, 1) OVER w, lead(line, 2) OVER w] AS lines, lead(i, 2) OVER w AS last_i
+  SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS p, len(regexp_extract_all(line, '[^\x20\x09-\x0D]+')) AS n FROM line WHERE NOT regexp_full_match(line, '[\x20\x09-\x0D]*')),
+ahead AS (
+  SELECT *, lead(i, 1) OVER w AS i2, lead(i, 2) OVER w AS i3, lead(line, 1) OVER w AS line2, lead(line, 2) OVER w AS line3, lead(n, 1) OVER w AS n2
   FROM nonblank WINDOW w AS (PARTITION BY doc_id ORDER BY i)),
-whole AS (SELECT *, row_number() OVER (PARTITION BY lines ORDER BY doc_id, p) AS nth FROM run WHERE last_i IS NOT NULL),
-gone AS (SELECT DISTINCT doc_id, unnest(spots) AS i FROM whole WHERE nth > 1),
+run AS (
+  SELECT doc_id, p, [i] AS spots, [line] AS lines FROM ahead WHERE n > 50
+  UNION ALL SELECT doc_id, p, [i, i2], [line, line2] FROM ahead WHERE i2 IS NOT NULL AND n + n2 > 50
+  UNION ALL SELECT doc_id, p, [i, i2, i3], [line, line2, line3] FROM ahead WHERE i3 IS NOT NULL),
+placed AS (SELECT *, row_number() OVER (PARTITION BY lines ORDER BY doc_id, p) AS nth FROM run),
+gone AS (SELECT DISTINCT doc_id, unnest(spots) AS i FROM placed WHERE nth > 1),
 kept AS (
   SELECT line.doc_id, count(*) AS n_lines, count(gone.i) AS n_removed, coalesce(string_agg(line.line, chr(10) ORDER BY line.i) FILTER (WHERE gone.i IS NULL), '') AS kept_text
   FROM line LEFT JOIN gone ON line.doc_id = gone.doc_id AND line.i = gone.i GROUP BY line.doc_id)
