@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import slices
-from .common import Workspace, text_or_empty
+from .common import Workspace, join_counted, text_or_empty
 
 #: Bytes of text in a pack; a longer document is a pack by itself.
 PACK_BYTES = 3_000_000
@@ -116,5 +116,9 @@ def digest_table(packs: DataFrame, work: Workspace) -> DataFrame:
 
 
 def later_copies(digests: DataFrame, firsts: DataFrame, later: Column) -> DataFrame:
-    """pack and copies: the numbers of its documents that are `later` than the first (firsts: digest, ...) of their text."""
-    return digests.join(firsts.hint("merge"), "digest").where(later).groupBy("pack").agg(F.collect_list("nth").alias("copies"))
+    """pack and copies: the numbers of its documents that are `later` than the first of their text.
+
+    firsts: digest, n (how many documents have it) and what `later` compares with.
+    """
+    met = join_counted(digests, firsts, "digest", digests.count())
+    return met.where(later).groupBy("pack").agg(F.collect_list("nth").alias("copies"))

@@ -47,8 +47,8 @@ _TABLE = np.random.default_rng(50).integers(0, 1 << 63, 256, dtype=np.uint64) *
 _MULT = 0x9E3779B97F4A7C15
 SENT = "bucket int, pack long, hashes binary, docs binary, contents binary"
 ANSWER = "pack long, bucket int, hashes binary"
-PIECES = "bucket int, pack long, spots binary, owners binary, lengths binary, texts binary, which binary"
-LOST = "pack long, bucket int, spots binary, masks binary"
+PIECES = "bucket int, pack long, owners binary, lengths binary, texts binary"
+LOST = "pack long, bucket int, owners binary, masks binary"
 RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
 
 
@@ -176,18 +176,18 @@ def repeated_anchors(pdf: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame(rows, columns=["pack", "bucket", "hashes"])
 
 
-def send_pieces(pack: Pack, known: dict[int, bytes], copies: np.ndarray, buckets: int) -> list[tuple]:
-    """Rows of PIECES: the pieces of text around repeated anchors, equal ones once, and where they stand."""
+def pieces_of(pack: Pack, known: dict[int, bytes], copies: np.ndarray, buckets: int) -> Iterator[tuple]:
+    """Of each bucket: the runs around repeated anchors (first windows, numbers of windows, doc_ids), the distinct pieces
+    of text that they are, and which each is."""
     spot, count, h, doc = runs(pack)
     if not len(h):
-        return []
+        return
     where = bucket_of(h, buckets)
     low = h & np.uint64((1 << 48) - 1)
     is_copy = np.zeros(len(pack.ids), bool)
     is_copy[copies] = True
     live = np.flatnonzero(~is_copy[doc])
     live = live[np.argsort(where[live], kind="stable")]
-    rows = []
     for part in np.split(live, np.flatnonzero(np.diff(where[live])) + 1):
         bucket = int(where[part[0]]) if len(part) else -1
         if bucket not in known:
@@ -200,11 +200,19 @@ def send_pieces(pack: Pack, known: dict[int, bytes], copies: np.ndarray, buckets
         number: dict[bytes, int] = {}
         size = count[part] + LENGTH - 1
         which = np.fromiter((number.setdefault(pack.raw[a:b], len(number)) for a, b in zip(spot[part].tolist(), (spot[part] + size).tolist(), strict=True)), np.int64, len(part))
-        ids = pack.ids[doc[part]]
-        owners = np.full(len(number), NO_ID)
+        yield bucket, spot[part], count[part], pack.ids[doc[part]], list(number), which
+
+
+def send_pieces(pack: Pack, known: dict[int, bytes], copies: np.ndarray, buckets: int) -> list[tuple]:
+    """Rows of PIECES: the distinct pieces of text around repeated anchors, and the smallest doc_id of each.
+
+    Where they stand stays with the pack, so a passage that very many documents hold is one row of each pack.
+    """
+    rows = []
+    for bucket, _, _, ids, texts, which in pieces_of(pack, known, copies, buckets):
+        owners = np.full(len(texts), NO_ID)
         np.minimum.at(owners, which, ids)
-        texts = list(number)
-        rows.append((bucket, pack.pack, np.stack([spot[part], ids], 1).tobytes(), owners.tobytes(), np.array([len(t) for t in texts], np.int32).tobytes(), squeeze(b"".join(texts)), which.astype(np.int32).tobytes()))
+        rows.append((bucket, pack.pack, owners.tobytes(), np.array([len(t) for t in texts], np.int32).tobytes(), squeeze(b"".join(texts))))
     return rows
 
 
@@ -301,16 +309,17 @@ def common_prefixes(text: np.ndarray, order: np.ndarray, depth: int) -> np.ndarr
 
 
 def lost_windows(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Of a bucket: for each pack the spots and, as bits, the windows from there on that a smaller doc_id has too."""
+    """Of a bucket: for each of a pack's pieces the smallest doc_id that has it and, as bits, its windows that a smaller
+    doc_id still has in another piece."""
     number: dict[bytes, int] = {}
     rows = []
     for row in pdf.itertuples(index=False):
         ends = np.cumsum(np.frombuffer(row.lengths, np.int32)).tolist()
         raw = unsqueeze(row.texts)
         of = np.fromiter((number.setdefault(raw[a:b], len(number)) for a, b in zip([0, *ends[:-1]], ends, strict=True)), np.int64, len(ends))
-        rows.append((row.pack, np.frombuffer(row.spots, np.int64).reshape(-1, 2), np.frombuffer(row.owners, np.int64), of, of[np.frombuffer(row.which, np.int32)]))
+        rows.append((row.pack, np.frombuffer(row.owners, np.int64), of))
     owner = np.full(len(number), NO_ID)
-    for _, _, own, of, _ in rows:
+    for _, own, of in rows:
         np.minimum.at(owner, of, own)
     raw = [*number]
     size = np.fromiter(map(len, raw), np.int64, len(raw))
@@ -329,24 +338,20 @@ def lost_windows(pdf: pd.DataFrame) -> pd.DataFrame:
     gone = least < owner[piece[order]]
     mask = np.zeros(len(raw), np.int64)
     np.bitwise_or.at(mask, piece[order[gone]], np.int64(1) << (order[gone] - begin[piece[order[gone]]]))
-    whole = (np.int64(1) << (size - LENGTH + 1)) - 1
-    out = []
     bucket = int(pdf["bucket"].iloc[0])
-    for pack, spots, _, _, of in rows:
-        lost = np.where(spots[:, 1] > owner[of], whole[of], mask[of])
-        some = lost != 0
-        if some.any():
-            out.append((pack, bucket, spots[some, 0].tobytes(), lost[some].tobytes()))
-    return pd.DataFrame(out, columns=["pack", "bucket", "spots", "masks"])
+    out = [(pack, bucket, owner[of].tobytes(), squeeze(mask[of].tobytes())) for pack, _, of in rows]
+    return pd.DataFrame(out, columns=["pack", "bucket", "owners", "masks"])
 
 
-def removed_bytes(pack: Pack, copies: np.ndarray, answers: list[tuple[bytes, bytes]]) -> np.ndarray:
-    """Which bytes of a pack's data go."""
+def removed_bytes(pack: Pack, known: dict[int, bytes], copies: np.ndarray, answers: dict[int, tuple[bytes, bytes]], buckets: int) -> np.ndarray:
+    """Which bytes of a pack's data go. known and answers: by bucket."""
     edge = np.zeros(len(pack.data) + 1, np.int32)
-    for spots, masks in answers:
-        spot, mask = np.frombuffer(spots, np.int64), np.frombuffer(masks, np.int64)
+    for bucket, spot, count, ids, _, which in pieces_of(pack, known, copies, buckets):
+        owners, masks = np.frombuffer(answers[bucket][0], np.int64), np.frombuffer(unsqueeze(answers[bucket][1]), np.int64)
+        lost = np.where(ids > owners[which], (np.int64(1) << count) - 1, masks[which])
+        spot, lost = spot[lost != 0], lost[lost != 0]
         for k in range(SPAN):
-            at = spot[(mask >> k) & 1 == 1] + k
+            at = spot[(lost >> k) & 1 == 1] + k
             np.add.at(edge, at, 1)
             np.add.at(edge, at + LENGTH, -1)
     for i in copies.tolist():
@@ -359,8 +364,8 @@ def removed_bytes(pack: Pack, copies: np.ndarray, answers: list[tuple[bytes, byt
 def whole_copies(packs: DataFrame, work: Workspace) -> DataFrame:
     """pack and copies: the numbers of its documents whose whole text a smaller doc_id has."""
     digests = digest_table(packs, work)
-    first = digests.groupBy("digest").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("n")).where("n > 1").select("digest", "least")
-    return later_copies(digests, first, F.col("doc_id") > F.col("least"))
+    first = digests.groupBy("digest").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    return later_copies(digests, work.save(first, "firsts"), F.col("doc_id") > F.col("least"))
 
 
 def buckets_for(packs: DataFrame) -> int:
@@ -392,13 +397,14 @@ def suffix_dedup(docs: DataFrame) -> DataFrame:
                 yield batch_of(PIECES, *map(list, zip(*rows, strict=True)))
 
     lost = work.save(with_known.mapInArrow(pieces, PIECES).groupBy("bucket").applyInPandas(lost_windows, LOST), "lost")
-    work.drop("known")
-    masks = lost.groupBy("pack").agg(F.collect_list(F.struct("spots", "masks")).alias("lost"))
-    marked = packs.join(masks.hint("merge"), "pack", "left").join(copies.hint("merge"), "pack", "left")
+    # Packs without a repeated anchor have neither.
+    masks = lost.groupBy("pack").agg(F.collect_list(F.struct("bucket", "owners", "masks")).alias("lost"))
+    marked = packs.join(told.hint("merge"), "pack", "left").join(masks.hint("merge"), "pack", "left").join(copies.hint("merge"), "pack", "left")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for pack, found, gone in packs_in(batches, "lost", "copies"):
-            away = removed_bytes(pack, np.array(gone or [], np.int64), [(x["spots"], x["masks"]) for x in found or []])
+        for pack, told, found, gone in packs_in(batches, "known", "lost", "copies"):
+            known = {x["bucket"]: x["hashes"] for x in told or []}
+            away = removed_bytes(pack, known, np.array(gone or [], np.int64), {x["bucket"]: (x["owners"], x["masks"]) for x in found or []}, buckets)
             total = np.append(0, np.cumsum(away))
             begins = away & ~np.append(False, away[:-1])
             begins[pack.starts[pack.sizes > 0]] = away[pack.starts[pack.sizes > 0]]
