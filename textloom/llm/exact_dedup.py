@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE, Workspace, ship, text_or_empty
+from .common import SPACE, Workspace, join_counted, ship, text_or_empty
 
 #: Digests a bucket should hold; a bucket is one task's memory. At least so many buckets, so that small inputs spread.
 BUCKET_KEYS, LEAST_BUCKETS = 50_000, 256
@@ -165,9 +165,10 @@ def exact_dedup(docs: DataFrame) -> DataFrame:
     middle = low + (high - low) // 2 if low is not None else 0
     buckets = max(LEAST_BUCKETS, -(-n // BUCKET_KEYS))
     index = work.save(build_index(rows.where(F.col("doc_id") <= middle), buckets), "index")
-    groups = merge_groups(rows.where((F.col("doc_id") > middle) | F.col("doc_id").isNull()), index, buckets)
+    groups = work.save(merge_groups(rows.where((F.col("doc_id") > middle) | F.col("doc_id").isNull()), index, buckets), "groups")
     repeats = rows.groupBy("digest", "doc_id").agg(F.count(F.lit(1)).alias("rows"))
-    joined = repeats.join(groups, "digest")
+    # A group has at least as many rows as doc_ids.
+    joined = join_counted(repeats, groups.withColumn("n", F.col("group_size")), "digest", n)
     one_each = F.explode(F.sequence(F.lit(1), F.col("rows").cast("int"))).alias("nth")
     return joined.select("doc_id", "keep_id", "group_size", F.lower(F.hex("digest")).alias("text_sha256"), one_each).select(
         "doc_id", "keep_id", "group_size", (F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("nth") == 1)).alias("kept"), "text_sha256"
