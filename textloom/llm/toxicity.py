@@ -1,7 +1,7 @@
 """Toxicity (3): a linear-chain conditional random field over words, trained on documents' labels.
 
-Learning. A sample of at most MOST_DOCS labelled documents of each class and about MOST_CHARS characters goes to the
-driver; near copies in it count once. Words and word beginnings that toxic documents hold far more often than clean
+Learning. A sample of at most MOST_DOCS labelled documents of each class and about MOST_CHARS characters (one document
+at least) goes to the driver; near copies in it count once. Words and word beginnings that toxic documents hold far more often than clean
 ones mark their places in toxic documents as toxic tokens; all others are clean. On sentences with such tokens, and
 others for contrast, the field (two states, word features, transitions) is fitted by gradient steps on its likelihood.
 
@@ -27,6 +27,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -47,6 +48,8 @@ STEPS, RATE, DECAY = 60, 0.3, 1e-4
 RESULT = "doc_id long, held_out boolean, score double, predicted int, span_starts array<int>, span_ends array<int>"
 
 _EDGE = regex.compile(r"^[^\p{L}\p{N}]+|[^\p{L}\p{N}]+$")
+#: White space besides spaces and line feeds parts words as well; it is as long as a space.
+_OTHER_SPACE = r"[\x09\x0B-\x0D]"
 
 
 def word_of(chunk: str) -> str:
@@ -131,7 +134,7 @@ class Scorer:
 
     def run(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Of each text mass and largest marginal; of all chunks offsets, numbers of the distinct ones, marginals."""
-        offsets, coded, distinct = chunks_of(texts)
+        offsets, coded, distinct = chunks_of(pc.replace_substring_regex(texts, _OTHER_SPACE, " "))
         if not len(coded):
             return np.zeros(len(texts)), np.zeros(len(texts)), offsets, coded, np.zeros(0)
         at = self.chunks.numbers(distinct)[coded]
@@ -161,14 +164,15 @@ class Scorer:
         hit = np.flatnonzero(p >= 0.5)
         owner = np.searchsorted(offsets, hit, "right") - 1
         for i in np.unique(owner).tolist():
-            text = texts[i].as_py().replace("\n", " ")
-            parts = text.split(" ")
+            parts = regex.split(r"[\x20\x09-\x0D]", texts[i].as_py())
             sizes = np.fromiter(map(len, parts), np.int64, len(parts)) + 1
             begins = np.cumsum(sizes) - sizes
             before = -2
             for k in (hit[owner == i] - offsets[i]).tolist():
-                a = int(begins[k]) + len(parts[k]) - len(parts[k].lstrip("\"'([{<*_"))
-                b = int(begins[k]) + len(parts[k])
+                # The word itself, without the punctuation around it.
+                word = _EDGE.sub("", parts[k])
+                a = int(begins[k]) + parts[k].index(word)
+                b = a + len(word)
                 if k == before + 1:
                     stops[i][-1] = b
                 else:
@@ -208,7 +212,7 @@ def distinct_documents(words: list[list[str]]) -> list[int]:
 def fit(texts: list[str], toxic: np.ndarray) -> Model | None:
     """The model of a sample of whole texts and their labels; None if a class is missing."""
     same: dict[str, str] = {}  # one copy of each chunk
-    chunked = [[same.setdefault(c, c) for c in t.replace("\n", " ").split(" ")] for t in texts]
+    chunked = [[same.setdefault(c, c) for c in regex.split(r"[\x20\x09-\x0D]", t)] for t in texts]
     memo: dict[str, str] = {}
     for doc in chunked:
         for c in doc:
@@ -309,9 +313,11 @@ def learn(docs: DataFrame, labels: DataFrame) -> Model | None:
     work = Workspace(spark, "toxic")
     rows = docs.join(sample, F.col("doc_id") == F.col("_tl_id")).select("doc_id", "text", "toxic").where(F.col("text").isNotNull())
     rows = work.save(rows, "sample")
-    chars = {r["toxic"]: r["n"] for r in rows.groupBy("toxic").agg(F.sum(F.length("text")).alias("n")).collect()}
-    limit = F.coalesce(*[F.when(F.col("toxic") == c, F.lit(min(1.0, MOST_CHARS / max(1, n)) * (1 << 30))) for c, n in chars.items()], F.lit(0.0))
-    pdf = rows.where(F.pmod(F.xxhash64(F.lit(8), "doc_id"), F.lit(1 << 30)) < limit).orderBy("doc_id", "text").toPandas()
+    draw = F.pmod(F.xxhash64(F.lit(8), "doc_id", "text"), F.lit(1 << 30))
+    chars = {r["toxic"]: (r["n"], r["least"]) for r in rows.groupBy("toxic").agg(F.sum(F.length("text")).alias("n"), F.min(draw).alias("least")).collect()}
+    # However long its documents are, a class has one at least.
+    limit = F.coalesce(*[F.when(F.col("toxic") == c, F.lit(max(least + 1.0, min(1.0, MOST_CHARS / max(1, n)) * (1 << 30)))) for c, (n, least) in chars.items()], F.lit(0.0))
+    pdf = rows.where(draw < limit).orderBy("doc_id", "text").toPandas()
     texts, toxic = pdf["text"].tolist(), pdf["toxic"].to_numpy(np.int64)
     del pdf
     return fit(texts, toxic) if len(texts) else None
