@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import chunks_of, ragged
-from .common import Workspace, ship
+from .common import Workspace, join_counted, ship
 from .components import components
 from .packs import NO_ID, Pack, batch_of, digest_table, later_copies, make_packs, packs_in, squeeze, unsqueeze
 
@@ -172,8 +172,8 @@ def sample(ids: np.ndarray, weights: np.ndarray, starts: np.ndarray) -> np.ndarr
     keys = np.zeros((len(starts), BANDS), np.uint64)
     for j in range(SAMPLES):
         h = _mix(ids * _MULTS[j])
-        one, two = (h & np.uint64(0xFFFF)).astype(np.int64), (h >> np.uint64(48)).astype(np.int64)
-        r, beta = _R[one], _BETA[one]
+        one, two, three = (h & np.uint64(0xFFFF)).astype(np.int64), (h >> np.uint64(48)).astype(np.int64), (h >> np.uint64(24) & np.uint64(0xFFFF)).astype(np.int64)
+        r, beta = _R[one], _BETA[three]
         t = np.floor(log_w / r + beta)
         a = _LOG_C[two] - r * (t - beta + 1)
         hit = np.flatnonzero(a == np.repeat(np.minimum.reduceat(a, starts), sizes))
@@ -408,7 +408,7 @@ def near_dedup(docs: DataFrame) -> DataFrame:
     bits, buckets = id_bits(total), max(LEAST_BUCKETS, -(-total // BUCKET_BYTES))
     digests = digest_table(packs, work)
     place = F.struct("doc_id", "pack", "nth")
-    firsts = work.save(digests.groupBy("digest").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").select("digest", "first"), "firsts")
+    firsts = work.save(digests.groupBy("digest").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1"), "firsts")
     copies = later_copies(digests, firsts, place > F.col("first"))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -429,9 +429,10 @@ def near_dedup(docs: DataFrame) -> DataFrame:
 
     chosen = work.save(full.mapInArrow(choose, CANDIDATE), "candidates")
     work.drop("answers", "packs")
-    least = digests.select("digest", "doc_id").join(firsts.select("digest", F.col("first.doc_id").alias("least")).hint("merge"), "digest", "left").select("doc_id", F.coalesce("least", "doc_id").alias("least"))
+    first = firsts.select("digest", F.col("first.doc_id").alias("least"), "n")
+    least = join_counted(digests.select("digest", "doc_id"), first, "digest", documents, "left")
     # Rows with one doc_id are of one class, whatever their texts.
-    least = work.save(least, "least")
+    least = work.save(least.select("doc_id", F.coalesce("least", "doc_id").alias("least")), "least")
     several = least.where(F.col("doc_id") != NO_ID).groupBy("doc_id").agg(F.min("least").alias("a"), F.max("least").alias("high")).where("a <> high").select("doc_id", "a")
     same = least.join(several.hint("merge"), "doc_id").select("a", F.col("least").alias("b")).where("a <> b").distinct()
     roots = classes(chosen, same, work)
