@@ -59,33 +59,30 @@ def compress(ids: np.ndarray, first: int, barrier: int) -> tuple[np.ndarray, np.
     left, are looked at.
     """
     seq, rules, made = ids.astype(np.uint32), [], first
-    at = np.arange(max(0, len(seq) - 1))
+    at = np.arange(max(0, len(seq) - 1), dtype=np.uint64)
     while len(at):
-        # Two symbols in 32 bits while they are below 2^16, else in 64.
-        kind, shift = (np.uint64, 32) if made > 1 << 16 else (np.uint32, 16)
-        one, two = seq[at], seq[at + 1]
+        one, two = seq[at], seq[at + np.uint64(1)]
         inside = (one != barrier) & (two != barrier)
         at, one, two = at[inside], one[inside], two[inside]
-        key = one.astype(kind) << kind(shift) | two.astype(kind)
-        ordered = np.sort(key)
-        edge = np.flatnonzero(np.append(True, ordered[1:] != ordered[:-1])) if len(ordered) else np.zeros(0, int)
-        counts = np.diff(np.append(edge, len(ordered)))
-        often = counts >= LEAST_COUNT
-        if not often.any():
+        # A pair and its place in one number, so that one sort brings the places of a pair together.
+        wide, low = int(made - 1).bit_length(), int(len(seq)).bit_length()
+        if 2 * wide + low > 64:
+            raise ValueError("too many ids for one shard")
+        key = (one.astype(np.uint64) << np.uint64(wide) | two) << np.uint64(low) | at
+        key.sort()
+        pair = key >> np.uint64(low)
+        edge = np.flatnonzero(np.append(True, pair[1:] != pair[:-1])) if len(pair) else np.zeros(0, int)
+        counts = np.diff(np.append(edge, len(pair)))
+        often = np.flatnonzero(counts >= LEAST_COUNT)
+        if not len(often):
             break
-        pairs, counts = ordered[edge[often]], counts[often]
-        # Only places whose symbols begin and end some frequent pair are looked up.
-        sides = np.zeros((2, made), bool)
-        sides[0, pairs >> kind(shift)] = True
-        sides[1, pairs & kind((1 << shift) - 1)] = True
-        maybe = np.flatnonzero(sides[0, one] & sides[1, two])
-        key = key[maybe]
-        found = np.minimum(np.searchsorted(pairs, key), len(pairs) - 1)
-        hit = pairs[found] == key
-        at, found = at[maybe[hit]], found[hit]
-        rank_of = np.empty(len(pairs), np.int64)
-        rank_of[np.argsort(-counts, kind="stable")] = np.arange(len(pairs))
-        rank = rank_of[found]
+        pairs, counts, edge = pair[edge[often]], counts[often], edge[often]
+        rank_of = np.empty(len(pairs), np.uint64)
+        rank_of[np.argsort(-counts, kind="stable")] = np.arange(len(pairs), dtype=np.uint64)
+        # Their places in order, each with the rank of its pair.
+        by_place = (key[ragged(edge, counts)] & np.uint64((1 << low) - 1)) << np.uint64(32) | np.repeat(rank_of, counts)
+        by_place.sort()
+        at, rank = (by_place >> np.uint64(32)).astype(np.int64), (by_place & np.uint64(0xFFFFFFFF)).astype(np.int64)
         # A pair is replaced where no neighbour has a better rank; equal ranks overlap in runs (aaa), from the left.
         none = len(pairs)
         close = np.diff(at) == 1
@@ -100,24 +97,24 @@ def compress(ids: np.ndarray, first: int, barrier: int) -> tuple[np.ndarray, np.
             pick[where[(where - start) % 2 == 1]] = False
         where = at[pick]
         used = np.zeros(none, bool)
-        used[found[pick]] = True
+        used[rank[pick]] = True
         number = np.cumsum(used) - 1
-        rules.append(np.stack([pairs[used] >> kind(shift), pairs[used] & kind((1 << shift) - 1)], 1).astype(np.uint32))
-        seq[where] = (made + number[found[pick]]).astype(np.uint32)
+        chosen = pairs[np.argsort(rank_of)][used]
+        rules.append(np.stack([chosen >> np.uint64(wide), chosen & np.uint64((1 << wide) - 1)], 1).astype(np.uint32))
+        seq[where] = (made + number[rank[pick]]).astype(np.uint32)
         made += len(rules[-1])
         keep = np.ones(len(seq), bool)
         keep[where + 1] = False
         # Frequent pairs that are left: neither symbol went into a new one.
-        rest = at[~pick]
         new = np.zeros(len(seq) + 1, bool)
         new[where] = True
+        rest = at[~pick]
         rest = rest[~new[rest] & ~new[rest + 1] & keep[rest]]
-        rest = rest - np.searchsorted(where, rest)
-        seq = seq[keep]
-        place = where - np.arange(len(where))
+        seq, gone = seq[keep], np.cumsum(~keep)
         beside = np.zeros(len(seq) + 1, bool)
-        beside[place] = beside[place - 1] = beside[rest] = True
-        at = np.flatnonzero(beside[: len(seq) - 1])
+        place = where - np.arange(len(where))
+        beside[place] = beside[place - 1] = beside[rest - gone[rest]] = True
+        at = np.flatnonzero(beside[: len(seq) - 1]).astype(np.uint64)
     return np.concatenate(rules) if rules else np.zeros((0, 2), np.uint32), seq
 
 
