@@ -79,3 +79,19 @@ def test_grammar_goes_on_until_no_pair_is_frequent():
     assert (token_shards.expand(left, rules, 40000) == ids).all()
     counts = np.unique(np.stack([left[:-1], left[1:]], 1), axis=0, return_counts=True)[1]
     assert counts.max(initial=0) < token_shards.LEAST_COUNT and len(left) < 1000
+
+
+def test_pieces_that_hold_the_mark_and_whole_texts_without_pieces(library):
+    mark = token_shards.MARK
+    every = [f"a{mark}b", mark, f"{mark} {mark}", "", "plain words", f"x {mark}", *(f"w{k}, W{k}!" for k in range(200))]
+    want = [library.encode(x, add_special_tokens=False).ids for x in every]
+    coder = token_shards.LibraryCoder(bpe.vocabulary_path(bpe.VOCABULARY))
+    assert coder.pieces is not None and coder.mark is not None
+    for pieces in (coder.pieces, None):
+        coder.pieces = pieces
+        lengths, ids = coder.encode_texts(pa.array(every))
+        assert [x.tolist() for x in np.split(ids, np.cumsum(lengths)[:-1])] == want
+
+
+def test_texts_are_only_cut_for_tokenizers_that_part_at_spaces():
+    assert token_shards.parts_at_spaces({"normalizer": None, "pre_tokenizer": {"type": "Metaspace"}, "added_tokens": []}) is False

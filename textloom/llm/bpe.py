@@ -18,6 +18,7 @@ import json
 import unicodedata
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -198,14 +199,17 @@ class ChunkCoder:
         """The numbers of distinct chunks; those not seen are encoded."""
         if len(self.number) > self.most:
             self.clear()
-        new = [c for c in chunks if c not in self.number]
-        if new:
+        found = np.fromiter(map(self.number.get, chunks, repeat(-1)), np.int64, len(chunks))
+        at = np.flatnonzero(found < 0)
+        if len(at):
             base = len(self.number)
+            new = [chunks[i] for i in at.tolist()]
             self.number.update(zip(new, range(base, base + len(new)), strict=True))
             lengths, ids = self.encode(new)
             self.lengths, self.ids = np.concatenate([self.lengths, lengths]), np.concatenate([self.ids, ids])
             self.starts = np.cumsum(self.lengths) - self.lengths
-        return np.fromiter(map(self.number.__getitem__, chunks), np.int64, len(chunks))
+            found[at] = np.arange(base, base + len(new))
+        return found
 
     def encode_texts(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """The number of ids of each text, and all ids."""

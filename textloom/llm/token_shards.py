@@ -36,12 +36,14 @@ from .common import Workspace, ship, text_or_empty
 SHARD_TOKENS = 1_000_000
 #: Pieces of text that a worker remembers, texts or pieces encoded in one call of the library, and bytes worked on together.
 CACHE_CHUNKS, CALL_TEXTS, SLICE_BYTES = 1_000_000, 1000, 8_000_000
+#: The word behind each piece where several are one text of the library, and how many are.
+MARK, JOINED = "\x01", 32
 #: Fixed value: a pattern of words that matches no white space.
 WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 #: The id appended to each document.
 END_ID = 2
-#: Pairs replaced in a round, and how often a pair must occur.
-ROUND_RULES, LEAST_COUNT = 4000, 16
+#: How often a pair must occur to be frequent: a rule takes 12 bytes, a symbol two, so rarer pairs would gain little or lose.
+LEAST_COUNT = 16
 #: Rows of the parts' offsets that are broadcast; more are joined by shuffling.
 MOST_BROADCAST = 50_000
 MAGIC, VERSION = b"TLRP", 1
@@ -53,8 +55,8 @@ DOCUMENT = "doc_id long, start long, n_tokens long, ids_crc32 long"
 def compress(ids: np.ndarray, first: int, barrier: int) -> tuple[np.ndarray, np.ndarray]:
     """Rules (rows of two symbols; rule k is the symbol first + k) and the symbols that are left of ids.
 
-    Each round replaces the most frequent pairs, all those of one round by what they counted before it; where two of
-    them overlap the more frequent one goes first. Pairs with the symbol barrier stay. A pair only becomes more frequent
+    Each round replaces all pairs that are frequent by what they counted before it; where two of them overlap the more
+    frequent one goes first. Pairs with the symbol barrier stay. A pair only becomes more frequent
     by a new symbol in it, so after the first round only places beside new symbols, and those of frequent pairs that are
     left, are looked at.
     """
@@ -88,7 +90,7 @@ def compress(ids: np.ndarray, first: int, barrier: int) -> tuple[np.ndarray, np.
         close = np.diff(at) == 1
         before = np.append(none, np.where(close, rank[:-1], none))
         after = np.append(np.where(close, rank[1:], none), none)
-        pick = (rank < ROUND_RULES) & (rank <= before) & (rank <= after)
+        pick = (rank <= before) & (rank <= after)
         twin = pick & np.append(False, pick[:-1]) & (rank == before)
         if twin.any():
             where = np.flatnonzero(pick)
@@ -110,10 +112,10 @@ def compress(ids: np.ndarray, first: int, barrier: int) -> tuple[np.ndarray, np.
         new[where] = True
         rest = at[~pick]
         rest = rest[~new[rest] & ~new[rest + 1] & keep[rest]]
-        seq, gone = seq[keep], np.cumsum(~keep)
+        seq = seq[keep]
         beside = np.zeros(len(seq) + 1, bool)
         place = where - np.arange(len(where))
-        beside[place] = beside[place - 1] = beside[rest - gone[rest]] = True
+        beside[place] = beside[place - 1] = beside[rest - np.searchsorted(where, rest)] = True
         at = np.flatnonzero(beside[: len(seq) - 1]).astype(np.uint64)
     return np.concatenate(rules) if rules else np.zeros((0, 2), np.uint32), seq
 
@@ -210,6 +212,8 @@ class LibraryCoder:
     Where the tokenizer drops white space between words and neither it nor the normaliser looks across it, a text's ids
     are those of its pieces between spaces and line feeds, one after the other: each distinct piece is encoded once and
     remembered. For other tokenizers the library gets the whole texts.
+
+    Many short pieces are one text for the library, each with MARK behind it, a word that is one id of its own.
     """
 
     def __init__(self, path: str) -> None:
@@ -219,7 +223,9 @@ class LibraryCoder:
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
         with open(path, encoding="utf-8") as f:
-            self.pieces = ChunkCoder(self._encode, CACHE_CHUNKS) if parts_at_spaces(json.load(f)) else None
+            self.pieces = ChunkCoder(self._encode_pieces, CACHE_CHUNKS) if parts_at_spaces(json.load(f)) else None
+        mark = self._encode([f" {MARK} "])[1]
+        self.mark = int(mark[0]) if len(mark) == 1 else None
 
     def _encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         lengths, parts = np.zeros(len(texts), np.int64), [np.zeros(0, np.int32)]
@@ -229,6 +235,23 @@ class LibraryCoder:
             parts.append(np.fromiter(chain.from_iterable(found), np.int32, int(lengths[a : a + len(found)].sum())))
         return lengths, np.concatenate(parts)
 
+    def _encode_pieces(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        held = [i for i, x in enumerate(pieces) if MARK in x]
+        if held or self.mark is None:  # texts that hold the mark themselves, one by one
+            if self.mark is None or len(held) == len(pieces):
+                return self._encode(pieces)
+            rest = np.setdiff1d(np.arange(len(pieces)), held)
+            parts: list[np.ndarray] = [np.zeros(0, np.int32)] * len(pieces)
+            for at, (lengths, ids) in ((rest, self._encode_pieces([pieces[i] for i in rest.tolist()])), (held, self._encode([pieces[i] for i in held]))):
+                for i, x in zip(at, np.split(ids, np.cumsum(lengths)[:-1]), strict=True):
+                    parts[i] = x
+            return np.fromiter(map(len, parts), np.int64, len(parts)), np.concatenate(parts)
+        ids = self._encode([f" {MARK} ".join([*pieces[a : a + JOINED], ""]) for a in range(0, len(pieces), JOINED)])[1]
+        ends = np.flatnonzero(ids == self.mark)
+        if len(ends) != len(pieces):
+            return self._encode(pieces)
+        return np.diff(np.append(-1, ends)) - 1, ids[ids != self.mark]
+
     def encode_texts(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """The number of ids of each text, and all ids."""
         return self._encode(texts.to_pylist()) if self.pieces is None else self.pieces.encode_texts(texts)
@@ -270,30 +293,27 @@ def write_shards(docs: DataFrame, work: Workspace, name: str = VOCABULARY, table
         part, shard, inside = TaskContext.get().partitionId(), 0, 0
         coder, first = _coder(name)
         doc_ids: list[int | None] = []
-        sizes: list[np.ndarray] = []
-        parts: list[np.ndarray] = []
-        n = 0
-
-        def out() -> pa.RecordBatch:
-            ids = np.concatenate(parts)
-            row = [part, shard, len(doc_ids), len(ids), inside, Shard.write(ids, doc_ids, np.concatenate(sizes), first)]
+        sizes, ids = np.zeros(0, np.int64), np.zeros(0, np.uint32)
+
+        def out(docs: int) -> pa.RecordBatch:
+            """The shard of the first documents that are held."""
+            nonlocal doc_ids, sizes, ids, shard, inside
+            n = int(sizes[:docs].sum())
+            row = [part, shard, docs, n, inside, Shard.write(ids[:n], doc_ids[:docs], sizes[:docs], first)]
+            doc_ids, sizes, ids, shard, inside = doc_ids[docs:], sizes[docs:], ids[n:], shard + 1, inside + n
             kinds = [pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
             return pa.RecordBatch.from_arrays([pa.array([x], k) for x, k in zip(row, kinds, strict=True)], ["part", "shard", "n_docs", "n_tokens", "inside", "payload"])
 
         for batch in slices(batches, "text", SLICE_BYTES):
-            lengths, ids = coder.encode_texts(batch.column("text"))
-            starts = np.cumsum(lengths) - lengths
-            ended = np.full(len(ids) + len(lengths), END_ID, np.uint32)
-            ended[ragged(starts + np.arange(len(lengths)), lengths)] = ids
+            lengths, found = coder.encode_texts(batch.column("text"))
+            ended = np.full(len(found) + len(lengths), END_ID, np.uint32)
+            ended[ragged(np.cumsum(lengths) - lengths + np.arange(len(lengths)), lengths)] = found
             doc_ids += batch.column("doc_id").to_pylist()
-            sizes.append(lengths + 1)
-            parts.append(ended)
-            n += len(ended)
-            if n >= SHARD_TOKENS:
-                yield out()
-                doc_ids, sizes, parts, n, shard, inside = [], [], [], 0, shard + 1, inside + n
-        if parts:
-            yield out()
+            sizes, ids = np.append(sizes, lengths + 1), np.append(ids, ended)
+            while len(ids) >= SHARD_TOKENS:
+                yield out(1 + int(np.searchsorted(np.cumsum(sizes), SHARD_TOKENS)))
+        if len(sizes):
+            yield out(len(sizes))
 
     return work.save(ordered.mapInArrow(run, SHARD), table)
 
