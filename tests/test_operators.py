@@ -14,6 +14,7 @@ from textloom.operators import lexicon as L
 from textloom.operators import morphology as M
 from textloom.operators import sequence as Q
 from textloom.operators import stats as S
+from textloom.operators import tagger as G
 from textloom.operators import tokens as T
 from textloom.plans.pipeline import Engine, Options, evaluate
 from textloom.sources import readers as R
@@ -200,21 +201,23 @@ def test_query_scans_long_verses(spark, tmp_path):
 
 def test_viterbi_against_all_paths():
     rng = random.Random(4)
-    priors = {"a": 0.5, "b": 0.3, "c": 0.2}
-    lexicon = {f"w{i}": {t: rng.random() for t in "abc"} for i in range(4)}
-    trees = {t: ((1, "a"), rng.random(), ((2, "b"), rng.random(), rng.random(), 0.5), 0.5) for t in "abc"}
-    tagger = Q.Tagger(lexicon, {}, priors, trees, beam=1e-30, sentence_start=False)
-    for _ in range(20):
-        words = [f"w{rng.randrange(4)}" for _ in range(4)]
+    tags = ["N.sg", "N.pl", "V"]
+    priors = {"N.sg": 0.5, "N.pl": 0.2, "V": 0.2, G.BOUNDARY: 0.1}
+    trees = {(f, k): [1, "N", rng.random(), [2, "V", rng.random(), rng.random()]] for f, k in [("N", 0), ("V", 0), (G.BOUNDARY, 0), ("N.sg(0)", 1), ("N.pl(0)", 1)]}
+    for normalise in (False, True):
+        search = G.Search(priors, trees, 2, beam=1e-30, normalise=normalise)
+        for _ in range(20):
+            words = [[(t, rng.random()) for t in tags] for _ in range(4)]
 
-        def weight(path, words=words):
-            state, p = ("BOUNDARY", "BOUNDARY"), 1.0
-            for w, t in zip(words, path, strict=True):
-                p *= lexicon[w][t] / priors[t] * tagger.transition(t, state) / sum(tagger.transition(x, state) for x in "abc")
-                state = (state[1], t)
-            return p
+            def weight(path, words=words, search=search):
+                state, p = (G.BOUNDARY, G.BOUNDARY), 1.0
+                for options, t in zip([*words, [(G.BOUNDARY, 1.0)]], [*path, G.BOUNDARY], strict=True):
+                    p *= dict(options)[t] / priors[t] * search.transition(t, state)
+                    state = (t, state[0])
+                return p
 
-        assert weight(tagger.tag(words)) == pytest.approx(max(map(weight, itertools.product("abc", repeat=4))))
+            assert weight(search.tags(words)) == pytest.approx(max(map(weight, itertools.product(tags, repeat=4))))
+    assert search.tags([]) == []
 
 
 def test_query_tagger_learns_from_all_turns_and_long_endings(spark, tmp_path, monkeypatch):
@@ -223,21 +226,71 @@ def test_query_tagger_learns_from_all_turns_and_long_endings(spark, tmp_path, mo
     turns = [(1, 0, "user", "tame dog"), (1, 1, "user", "abcdefghij dog")]
     spark.createDataFrame(turns, "conv_id long, turn long, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
     made = []
-    tagger = Q.Tagger
-    monkeypatch.setattr(Q, "Tagger", lambda *args: made.append(args) or tagger(*args))
+    fit = G.fit
+    monkeypatch.setattr(G, "fit", lambda *args: made.append(fit(*args)) or made[0])
     assert registry.queries()["q09_viterbi"](spark, str(tmp_path)).count() == 4
-    lexicon, ends = made[0][:2]
-    assert set(lexicon) == {"tame", "abcdefghij", "dog"}
+    ends = {r["suffix"] for r in made[0].guesser.collect()}
+    assert {r["word"] for r in made[0].lexicon.collect()} == {"tame", "abcdefghij", "dog"}
     assert "defghij" in ends and max(map(len, ends)) == 7
 
 
-def test_trees_tell_contexts_apart(spark):
-    assert Q.grow_tree([(("x", "a"), 100, 0), (("x", "b"), 0, 100)], 1.0)[0][0] == 1
-    rows = [(k, i, t) for k in range(20) for i, t in enumerate("abab")]
-    grams = S.context_grams(spark.createDataFrame(rows, "key long, pos long, tag string"))
-    trees = {r["tag"]: Q.load_tree(r["tree"]) for r in Q.train_trees(grams, threshold=1.0).collect()}
-    tagger = Q.Tagger({}, {}, {"a": 0.5, "b": 0.5}, trees)
-    assert tagger.transition("b", ("BOUNDARY", "a")) > 0.9 > 0.1 > tagger.transition("a", ("b", "a"))
+def tagged_corpus(spark):
+    rng = random.Random(21)
+    rows = []
+    for k in range(60):
+        tags = ["DT.sg" if rng.random() < 0.5 else "DT.pl"]
+        for _ in range(rng.randrange(1, 4)):
+            tags += [f"N.{tags[-1][-2:]}" if tags[-1] != "V" else "N.sg", "V"]
+        rows += [(k, i, t.lower().replace(".", "") + str(rng.randrange(2)), t) for i, t in enumerate(tags)]
+    return rows, spark.createDataFrame(rows, "key long, pos long, word string, tag string")
+
+
+def test_trees_against_counts_and_alike_by_passes_over_the_table(spark, monkeypatch):
+    rows, tagged = tagged_corpus(spark)
+    items = G.context_items(tagged, 2)
+    features = G.FeatureMap([r[3] for r in rows], 2)
+    trees = G.grow_forest(items, features, 2.0)
+    search = G.Search({}, trees, 2)
+    # The number of a noun follows that of its determiner; a verb comes after every noun.
+    assert search.transition("N.sg", ("DT.sg", G.BOUNDARY)) > 0.9 > 0.1 > search.transition("N.pl", ("DT.sg", G.BOUNDARY))
+    assert search.transition("V", ("N.sg", "DT.sg")) > 0.9 > 0.1 > search.transition("V", ("DT.sg", G.BOUNDARY))
+    # The first question has the greatest gain of all that may be asked.
+    table = [tuple(r) for r in items.collect()]
+    total = [sum(n for t, *_, n in table if (t == "V") == y) for y in (True, False)]
+    gains = {}
+    for f in features.names:
+        inside = [sum(n for t, one, _, n in table if f in G.features_of(one) and (t == "V") == y) for y in (True, False)]
+        gains[f] = G._entropy(*total) - G._entropy(*inside) - G._entropy(total[0] - inside[0], total[1] - inside[1])
+    assert trees[("V", 0)][0] == 1 and gains[trees[("V", 0)][1]] == pytest.approx(max(gains.values()))
+    monkeypatch.setattr(G, "MOST_LOCAL", 3)
+    assert G.grow_forest(items, features, 2.0) == trees
+
+
+def test_features_of_a_category_must_agree():
+    with pytest.raises(ValueError):
+        G.FeatureMap(["N.sg", "N"], 2)
+
+
+def test_model_round_trip_and_unknown_words(spark, tmp_path):
+    rows, tagged = tagged_corpus(spark)
+    model = G.fit(tagged, context=2, threshold=2.0)
+    model.save(str(tmp_path))
+    model = G.Model.load(spark, str(tmp_path))
+    tokens = spark.createDataFrame([(1, 0, "Dtsg0"), (1, 1, "xnsg0"), (1, 2, "v0"), (2, 0, "("), (2, 1, "dtpl1"), (2, 2, "some-npl1")], "key long, pos long, word string")
+    got = {(r["key"], r["pos"]): r["tag"] for r in G.tag_tokens(tokens, model).collect()}
+    assert len(got) == 6 and [got[(1, k)] for k in range(3)] == ["DT.sg", "N.sg", "V"] and (got[(2, 1)], got[(2, 2)]) == ("DT.pl", "N.pl")
+    started = {r["pos"]: r["starts"] for r in G.sentence_starts(tokens).where("key = 2").collect()}
+    assert started == {0: True, 1: True, 2: False}
+
+
+def test_merged_distributions_weigh_by_frequency(spark):
+    schema = f"word string, freq long, tags {G.TAGS}"
+    lexicon = spark.createDataFrame([("Mark", 3, [("NE", 1.0)]), ("mark", 1, [("N", 0.5), ("V", 0.5)])], schema)
+    guesser = spark.createDataFrame([("", [("X", 1.0)])], f"suffix string, tags {G.TAGS}")
+    model = G.Model(lexicon, guesser, spark.createDataFrame([("X", 1.0)], "tag string, prob double"), None, 2)
+    words = spark.createDataFrame([("Mark", True), ("Mark", False), ("zzz", True), ("Zzz", True)], "word string, starts boolean")
+    got = {(r["word"], r["starts"]): [tuple(x) for x in r["tags"]] for r in G.emissions(words, model).collect()}
+    assert got == {("Mark", True): [("N", 0.125), ("NE", 0.75), ("V", 0.125)], ("Mark", False): [("NE", 1.0)], ("zzz", True): [("X", 1.0)], ("Zzz", True): [("X", 1.0)]}
 
 
 def test_morphology(spark):

@@ -41,9 +41,11 @@ def ending_counts(tagged: DataFrame) -> DataFrame:
     return marked.join(twin, ["tag", "plain"], "left").where(F.col("n") > F.coalesce("twin", F.lit(1))).select("tag", "ending", "n")
 
 
-def tag_priors(tagged: DataFrame) -> DataFrame:
-    """The share of each tag, each counted once more than it occurs."""
+def tag_priors(tagged: DataFrame, sentences: int = 0) -> DataFrame:
+    """The share of each tag, each counted once more than it occurs; the boundary occurs once in each sentence."""
     counted = tagged.groupBy("tag").agg((F.count(F.lit(1)) + 1).alias("n"))
+    if sentences:
+        counted = counted.unionByName(tagged.sparkSession.createDataFrame([("BOUNDARY", sentences + 1)], "tag string, n long"))
     return counted.select("tag", "n", (F.col("n") / F.sum("n").over(Window.partitionBy())).alias("prob"))
 
 
@@ -98,7 +100,7 @@ def suffix_probabilities(sums: DataFrame, depth: int = 7) -> DataFrame:
     level = rows.where("suffix = ''").select("suffix", "tag", (F.col("freq") / F.col("total")).alias("prob"))
     out = level
     for n in range(1, depth + 1):
-        own = rows.where(F.length("suffix") == n).withColumn("parent", F.substring("suffix", 2, 99))
+        own = rows.where(F.length("suffix") == n).withColumn("parent", F.substr("suffix", F.lit(2), F.length("suffix")))
         up = level.select(F.col("suffix").alias("parent"), "tag", F.col("prob").alias("p"))
         level = own.join(up, ["parent", "tag"]).select("suffix", "tag", ((F.col("freq") + F.col("kinds") * F.col("p")) / (F.col("total") + F.col("kinds"))).alias("prob"))
         out = out.unionByName(level)
@@ -110,7 +112,7 @@ def suffix_gains(sums: DataFrame) -> DataFrame:
     node = Window.partitionBy("suffix")
     rows = sums.where("freq > 0").withColumn("total", F.sum("freq").over(node)).withColumn("p", F.col("freq") / F.col("total"))
     up = rows.select(F.col("suffix").alias("parent"), "tag", F.col("p").alias("q"))
-    joined = rows.where("suffix <> ''").withColumn("parent", F.substring("suffix", 2, 99)).join(up, ["parent", "tag"])
+    joined = rows.where("suffix <> ''").withColumn("parent", F.substr("suffix", F.lit(2), F.length("suffix"))).join(up, ["parent", "tag"])
     return joined.groupBy("suffix").agg(F.sum(F.col("freq") * F.ln(F.col("p") / F.col("q"))).alias("gain"), F.max("total").alias("freq"))
 
 

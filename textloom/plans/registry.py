@@ -12,6 +12,7 @@ from textloom.operators import lexicon as L
 from textloom.operators import morphology as M
 from textloom.operators import sequence as Q
 from textloom.operators import stats as S
+from textloom.operators import tagger as G
 from textloom.operators import tokens as T
 from textloom.sources import readers as R
 from textloom.sources import sinks as K
@@ -63,10 +64,6 @@ def forms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return L.word_forms(tokens(spark, sf_dir))
 
 
-def long(c: str, name: str | None = None):
-    return F.col(c).cast("long").alias(name or c)
-
-
 # Tokens
 
 
@@ -369,7 +366,7 @@ def tagged_words(spark, d):
 
 
 TAGGED = rf"{CTOK}, tagged AS MATERIALIZED (SELECT conv_id * 1000 + turn AS key, idx AS pos, lower(text) AS word, right(lower(text), 1) || length(text) % 2 AS tag FROM ctok WHERE regexp_matches(text, '{WORD}'))"
-PRIORS = "priors AS MATERIALIZED (SELECT tag, count(*) + 1 AS n, (count(*) + 1) / sum(count(*) + 1) OVER () AS prob FROM tagged GROUP BY tag)"
+PRIORS = "priors AS MATERIALIZED (SELECT tag, n, n / sum(n) OVER () AS prob FROM (SELECT tag, count(*) + 1 AS n FROM tagged GROUP BY tag UNION ALL SELECT 'BOUNDARY', count(DISTINCT key) + 1 FROM tagged))"
 COUNTS = """counts AS MATERIALIZED (SELECT word, tag, sum(n)::BIGINT AS n FROM (SELECT word, tag, 1 AS n FROM tagged UNION ALL SELECT DISTINCT word, left(tag, 1) || '9', 0 FROM tagged WHERE length(word) > 6) GROUP BY ALL)"""
 PROBS = """probs AS MATERIALIZED (SELECT word, tag, n, CASE WHEN total = 0 THEN CASE WHEN mass > 0 THEN prior / mass ELSE 1 / listed END
   WHEN seen < listed THEN (n + seen * CASE WHEN mass > 0 THEN prior / mass ELSE 1 / listed END) / (total + seen) ELSE n / total END AS prob
@@ -379,7 +376,8 @@ SUMS = f"sums AS MATERIALIZED (SELECT suffix, tag, sum(prob) AS freq FROM (SELEC
 
 
 def priors(spark, d):
-    return S.tag_priors(tagged_words(spark, d))
+    tagged = tagged_words(spark, d)
+    return S.tag_priors(tagged, tagged.select("key").distinct().count())
 
 
 def word_counts(spark, d):
@@ -585,22 +583,9 @@ def q09_viterbi(spark, d):
 
 
 def viterbi(spark, d):
-    """Trains a tagger on all turns and tags all of them. The model is as large as the tag set and the vocabulary."""
+    """Trains a tagger on all turns and tags all of them. Only priors and trees, as large as the tag set, are collected."""
     tagged = tagged_words(spark, d)
-    prior = S.tag_priors(tagged)
-    probs = S.tag_probabilities(S.word_tags(tagged, tagged.limit(0)), prior)
-    lexicon: dict[str, dict[str, float]] = {}
-    for r in probs.where("prob > 0").collect():
-        lexicon.setdefault(r["word"], {})[r["tag"]] = r["prob"]
-    ends: dict[str, dict[str, float]] = {}
-    for r in S.suffix_probabilities(S.suffix_tag_sums(probs)).collect():
-        ends.setdefault(r["suffix"], {})[r["tag"]] = r["prob"]
-    trees = {r["tag"]: Q.load_tree(r["tree"]) for r in Q.train_trees(S.context_grams(tagged)).collect()}
-    tagger = Q.Tagger(lexicon, ends, {r["tag"]: r["prob"] for r in prior.collect()}, trees)
-    ordered = F.array_sort(F.collect_list(F.struct("pos", "word")))
-    sentences = tagged.groupBy("key").agg(F.transform(ordered, lambda s: s["word"]).alias("words"))
-    out = Q.tag_sentences(sentences, tagger)
-    return out.select("key", F.posexplode(F.arrays_zip("words", "tags")).alias("at", "x")).select("key", long("at"), "x.words", "x.tags")
+    return G.tag_tokens(tagged.select("key", "pos", "word"), G.fit(tagged))
 
 
 @query()
