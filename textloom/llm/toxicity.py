@@ -45,6 +45,8 @@ WEIGHTS, PREFIXES = 1 << 18, (4, 5, 6)
 LEAST_DOCS, LEAST_ODDS, LEAST_SURPRISE = 3, 12.0, 8.0
 LEAST_MASS = 0.2
 STEPS, RATE, DECAY = 60, 0.3, 1e-4
+#: Bytes of text scored together, and chunks that a worker remembers.
+SLICE_BYTES, CACHE_CHUNKS = 3_000_000, 200_000
 RESULT = "doc_id long, held_out boolean, score double, predicted int, span_starts array<int>, span_ends array<int>"
 
 _EDGE = regex.compile(r"^[^\p{L}\p{N}]+|[^\p{L}\p{N}]+$")
@@ -125,7 +127,7 @@ class Scorer:
     def __init__(self, model: Model) -> None:
         self.model = model
         # A chunk's "ids" are its emission, whether it is a word and whether it ends a sentence.
-        self.chunks = ChunkCoder(self._of)
+        self.chunks = ChunkCoder(self._of, CACHE_CHUNKS)
 
     def _of(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
         words = [word_of(c) for c in chunks]
@@ -331,7 +333,7 @@ def score(docs: DataFrame, model: Model | None) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(model) if model else None
-        for batch in slices(batches):
+        for batch in slices(batches, "text", SLICE_BYTES):
             texts = batch.column("text")
             if scorer:
                 mass, top, offsets, _, p = scorer.run(texts)
@@ -354,7 +356,7 @@ def without_toxic(docs: DataFrame, model: Model | None) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(model)
-        for batch in slices(batches, "_tl_text"):
+        for batch in slices(batches, "_tl_text", SLICE_BYTES):
             mass, top = scorer.run(batch.column("_tl_text"))[:2]
             clean = batch.filter(pa.array(scorer.model.score(mass, top) < 0.5))
             yield pa.RecordBatch.from_arrays([clean.column(i) for i in range(len(names))], names)
