@@ -310,3 +310,34 @@ def fallback_tag(x: Column) -> Column:
     for ending, tag in reversed(rules):
         out = F.when(F.lower(x).endswith(ending), tag).otherwise(out)
     return out
+
+
+def breves_and_longs(x: Column) -> Column:
+    """F16: a long mark behind a vowel and a short one before it, as letters; y has neither."""
+    # The vowels with a breve, in the order of PLAIN without y.
+    plain, short = "aeiouAEIOU", "ăĕĭŏŭĂĔĬŎŬ"
+    longs = [(p + "_", q) for p, q in zip(PLAIN, LONG, strict=True) if p not in "yY"]
+    return _replaced(x, [*(("^" + p, q) for p, q in zip(plain, short, strict=True)), *longs])
+
+
+def simplify_tag(x: Column) -> Column:
+    """A tag with fewer distinctions: prepositions and conjunctions without attributes, both auxiliaries as one, no
+    empty attributes."""
+    x = F.regexp_replace(x, r"^(APPR|CONJ\.Coord)\..*", "$1")
+    x = F.regexp_replace(x, r"\.(Haben|Sein)\.", ".Aux.")
+    return F.replace(x, F.lit(".-"), F.lit(""))
+
+
+def without_prefix(x: Column, prefix: str = "DEBUG") -> Column:
+    """A text without a command before it and the white space behind that."""
+    return F.when(x.startswith(prefix), F.regexp_replace(F.substr(x, F.lit(len(prefix) + 1), F.length(x)), f"^[{SPACE}]+", "")).otherwise(x)
+
+
+# Names of the part-of-speech codes.
+CODE_NAMES = {"N": "noun", "V": "verb", "A": "adjective", "P": "pronoun", "ADV": "adverb", "PREP": "preposition", "CONJ": "conjunction", "INTERJ": "interjection", "NUM": "numeral", "PART": "particle", "X": "unknown"}
+
+
+def code_name(x: Column) -> Column:
+    """the name of a part-of-speech code; other codes in lower case."""
+    names = F.create_map(*[F.lit(v) for kv in CODE_NAMES.items() for v in kv])
+    return F.coalesce(F.element_at(names, x), F.lower(x))

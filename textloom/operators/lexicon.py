@@ -139,3 +139,65 @@ def multiword_units(tokens: DataFrame, units: DataFrame, longest: int = 3) -> Da
         lambda s: s["out"],
     )
     return ordered.select("doc_id", F.explode(chosen).alias("x")).select("doc_id", "x.pos", "x.unit")
+
+
+def lookup_lemma(tagged: DataFrame, table: DataFrame) -> DataFrame:
+    """Word, tag and lemma: that of the table (word, tag, lemma), else the word."""
+    return tagged.join(table, ["word", "tag"], "left").select(*tagged.columns, F.coalesce("lemma", "word").alias("lemma"))
+
+
+def lemmatise(tagged: DataFrame, table: DataFrame, unknown: str | None = "<unknown>") -> DataFrame:
+    """The lemma of each distinct (word, tag) by the first way that finds one: the word; its lower case; its tail behind
+    a hyphen; a sign for numbers; the word under shorter tags (listed with three periods); its longest ending, beginning
+    small or with a capital. Else `unknown`, or the word itself if that is null.
+
+    Every way is a row with a rank, so the cascade is one join.
+    """
+    pairs = tagged.select("word", "tag").distinct()
+    none = F.lit(None).cast("string")
+    way = lambda rank, word, tag, before, small=False: F.struct(F.lit(rank).alias("rank"), F.lit(0).alias("nth"), word.alias("w"), tag.alias("t"), before.alias("before"), F.lit(small).alias("small"))
+    word, tag, blank = F.col("word"), F.col("tag"), F.lit("")
+    tail = F.regexp_extract("word", r"^(?s)(.*)-(.+)$", 2)
+    head = F.regexp_extract("word", r"^(?s)(.*-)(.+)$", 1)
+    parts = F.split("tag", r"\.")
+    shorter = F.when(F.size(parts) > 1, F.sequence(F.size(parts) - 1, F.lit(1))).otherwise(F.array().cast("array<int>"))
+    general = F.transform(shorter, lambda k: F.struct(F.lit(5).alias("rank"), (F.size(parts) - k).alias("nth"), word.alias("w"), F.concat(F.array_join(F.slice(parts, F.lit(1), k), "."), F.lit("...")).alias("t"), blank.alias("before"), F.lit(False).alias("small")))
+    cuts = F.when(F.length("word") > 5, F.sequence(F.lit(1), F.length("word") - 5)).otherwise(F.array().cast("array<int>"))
+    rest = lambda i: F.substr(word, i + 1, F.length("word"))
+    cut = lambda i, k, w, small: F.struct(F.lit(6).alias("rank"), (i * 2 + k).alias("nth"), w.alias("w"), tag.alias("t"), F.substr(word, F.lit(1), i).alias("before"), F.lit(small).alias("small"))
+    endings = F.flatten(F.transform(cuts, lambda i: F.array(cut(i, 0, rest(i), False), cut(i, 1, F.concat(F.upper(F.substr(word, i + 1, F.lit(1))), F.substr(word, i + 2, F.length("word"))), True))))
+    first = F.array(way(1, word, tag, blank), way(2, F.lower("word"), tag, blank), way(3, F.when(tail != "", tail), tag, head))
+    each = pairs.select("word", "tag", F.explode(F.concat(first, general, endings)).alias("x")).select("word", "tag", "x.*").where("w IS NOT NULL")
+    known = table.select(F.col("word").alias("w"), F.col("tag").alias("t"), "lemma")
+    found = each.join(known, ["w", "t"]).withColumn("lemma", F.concat("before", F.when(F.col("small"), F.lower("lemma")).otherwise(F.col("lemma"))))
+    best = found.groupBy("word", "tag").agg(F.min(F.struct("rank", "nth", "lemma")).alias("b"))
+    sign = F.when(tag == "CARD", "<card>").when(word.rlike("^[0-9.,]+$") & tag.rlike(r"^ADJA\.Pos"), "<ord>")
+    last = word if unknown is None else F.lit(unknown)
+    joined = pairs.join(best, ["word", "tag"], "left")
+    early = F.when(F.col("b.rank") <= 3, F.col("b.lemma"))
+    return joined.select("word", "tag", F.coalesce(early, sign, F.col("b.lemma"), last, none).alias("lemma"))
+
+
+def oracle_accuracy(tokens: DataFrame, lexicon: DataFrame, marked: str = "marked") -> DataFrame:
+    """How the marked words of tokens (text, marked) agree with a lexicon's forms: words, unknown, correct, and correct
+    and wrong ones of forms with one and with several readings."""
+    form = W.comparable_word(W.comparable_accent(F.col("accented")))
+    per_form = lexicon.where("accented IS NOT NULL").groupBy(F.col("wordform").alias("_form")).agg(F.collect_set(form).alias("_forms"))
+    words = tokens.where(W.is_word(F.col("text"))).groupBy(F.lower("text").alias("_low"), F.col(marked).alias("_marked")).agg(F.count(F.lit(1)).alias("n"))
+    joined = words.join(per_form, F.col("_low") == F.col("_form"), "left")
+    right, one = F.array_contains("_forms", W.comparable_word(F.col("_marked"))), F.size("_forms") == 1
+    total = lambda cond, name: F.coalesce(F.sum(F.when(cond, F.col("n"))), F.lit(0)).alias(name)
+    known = F.col("_forms").isNotNull()
+    return joined.agg(total(F.lit(True), "words"), total(~known, "unknown"), total(right, "correct"), total(right & one, "unique_correct"), total(right & ~one, "ambiguous_correct"), total(known & ~right & one, "unique_wrong"), total(known & ~right & ~one, "ambiguous_wrong"))
+
+
+def ordered_endings(endings: DataFrame) -> DataFrame:
+    """The endings of each tag, the longest first, then by text."""
+    row = F.struct((-F.length("ending")).alias("n"), "ending")
+    return endings.groupBy("tag").agg(F.transform(F.array_sort(F.collect_set(row)), lambda x: x["ending"]).alias("endings"))
+
+
+def ordered_lemmas(corpus: DataFrame) -> DataFrame:
+    """The lemmas of each form of a corpus (wordform, ord, lemma, freq), the most frequent first."""
+    row = F.struct((-F.col("freq")).alias("f"), "ord", "lemma", "freq")
+    return corpus.groupBy("wordform").agg(F.transform(F.array_sort(F.collect_list(row)), lambda x: F.struct(x["lemma"].alias("lemma"), x["freq"].alias("freq"))).alias("lemmas"))

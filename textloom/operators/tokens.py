@@ -65,7 +65,7 @@ def tokenise_ascii(docs: DataFrame) -> DataFrame:
 
 
 def words_only(text: Column) -> Column:
-    """The words between white space, punctuation and symbols."""
+    """The words between white space, punctuation and symbols of a composed text (see readers.normalise)."""
     return F.filter(F.split(text, rf"[{W.SPACE}\p{{P}}\p{{S}}]+"), lambda x: x != "")
 
 

@@ -63,7 +63,7 @@ def lexicon_rows(rows: DataFrame, strict: bool = False) -> DataFrame:
 
 def read_lexicon(spark: SparkSession, path: str, strict: bool = False) -> DataFrame:
     """S05-S07."""
-    return lexicon_rows(lines(spark, path), strict)
+    return lexicon_rows(lines(spark, required(spark, path)), strict)
 
 
 def piped_rows(rows: DataFrame) -> DataFrame:
@@ -156,3 +156,21 @@ def transducer_edges(rows: DataFrame) -> DataFrame:
     edges = rows.select("path", "seq", p[0].cast("long").alias("state"), F.get(p, F.lit(1)).alias("symbol"), F.get(p, F.lit(2)).cast("long").alias("next"))
     before = F.lag("state").over(Window.partitionBy("path").orderBy("seq"))
     return edges.withColumn("ordered", F.coalesce(F.col("state") >= before, F.lit(True)))
+
+
+def with_supplement(corpus: DataFrame, supplement: DataFrame) -> DataFrame:
+    """A tagged corpus and a supplement, whose sentences keep their own file."""
+    return corpus.unionByName(supplement, allowMissingColumns=True)
+
+
+def open_classes(lines: DataFrame) -> DataFrame:
+    """The tags (tag) that unknown words may have, one on a line."""
+    return lines.where(F.trim("line") != "").select(F.trim("line").alias("tag")).distinct()
+
+
+def required(spark: SparkSession, path: str) -> str:
+    """The path, or an error that names it if nothing is there."""
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    if not target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(target):
+        raise FileNotFoundError(f"nothing to read at {path}")
+    return path
