@@ -123,14 +123,30 @@ def merge_distributions(a: DataFrame, b: DataFrame, wa: float, wb: float) -> Dat
     return both.select("word", "tag", ((F.coalesce("pa", F.lit(0.0)) * wa + F.coalesce("pb", F.lit(0.0)) * wb) / (wa + wb)).alias("prob"))
 
 
-def multiword_units(tokens: DataFrame, units: DataFrame, longest: int = 3) -> DataFrame:
+def multiword_units(tokens: DataFrame, units: DataFrame) -> DataFrame:
     """The longest units (unit: words joined by spaces) at each place of (doc_id, pos, word), from the left without
-    overlap. Matches come from one join over n-grams; the choice runs over a document's matches alone."""
+    overlap. A unit's words also match with a capital or all in capitals.
+
+    Matches come from joins over n-grams, one for each length that units have; the choice runs over a document's matches
+    alone.
+    """
     order = Window.partitionBy("doc_id").orderBy("pos")
-    grams = F.array(*[F.concat_ws(" ", "word", *[F.lead("word", k).over(order) for k in range(1, n)]) for n in range(1, longest + 1)])
-    each = tokens.select("doc_id", "pos", grams.alias("g")).select("doc_id", "pos", F.posexplode(F.array_distinct("g")).alias("k", "unit"))
-    found = each.join(units.select("unit").distinct(), "unit").groupBy("doc_id", "pos").agg(F.max(F.size(F.split("unit", " "))).alias("n"), F.max_by("unit", F.size(F.split("unit", " "))).alias("unit"))
-    ordered = found.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("pos", "n", "unit"))).alias("m"))
+    words = F.split("unit", " ")
+    table = units.select("unit", F.size(words).alias("n"), F.array_join(F.transform(words, lambda x: F.lower(x)), " ").alias("key")).distinct()
+    lengths = sorted(r["n"] for r in table.select("n").distinct().collect())  # as many rows as lengths of units
+    found = None
+    for n in lengths:
+        window = [F.col("word"), *[F.lead("word", k).over(order) for k in range(1, n)]]
+        rows = tokens.select("doc_id", "pos", F.array(*window).alias("w")).where(F.forall("w", lambda x: x.isNotNull()))
+        each = rows.select("doc_id", "pos", "w", F.array_join(F.transform("w", lambda x: F.lower(x)), " ").alias("key")).join(table.where(F.col("n") == n), "key")
+        wanted = F.split("unit", " ")
+        fits = F.forall(F.zip_with("w", wanted, lambda x, u: (x == u) | (x == F.concat(F.upper(F.substring(u, 1, 1)), F.substr(u, F.lit(2), F.length(u)))) | (x == F.upper(u))), lambda x: x)
+        met = each.where(fits).select("doc_id", "pos", "n", "unit")
+        found = met if found is None else found.unionByName(met)
+    if found is None:
+        return tokens.select("doc_id", "pos", F.lit("").alias("unit")).limit(0)
+    best = found.groupBy("doc_id", "pos").agg(F.max(F.struct("n", "unit")).alias("b")).select("doc_id", "pos", F.col("b.n").alias("n"), F.col("b.unit").alias("unit"))
+    ordered = best.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("pos", "n", "unit"))).alias("m"))
     empty = F.filter("m", lambda x: F.lit(False))
     chosen = F.aggregate(
         "m",

@@ -201,32 +201,55 @@ def display_lines(tokens: DataFrame, key: tuple[str, ...] = ("doc_id",)) -> Data
     return verse_ids(tokens, key).groupBy(*key, "verse_id").agg(F.array_join(F.transform(ordered, lambda s: s["text"]), "").alias("line"))
 
 
-# Abbreviations and clitics of the markup-preserving tokeniser, by language.
-PEEL_FRONT, PEEL_BACK = r"[\[¿¡{(\\\"'«„“`‘]", r"[\])}'\"»”’`,;:!?%]"
-FRONT_CLITICS = {"fr": r"(?i)^([dcjlmnstDCJLNMST]'|[Qq]u'|[Jj]usqu'|[Ll]orsqu')(.+)$", "it": r"(?i)^([dD][ae]ll'|[nN]ell'|[Aa]ll'|[lLDd]'|[Ss]ull'|[Qq]uest'|[Uu]n'|[Ss]enz'|[Tt]utt')(.+)$"}
-BACK_CLITICS = {"en": r"(?i)^(.+)('(?:s|re|ve|d|m|em|ll)|n't)$", "fr": r"(?i)^(.+)(-t-elles?|-t-ils?|-t-on|-ce|-elles?|-ils?|-je|-la|-les?|-leur|-lui|-mêmes?|-m'|-moi|-nous|-on|-toi|-tu|-t'|-vous|-en|-y|-ci|-là)$"}
+# Characters cut off before and behind a word, and clitics by language.
+PEEL_FRONT, PEEL_BACK = r"[\[{(`\"‚„†‡‹‘’“”•–—›]", r"[\]}'`\"),;:!?%‚„…†‡‰‹‘’“”•–—›]"
+FRONT_CLITICS = {"fr": "[dcjlmnstDCJLNMST]'|[Qq]u'|[Jj]usqu'|[Ll]orsqu'", "it": "[dD][ae]ll'|[nN]ell'|[Aa]ll'|[lLDd]'|[Ss]ull'|[Qq]uest'|[Uu]n'|[Ss]enz'|[Tt]utt'"}
+BACK_CLITICS = {"en": "'(?:s|re|ve|d|m|em|ll)|n't", "fr": "-t-elles?|-t-ils?|-t-on|-ce|-elles?|-ils?|-je|-la|-les?|-leur|-lui|-mêmes?|-m'|-moi|-nous|-on|-toi|-tu|-t'|-vous|-en|-y|-ci|-là"}
 
 
-def peel(chunk: Column) -> Column:
-    """One chunk between white space as its front marks, its core and its back marks; a final period parts from the
-    core unless it is an abbreviation (letters with periods) or a number."""
-    front = F.regexp_extract(chunk, rf"^({PEEL_FRONT}*)", 1)
-    rest = F.substr(chunk, F.length(front) + 1, F.length(chunk))
-
-    def without_back(x: Column) -> tuple[Column, Column]:
-        back = F.regexp_extract(x, rf"({PEEL_BACK}*)$", 1)
-        return F.substr(x, F.lit(1), F.length(x) - F.length(back)), back
+def _characters(x: Column) -> Column:
+    return F.filter(F.split(x, ""), lambda c: c != "")
 
-    core, outer = without_back(rest)
-    ends = core.endswith(".") & ~core.rlike(r"^(\p{L}\.)+$|^[\p{N}.]+\.$|^\.+$")
-    stem, inner = without_back(F.when(ends, F.substr(core, F.lit(1), F.length(core) - 1)).otherwise(core))
-    letters = lambda x: F.filter(F.split(x, ""), lambda c: c != "")
-    period = F.when(ends, F.array(F.lit("."))).otherwise(F.array().cast("array<string>"))
-    return F.filter(F.concat(letters(front), F.array(stem), letters(inner), period, letters(outer)), lambda x: x != "")
 
+def peel(chunk: Column, language: str | None = None, whole: tuple[str, ...] = ()) -> Column:
+    """One chunk between white space as the tokens it falls into.
 
-def tokenise_markup(pages: DataFrame, html: str = "html") -> DataFrame:
-    """P04 as rows: idx and text; tags and comments stay whole."""
-    parts = F.regexp_extract_all(html, F.lit(r"(?s)(<!--.*?-->|<[^>]*>|[^<\x09-\x0D\x20]+|<)"), F.lit(1))
-    peeled = F.flatten(F.transform(parts, lambda x: F.when(x.startswith("<"), F.array(x)).otherwise(peel(x))))
-    return pages.select("page_id", F.posexplode(peeled).alias("idx", "text")).withColumn("idx", F.col("idx").cast("long"))
+    Punctuation comes off at both ends, but never all of a chunk. Listed words (`whole`, such as abbreviations) and letters
+    with periods (U.S.) then stay; a last period parts from others that are no number; clitics come off last.
+    """
+    front = F.regexp_extract(chunk, rf"(?s)^({PEEL_FRONT}*)(.+)$", 1)
+    rest = F.substr(chunk, F.length(front) + 1, F.length(chunk))
+    # Behind a word: punctuation, each with a period behind it or not.
+    core = F.regexp_extract(rest, rf"(?s)^(.+?)((?:{PEEL_BACK}\.?)*)$", 1)
+    back = F.substr(rest, F.length(core) + 1, F.length(rest))
+    listed = core.isin(*whole) if whole else F.lit(False)
+    short = core.rlike(r"^([A-Za-z-]\.)+$")
+    part = ~listed & ~short & core.rlike(r"(?s)^.+\.$") & (core != "...") & ~core.rlike(r"^[0-9]+\.$")
+    stem = F.when(part, F.substr(core, F.lit(1), F.length(core) - 1)).otherwise(core)
+    stays = listed | short | (stem.isin(*whole) if whole else F.lit(False))
+    period = F.when(part, F.array(F.lit("."))).otherwise(F.array().cast("array<string>"))
+    before, middle, behind = F.array().cast("array<string>"), stem, F.array().cast("array<string>")
+    if language in FRONT_CLITICS:
+        taken = F.regexp_extract(stem, rf"(?s)^((?:{FRONT_CLITICS[language]})+)(?=.)", 1)
+        before = F.when(stays, before).otherwise(F.regexp_extract_all(taken, F.lit(f"({FRONT_CLITICS[language]})"), F.lit(1)))
+        middle = F.when(stays, stem).otherwise(F.substr(stem, F.length(taken) + 1, F.length(stem)))
+    if language in BACK_CLITICS:
+        left = F.regexp_extract(middle, rf"(?s)^(.+?)((?:{BACK_CLITICS[language]})*)$", 1)
+        cut = F.regexp_extract_all(F.substr(middle, F.length(left) + 1, F.length(middle)), F.lit(f"({BACK_CLITICS[language]})"), F.lit(1))
+        behind, middle = F.when(stays, behind).otherwise(cut), F.when(stays, middle).otherwise(left)
+    return F.filter(F.concat(_characters(front), before, F.array(middle), behind, period, _characters(back)), lambda x: x != "")
+
+
+def tokenise_markup(pages: DataFrame, html: str = "html", language: str | None = None, whole: tuple[str, ...] = (), key: str = "page_id") -> DataFrame:
+    """P04 as rows: idx and text; tags stay whole. Blanks that punctuation lacks are put in first."""
+    parts = F.regexp_extract_all(html, F.lit(r"(?s)(<[^<>]*>|[^<]+|<)"), F.lit(1))
+
+    def words(x: Column) -> Column:
+        spaced = F.replace(F.concat(F.lit(" "), x, F.lit(" ")), F.lit("..."), F.lit(" ... "))
+        spaced = F.regexp_replace(spaced, r"([;!?])(?=[^\x20\x09-\x0D])", "$1 ")
+        spaced = F.regexp_replace(spaced, r"([.,:])(?=[^\x20\x09-\x0D0-9.])", "$1 ")
+        chunks = F.filter(F.split(spaced, r"[\x20\x09-\x0D]+"), lambda c: c != "")
+        return F.flatten(F.transform(chunks, lambda c: peel(c, language, whole)))
+
+    peeled = F.flatten(F.transform(parts, lambda x: F.when(x.rlike("(?s)^<.*>$"), F.array(x)).otherwise(words(x))))
+    return pages.select(key, F.posexplode(peeled).alias("idx", "text")).withColumn("idx", F.col("idx").cast("long"))

@@ -34,6 +34,21 @@ FORMS = rf"forms AS MATERIALIZED (SELECT DISTINCT lower(translate(replace(replac
 ASCII = "translate(replace(replace(replace(replace({}, 'æ', 'ae'), 'Æ', 'Ae'), 'œ', 'oe'), 'Œ', 'Oe'), 'äëïöüÿ', 'aeiouu')"
 
 
+def _comparable(x: str) -> str:
+    """words.comparable_accent in SQL."""
+    x = f"regexp_replace({x}, '_?\\^', '', 'g')"
+    for p, q in zip(W.PLAIN, W.LONG, strict=True):
+        x = x if p in "yY" else f"replace({x}, '{p}_', '{q}')"
+    return x
+
+
+def _unicode_marks(x: str) -> str:
+    """words.marks_to_unicode in SQL."""
+    for a, b in [*((p + "_", q) for p, q in zip(W.PLAIN, W.LONG, strict=True)), *W.DIAERESIS.items()]:
+        x = f"replace({x}, '{a}', '{b}')"
+    return x
+
+
 def query(sql: str | None = None):
     def add(f: Query) -> Query:
         _QUERIES[f.__name__] = f
@@ -318,14 +333,23 @@ def k09_new_entries(spark, d):
     return K.new_entries(unknown.unionByName(lexicon).unionByName(lexicon), lexicon)
 
 
-@query()
+UNITS = ["of the", "of the and", "and the", "to", "in the", "de la", "que", "la vie", "a", "de"]
+
+
+@query(rf"""WITH RECURSIVE {CTOK}, unit(unit) AS (VALUES {", ".join(f"('{u}')" for u in UNITS)}),
+w AS (SELECT conv_id * 1000 + turn AS doc_id, row_number() OVER (PARTITION BY conv_id, turn ORDER BY idx) AS pos, text AS word FROM ctok WHERE regexp_matches(text, '{WORD}')),
+g AS (SELECT doc_id, pos, n, string_agg(word, ' ' ORDER BY place) AS gram FROM (SELECT a.doc_id, a.pos, n, b.pos AS place, b.word FROM w a CROSS JOIN (SELECT unnest([1, 2, 3]) AS n) ns JOIN w b ON b.doc_id = a.doc_id AND b.pos BETWEEN a.pos AND a.pos + n - 1) GROUP BY doc_id, pos, n HAVING count(*) = n),
+m AS (SELECT doc_id, pos, max((n, unit)) AS b FROM g JOIN unit ON lower(gram) = unit WHERE list_bool_and(list_transform(list_zip(string_split(gram, ' '), string_split(unit, ' ')), lambda z: z[1] = z[2] OR z[1] = upper(left(z[2], 1)) || substr(z[2], 2) OR z[1] = upper(z[2]))) GROUP BY doc_id, pos),
+e AS (SELECT doc_id, pos, b[1] AS n, b[2] AS unit FROM m),
+nxt AS (SELECT a.doc_id, a.pos, min(b.pos) AS next FROM e a JOIN e b ON a.doc_id = b.doc_id AND b.pos >= a.pos + a.n GROUP BY ALL),
+picked(doc_id, pos) AS (SELECT doc_id, min(pos) FROM e GROUP BY doc_id UNION ALL SELECT p.doc_id, next FROM picked p JOIN nxt ON p.doc_id = nxt.doc_id AND p.pos = nxt.pos)
+SELECT doc_id, pos, unit FROM picked JOIN e USING (doc_id, pos)""")
 def j22_multiword_units(spark, d):
-    words = conversation_tokens(spark, d).where(W.is_word(F.col("text"))).select((F.col("conv_id") * 1000 + F.col("turn")).alias("doc_id"), F.col("idx").alias("at"), F.lower("text").alias("word"))
     from pyspark.sql.window import Window
 
+    words = conversation_tokens(spark, d).where(W.is_word(F.col("text"))).select((F.col("conv_id") * 1000 + F.col("turn")).alias("doc_id"), F.col("idx").alias("at"), F.col("text").alias("word"))
     ordered = words.withColumn("pos", F.row_number().over(Window.partitionBy("doc_id").orderBy("at")).cast("long")).drop("at")
-    units = X.inline(spark, [("of the",), ("of the and",), ("and the",), ("to",), ("in the",)], "unit string")
-    return L.multiword_units(ordered, units)
+    return L.multiword_units(ordered, X.inline(spark, [(u,) for u in UNITS], "unit string"))
 
 
 # Statistics
@@ -553,10 +577,11 @@ def k19_dead_letters(spark, d):
 # Sequences
 
 
-@query()
+@query(f"WITH {LEXICON_SQL} SELECT seq, accented AS aligned FROM lexicon")
 def q01_align(spark, d):
-    lexicon = X.lexicon(spark, d)
-    return lexicon.select("seq", Q.align_column(F.col("wordform"), F.col("accented"), utov=True, itoj=True).alias("aligned"))
+    """Words written with u and i for v and j take both and their marks from the lexicon's forms."""
+    plain = F.translate("wordform", "vj", "ui")
+    return X.lexicon(spark, d).select("seq", Q.align_column(plain, F.col("accented"), utov=True, itoj=True).alias("aligned"))
 
 
 @query(rf"""WITH {LEXICON_SQL}, m AS (SELECT seq, string_split(regexp_replace(accented, '([ae])_', '\1_^', 'g'), '_^') AS p FROM lexicon),
@@ -588,7 +613,26 @@ def viterbi(spark, d):
     return G.tag_tokens(tagged.select("key", "pos", "word"), G.fit(tagged))
 
 
-@query()
+_DASHES = "'---------'"
+#: The whole flow in SQL. The tables have no ligatures, so a word and its form without marks are equally long, and marks
+#: go where they stand in the lexicon's form.
+RESTORE_SQL = f"""WITH {CLITIC.replace('FROM documents)', f"FROM (SELECT doc_id, translate(text, '{W.LONG}', '{W.PLAIN}') AS text FROM documents))")}, {ENDINGS_SQL},
+part AS (SELECT doc_id, idx, sub_idx, x[1] AS text, regexp_matches(x[1], '{WORD}') AS word FROM split),
+form AS (SELECT DISTINCT text AS form, lower({ASCII.format('text')}) AS key FROM part WHERE word),
+lemmas AS (SELECT wordform, arg_min(lemma, seq) AS lemma FROM lexicon GROUP BY wordform),
+entry AS (SELECT form, accented, lower(accented) AS low, (form = upper(left(form, 1)) || lower(substr(form, 2)) AND form <> lower(form)) <> (l.lemma = upper(left(l.lemma, 1)) || lower(substr(l.lemma, 2)) AND l.lemma <> lower(l.lemma)) AS cd,
+  {distance_sql(_DASHES, 'l.tag')} AS td, levenshtein(coalesce(m.lemma, '-'), l.lemma) AS ld FROM form JOIN lexicon l ON key = l.wordform LEFT JOIN lemmas m ON key = m.wordform WHERE accented <> ''),
+ranked AS (SELECT form, arg_min(accented, (cd::INT, td, ld, accented)) AS accented, count(DISTINCT low) > 1 AS ambiguous FROM entry GROUP BY form),
+guess AS (SELECT form, arg_min(e, priority) AS e FROM (SELECT form, priority, accented_ending AS e FROM form JOIN ending ON tag = {_DASHES} AND ends_with(lower(form), replace(accented_ending, '_', '')) AND length(form) > length(replace(accented_ending, '_', ''))) GROUP BY form),
+target AS (SELECT f.form, r.form IS NULL AS unknown, coalesce(ambiguous, false) AS ambiguous,
+  replace(replace(coalesce(r.accented, left(lower(f.form), length(f.form) - length(replace(g.e, '_', ''))) || g.e, ''), '_^', ''), '^', '') AS t FROM form f LEFT JOIN ranked r USING (form) LEFT JOIN guess g USING (form)),
+marked AS (SELECT *, CASE WHEN contains(t, '_') THEN array_to_string(list_transform(range(1, length(t) + 1), lambda i: CASE WHEN t[i] = '_' THEN '_' ELSE form[i - length(left(t, i)) + length(replace(left(t, i), '_', ''))] END), '') ELSE form END AS m FROM target),
+shown AS (SELECT *, {_unicode_marks('m')} AS u FROM marked)
+SELECT doc_id, string_agg(coalesce(u, text), '' ORDER BY idx, sub_idx) AS text, count(*) FILTER (WHERE word) AS words, count(*) FILTER (WHERE word AND unknown) AS unknown, count(*) FILTER (WHERE word AND ambiguous) AS ambiguous
+FROM part LEFT JOIN shown ON word AND text = form GROUP BY doc_id"""
+
+
+@query(RESTORE_SQL)
 def restore_marks_query(spark, d):
     return restore(spark, d)
 
@@ -597,7 +641,8 @@ def restore(spark, d):
     return restore_marks(docs(spark, d), X.lexicon(spark, d), endings(spark))
 
 
-_QUERIES["restore_marks"] = _QUERIES.pop("restore_marks_query")
+for _table in (_QUERIES, _SQL):
+    _table["restore_marks"] = _table.pop("restore_marks_query")
 
 
 # Morphology
@@ -636,17 +681,55 @@ def j14_preverbs(spark, d):
     return M.preverbs(forms(spark, d).withColumnRenamed("wordform", "word"), X.inline(spark, [(p,) for p in X.PREFIXES], "prefix string"))
 
 
-@query()
+def _retries_sql(w: str) -> str:
+    """The spellings of morphology.retries, in order, nulls for those that do not apply."""
+    clitics = [f"CASE WHEN ends_with({w}, '{c}') AND length({w}) > {len(c) + 1} THEN left({w}, length({w}) - {len(c)}) END" for c in M.CLITICS]
+    joined = [f"CASE WHEN ends_with({w}, '{e}') THEN left({w}, length({w}) - {len(e)}) || '{r}' END" for e, r in M.PRODELISION.items()]
+    others = [
+        f"CASE WHEN ends_with({w}, 'n') THEN left({w}, length({w}) - 1) END",
+        f"CASE WHEN regexp_matches({w}, '^i[aeou]') THEN 'j' || substr({w}, 2) END",
+        f"CASE WHEN regexp_matches({w}, '^I[aeou]') THEN 'J' || substr({w}, 2) END",
+        f"CASE WHEN regexp_matches({w}, '^ex[cpt]') THEN 'exs' || substr({w}, 3) END",
+        f"lower({w})",
+        f"upper(left({w}, 1)) || lower(substr({w}, 2))",
+    ]
+    return "[" + ", ".join([w, *clitics, *joined, *others]) + "]"
+
+
+@query(f"""WITH {TOK}, {FORMS}, {LEXICON_SQL}, r AS (SELECT wordform AS word, {_retries_sql('wordform')} AS r FROM forms),
+e AS (SELECT word, unnest(r) AS form, generate_subscripts(r, 1) AS nth FROM r)
+SELECT word, arg_min(form, nth) AS form FROM e WHERE form IN (SELECT wordform FROM lexicon) GROUP BY word""")
 def p27_first_with_hits(spark, d):
     return M.first_with_hits(forms(spark, d).withColumnRenamed("wordform", "word"), X.lexicon(spark, d).select(F.col("wordform").alias("form")))
 
 
-@query()
+PARSES_SQL = f"""{X.values_sql('parses', 'word, line', X.PARSES)}, fields AS (SELECT word, regexp_split_to_array(line, '[\x20\x09]+') AS f FROM parses),
+alt(word, f, k, line) AS (SELECT word, f, 0, '' FROM fields UNION ALL SELECT word, f, k + 1, line || CASE WHEN line = '' THEN '' ELSE ' ' END || x FROM (SELECT *, unnest(string_split(f[k + 1], '/')) AS x FROM alt WHERE k < len(f))),
+expanded AS (SELECT word, line FROM alt WHERE k = len(f))"""
+
+
+@query(f"WITH RECURSIVE {PARSES_SQL} SELECT word, line FROM expanded")
 def j19_expand_alternatives(spark, d):
     return M.expand_alternatives(X.inline(spark, X.PARSES, "word string, line string"))
 
 
-@query()
+def _codes_sql(feature: str) -> str:
+    names = ", ".join(f"'{c}'" for c, (kind, _) in M.CODES.items() if kind == feature)
+    return f"list_filter(codes, lambda x: x IN ({names}))[{-1 if feature == 'pos' else 1}] AS \"{feature}\""
+
+
+def _letters_sql(feature: str) -> str:
+    value = "CASE WHEN mood = 'gerundive' AND voice IS NULL THEN 'pass' ELSE voice END" if feature == "voice" else f'"{feature}"'
+    return f"CASE {value} " + " ".join(f"WHEN '{a}' THEN '{b}'" for a, b in M.LETTERS[feature].items()) + " ELSE '-' END"
+
+
+@query(f"""WITH RECURSIVE {PARSES_SQL},
+parts AS (SELECT word, string_split(line, ' ') AS f FROM expanded),
+named AS (SELECT word, split_part(f[2], ',', 1) AS accented, CASE WHEN split_part(f[2], ',', 2) = '' THEN split_part(f[2], ',', 1) ELSE split_part(f[2], ',', 2) END AS lemma, list_concat(f[1:1], f[3:]) AS codes FROM parts),
+features AS (SELECT word, accented, lemma, {", ".join(_codes_sql(f) for f in M.FEATURES)} FROM named),
+every AS (SELECT * FROM features UNION ALL SELECT * REPLACE ('gerund' AS mood) FROM features WHERE mood = 'gerundive' AND number = 'sg' AND gender = 'neut' AND "case" <> 'nom'),
+genders AS (SELECT DISTINCT * REPLACE (unnest(CASE WHEN "case" IS NOT NULL AND gender IS NULL THEN ['masc', 'fem', 'neut'] ELSE [gender] END) AS gender) FROM every)
+SELECT *, {" || ".join(_letters_sql(f) for f in M.FEATURES)} AS tag FROM genders""")
 def f45_parse_lines(spark, d):
     return M.parse_lines(X.inline(spark, X.PARSES, "word string, line string")).withColumn("tag", M.parse_to_tag())
 
@@ -669,6 +752,69 @@ def f21_tag_to_parse(spark, d):
     return words.select("text", *M.tag_to_parse(pseudo_tag(F.col("text"))))
 
 
+@query(f"""WITH {LEXICON_SQL}, p AS (SELECT wordform AS word, {SQL_T.replace('md5(text)', 'md5(wordform)')} AS t FROM (SELECT DISTINCT wordform FROM lexicon)),
+l AS (SELECT word, CASE left(t, 1) WHEN 'n' THEN 'Nb' WHEN 'a' THEN 'A-' WHEN 'd' THEN 'Df' WHEN 'v' THEN 'V-' WHEN 't' THEN 'V-' WHEN 'p' THEN 'Pp' WHEN 'm' THEN 'Ma' ELSE 'F-' END || CASE WHEN substr(t, 2, 1) IN ('1', '2', '3') THEN substr(t, 2, 1) ELSE '-' END
+  || CASE WHEN substr(t, 3, 1) IN ('s', 'p') THEN substr(t, 3, 1) ELSE '-' END || CASE WHEN substr(t, 4, 1) IN ('p', 'i', 'r', 'l', 't', 'f') THEN substr(t, 4, 1) ELSE '-' END
+  || CASE WHEN left(t, 1) = 't' THEN 'p' WHEN substr(t, 5, 1) IN ('i', 's', 'n', 'm', 'g', 'u', 'd', 'p') THEN substr(t, 5, 1) ELSE '-' END
+  || CASE WHEN substr(t, 6, 1) IN ('a', 'p') THEN substr(t, 6, 1) WHEN (left(t, 1) = 't' OR substr(t, 5, 1) = 'p') AND substr(t, 4, 1) = 'p' THEN 'a' WHEN (left(t, 1) = 't' OR substr(t, 5, 1) = 'p') AND substr(t, 4, 1) = 'r' THEN 'p' ELSE '-' END
+  || CASE WHEN substr(t, 7, 1) IN ('m', 'f', 'n') THEN substr(t, 7, 1) ELSE '-' END || CASE WHEN substr(t, 8, 1) IN ('n', 'g', 'd', 'a', 'b', 'v', 'l') THEN substr(t, 8, 1) ELSE '-' END
+  || CASE WHEN substr(t, 9, 1) IN ('c', 's') THEN substr(t, 9, 1) WHEN left(t, 1) = 'a' THEN 'p' ELSE '-' END || '-' AS tag FROM p)
+SELECT word, tag || CASE WHEN substr(tag, 3) = '---------' THEN 'n' ELSE 'i' END AS tag FROM l""")
+def f24_long_tags(spark, d):
+    words = X.lexicon(spark, d).select(F.col("wordform").alias("word")).distinct()
+    return words.select("word", *M.tag_to_parse(pseudo_tag(F.col("word")))).select("word", M.parse_to_long_tag().alias("tag"))
+
+
+@query(f"""WITH {TOK}, {LEXICON_SQL}, t AS (SELECT DISTINCT wordform, left(tag, 1) || '.' || substr(tag, 2, 1) AS tag, min(lemma) OVER (PARTITION BY wordform, left(tag, 1), substr(tag, 2, 1)) AS lemma FROM lexicon),
+f AS (SELECT DISTINCT text AS word, 'n.' || CASE WHEN length(text) % 2 = 0 THEN 'v' ELSE 'a' END AS tag FROM tok WHERE regexp_matches(text, '{WORD}'))
+SELECT f.word, f.tag, coalesce(t.lemma, f.word) AS lemma FROM f LEFT JOIN t ON f.word = t.wordform AND f.tag = t.tag""")
+def j20_lookup_lemma(spark, d):
+    table, words = lemma_table(spark, d)
+    return L.lookup_lemma(words, table)
+
+
+def lemma_table(spark, d):
+    """word, tag and lemma of the lexicon under shorter tags; the documents' words with tags by their length."""
+    short = F.concat(F.substring("tag", 1, 1), F.lit("."), F.substring("tag", 2, 1)).alias("tag")
+    table = X.lexicon(spark, d).groupBy(F.col("wordform").alias("word"), short).agg(F.min("lemma").alias("lemma"))
+    tag = F.concat(F.lit("n."), F.when(F.length("text") % 2 == 0, "v").otherwise("a")).alias("tag")
+    return table, tokens(spark, d).where(W.is_word(F.col("text"))).select(F.col("text").alias("word"), tag).distinct()
+
+
+@query(f"""WITH {TOK}, {LEXICON_SQL}, t AS (SELECT DISTINCT wordform, left(tag, 1) || '.' || substr(tag, 2, 1) AS tag, min(lemma) OVER (PARTITION BY wordform, left(tag, 1), substr(tag, 2, 1)) AS lemma FROM lexicon),
+f AS (SELECT DISTINCT text AS word, 'n.' || CASE WHEN length(text) % 2 = 0 THEN 'v' ELSE 'a' END AS tag FROM tok WHERE regexp_matches(text, '{WORD}')),
+c AS (SELECT word, tag, 0 AS i, 0 AS k, word AS w FROM f UNION ALL SELECT word, tag, 0, 1, lower(word) FROM f
+  UNION ALL SELECT word, tag, i, k, CASE WHEN k = 0 THEN substr(word, i + 1) ELSE upper(substr(word, i + 1, 1)) || substr(word, i + 2) END FROM (SELECT word, tag, unnest(range(1, length(word) - 4)) AS i, unnest([0, 1]) AS k FROM f) WHERE length(word) > 5),
+h AS (SELECT c.word, c.tag, i, k, left(c.word, i) || CASE WHEN i > 0 AND k = 1 THEN lower(lemma) ELSE lemma END AS lemma FROM c JOIN t ON c.w = t.wordform AND c.tag = t.tag),
+b AS (SELECT word, tag, arg_min(lemma, (i, k)) AS lemma FROM h GROUP BY ALL)
+SELECT f.word, f.tag, coalesce(lemma, '<unknown>') AS lemma FROM f LEFT JOIN b USING (word, tag)""".replace("unnest(range(1, length(word) - 4)) AS i, unnest([0, 1]) AS k FROM f)", "i, k FROM f, (SELECT unnest([0, 1]) AS k) ks, LATERAL (SELECT unnest(range(1, length(word) - 4)) AS i) cuts)"))
+def j21_lemmatise(spark, d):
+    table, words = lemma_table(spark, d)
+    return L.lemmatise(words, table)
+
+
+@query(f"""WITH {TOK}, {LEXICON_SQL}, per AS (SELECT wordform, list(DISTINCT translate(lower({_comparable('accented')}), 'j', 'i')) AS fs FROM lexicon GROUP BY wordform),
+w AS (SELECT lower(text) AS low, translate(lower(text), 'j', 'i') AS m FROM tok WHERE regexp_matches(text, '{WORD}')),
+j AS (SELECT fs, list_contains(fs, m) AS ok, len(fs) = 1 AS one FROM w LEFT JOIN per ON low = wordform)
+SELECT count(*) AS words, count(*) FILTER (WHERE fs IS NULL) AS unknown, count(*) FILTER (WHERE ok) AS correct, count(*) FILTER (WHERE ok AND one) AS unique_correct, count(*) FILTER (WHERE ok AND NOT one) AS ambiguous_correct,
+  count(*) FILTER (WHERE fs IS NOT NULL AND NOT ok AND one) AS unique_wrong, count(*) FILTER (WHERE fs IS NOT NULL AND NOT ok AND NOT one) AS ambiguous_wrong FROM j""")
+def a22_oracle_accuracy(spark, d):
+    """The documents' unmarked words against the lexicon's forms."""
+    return L.oracle_accuracy(tokens(spark, d).withColumn("marked", F.col("text")), X.lexicon(spark, d))
+
+
+@query(f"WITH {LEXICON_SQL}, c AS (SELECT left(wordform, 1) AS wordform, lemma, count(*) AS freq, min(seq) AS ord FROM lexicon GROUP BY ALL) SELECT wordform, string_agg(lemma, ' ' ORDER BY freq DESC, ord) AS lemmas FROM c GROUP BY wordform")
+def t09_ordered_lemmas(spark, d):
+    corpus = X.lexicon(spark, d).groupBy(F.substring("wordform", 1, 1).alias("wordform"), "lemma").agg(F.count(F.lit(1)).alias("freq"), F.min("seq").alias("ord"))
+    return L.ordered_lemmas(corpus).select("wordform", F.array_join(F.transform("lemmas", lambda x: x["lemma"]), " ").alias("lemmas"))
+
+
+@query(f"WITH {LEXICON_SQL}, e AS (SELECT DISTINCT left(tag, 1) AS tag, right(wordform, 1 + length(wordform) % 3) AS ending FROM lexicon) SELECT tag, string_agg(ending, ' ' ORDER BY length(ending) DESC, ending) AS endings FROM e GROUP BY tag")
+def t06_ordered_endings(spark, d):
+    rows = X.lexicon(spark, d).select(F.substring("tag", 1, 1).alias("tag"), F.expr("right(wordform, 1 + length(wordform) % 3)").alias("ending"))
+    return L.ordered_endings(rows).withColumn("endings", F.array_join("endings", " "))
+
+
 # Streams
 
 
