@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+from textloom.llm import common, url_trust as url_trust_module
 from textloom.llm.url_trust import url_trust
 
 
@@ -33,3 +34,14 @@ def test_rules_hosts_and_links(spark):
 
 def test_empty(spark):
     assert url_trust(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
+
+
+def test_hosts_of_many_edges_and_pages_are_joined_alike(spark, monkeypatch):
+    rows = [(i, f"http://h{i % 9}.site{i % 3}.net/{'es' if i % 4 == 0 else 'x'}/", f'<a href="http://h{(i * 7) % 9}.site1.net/">') for i in range(60)] + [(99, None, None)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    show = lambda out: sorted((r["page_id"], r["host"], r["verdict"], round(r["trust"], 9), round(r["distrust"], 9)) for r in out.collect())
+    plain = show(url_trust(df))
+    assert sum({h: t for _, h, _, t, _ in plain}.values()) <= 1 + 1e-6
+    for module in (common, url_trust_module):
+        monkeypatch.setattr(module, "HOT_ROWS", 2)
+    assert show(url_trust(df)) == plain

@@ -3,7 +3,9 @@
 Edges run from the host of a page to the hosts that its links name (absolute or protocol-relative), and between a host
 and its parent domain, both ways, as whoever runs one vouches for the other. Trust starts at hosts with allowed pages,
 in proportion to their number, and follows the edges (personalised PageRank); distrust starts at hosts with blocked
-pages and follows them backwards. Both take ROUNDS rounds of one join and one sum over hosts. A host is blocked if its
+pages and follows them backwards. Both take ROUNDS rounds of one join and one sum over hosts. What comes to hosts without
+edges goes back to the seeds: as every round is linear in the seeds, that is a factor, so both are scaled to a sum of 1.
+Hosts with very many edges or pages are joined by broadcast, of which there can only be few. A host is blocked if its
 distrust is above LEAST and above RATIO times its trust.
 
 Defined cases: a null url or one without `://` has an empty host and path, fits no rule and is allowed, as nothing
@@ -17,7 +19,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Workspace
+from .common import HOT_ROWS, HOT_SHARE, Workspace, join_counted
 
 #: (verdict, host, path).
 RULES = [
@@ -76,16 +78,23 @@ def propagate(seeds: DataFrame, edges: DataFrame, work: Workspace, rounds: int =
     forward = edges.join(out_of, "source").select(F.col("source").alias("a"), F.col("target").alias("b"), (F.col("n") / F.col("total")).alias("f"), F.lit(0.0).alias("r"))
     backward = edges.join(into, "target").select(F.col("target").alias("a"), F.col("source").alias("b"), F.lit(0.0).alias("f"), (F.col("n") / F.col("total")).alias("r"))
     flows = work.save(forward.unionByName(backward).groupBy("a", "b").agg(F.sum("f").alias("f"), F.sum("r").alias("r")), "flows")
+    # At most HOT_SHARE hosts can have so many edges.
+    most = max(HOT_ROWS, flows.count() // HOT_SHARE)
+    hot = [r["a"] for r in flows.groupBy("a").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > most).select("a").collect()]
     start = work.save(seeds, "seeds")
     # A seed's share enters in every round; hosts without any take part through what reaches them.
     base = start.select("host", ((1 - DAMPING) * F.col("trust")).alias("trust"), ((1 - DAMPING) * F.col("distrust")).alias("distrust"))
     state = start
     for k in range(1, rounds + 1):
-        sent = flows.join(state, flows["a"] == state["host"]).select(F.col("b").alias("host"), (DAMPING * F.col("trust") * F.col("f")).alias("trust"), (DAMPING * F.col("distrust") * F.col("r")).alias("distrust"))
+        met = flows.where(~F.col("a").isin(hot)).join(state, F.col("a") == F.col("host")) if hot else flows.join(state, F.col("a") == F.col("host"))
+        if hot:
+            met = met.unionByName(flows.where(F.col("a").isin(hot)).join(F.broadcast(state.where(F.col("host").isin(hot))), F.col("a") == F.col("host")))
+        sent = met.select(F.col("b").alias("host"), (DAMPING * F.col("trust") * F.col("f")).alias("trust"), (DAMPING * F.col("distrust") * F.col("r")).alias("distrust"))
         state = sent.unionByName(base).groupBy("host").agg(F.sum("trust").alias("trust"), F.sum("distrust").alias("distrust"))
-        if k % CUT == 0 and k < rounds:
+        if k % CUT == 0 or k == rounds:
             state = work.save(state, f"round{k}")
-    return state
+    trust, distrust = state.agg(F.sum("trust"), F.sum("distrust")).first()
+    return state.select("host", (F.col("trust") / F.lit(trust or 1.0)).alias("trust"), (F.col("distrust") / F.lit(distrust or 1.0)).alias("distrust"))
 
 
 def url_trust(pages: DataFrame, rules: list[tuple[str, str, str]] = RULES) -> DataFrame:
@@ -103,7 +112,10 @@ def url_trust(pages: DataFrame, rules: list[tuple[str, str, str]] = RULES) -> Da
     hosts = work.save(hosts, "hosts")
     distrusted = (F.col("distrust") > LEAST) & (F.col("distrust") > RATIO * F.col("trust"))
     method = F.when(F.coalesce(distrusted, F.lit(False)), "block").otherwise("allow")
-    joined = judged.join(hosts, "host", "left")
+    pages_of = judged.where("host <> ''").groupBy("host").agg(F.count(F.lit(1)).alias("n"))
+    counted = hosts.join(pages_of, "host")
+    named = join_counted(judged.where("host <> ''"), counted, "host", judged.count(), "left")
+    joined = named.unionByName(judged.where("host = ''"), allowMissingColumns=True)
     zero = lambda c: F.coalesce(F.col(c), F.lit(0.0)).alias(c)
     return joined.select("page_id", "host", "path", F.col("found.rule").alias("rule"), F.coalesce(F.col("found.verdict"), method).alias("verdict"), zero("trust"), zero("distrust"))
 
@@ -144,9 +156,10 @@ state{k} AS MATERIALIZED (
     UNION ALL SELECT b, 0, {DAMPING} * distrust * share FROM backward JOIN state{k - 1} ON a = host) GROUP BY host)"""
         for k in range(1, ROUNDS + 1)
     ]
-    end = f"""
+    end = f""",
+scaled AS (SELECT host, trust / CASE WHEN sum(trust) OVER () = 0 THEN 1 ELSE sum(trust) OVER () END AS trust, distrust / CASE WHEN sum(distrust) OVER () = 0 THEN 1 ELSE sum(distrust) OVER () END AS distrust FROM state{ROUNDS})
 SELECT page_id, j.host, path, rule,
   coalesce(ruled, CASE WHEN round(distrust, 12) > {LEAST} AND round(distrust, 12) > {RATIO} * round(trust, 12) THEN 'block' ELSE 'allow' END) AS verdict,
   round(coalesce(trust, 0), 9) AS trust, round(coalesce(distrust, 0), 9) AS distrust
-FROM judged j LEFT JOIN state{ROUNDS} s ON j.host = s.host"""
+FROM judged j LEFT JOIN scaled s ON j.host = s.host"""
     return reduce(str.__add__, rounds, start) + end
