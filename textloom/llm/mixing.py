@@ -6,8 +6,8 @@ number of words. The drawn blocks of all sources are then dealt to the output sh
 splits its exact block counts between its two halves with one multivariate-hypergeometric draw, so that every shard is
 a uniform sample of the mix and no block is dealt twice. Within a shard rows are ordered by a hash.
 
-What the driver sees is bounded: at most MOST_BLOCKS rows a source. Everything else stays in DataFrames; no step
-gathers a source.
+What the driver sees is bounded: a row for each source and MOST_BLOCKS more. Everything else stays in DataFrames; no
+step gathers a source.
 
 Defined cases: null and empty texts have size 0 and are never taken; a source of size 0 has target 0; a null source is
 a source of its own, last in order; repeated rows are documents of their own; an empty table gives an empty mix.
@@ -25,8 +25,8 @@ from pyspark.sql.window import Window
 
 from .common import Workspace, text_or_empty
 
-#: Words a block should hold, and the most blocks of a source: beyond that its blocks grow.
-BLOCK_WORDS, MOST_BLOCKS = 20_000, 1024
+#: Words a block should hold, and the most blocks of all sources together (besides one for each): beyond that they grow.
+BLOCK_WORDS, MOST_BLOCKS = 20_000, 100_000
 #: Words a shard should hold, and the most shards.
 SHARD_WORDS, MOST_SHARDS = 5_000_000, 4096
 #: The most times that a document may be repeated.
@@ -127,7 +127,8 @@ def mix(docs: DataFrame, seed: int = 11, carry: Sequence[str] = ()) -> DataFrame
 
     found = {r["source"]: r["words"] for r in sized.groupBy("source").agg(F.sum("size").alias("words")).collect()}
     order = sorted((s for s in found if s is not None), key=lambda s: [ord(c) for c in s]) + [s for s in found if s is None]
-    sources = [(s, int(found[s]), int(min(MOST_BLOCKS, max(1, -(-found[s] // BLOCK_WORDS))))) for s in order]
+    block_words = max(BLOCK_WORDS, -(-int(sum(found.values())) // MOST_BLOCKS))
+    sources = [(s, int(found[s]), int(max(1, -(-found[s] // block_words)))) for s in order]
     counts = _small(spark, [(s, n) for s, _, n in sources], "name string, blocks int")
     placed = sized.join(counts, F.col("source").eqNullSafe(F.col("name"))).drop("name")
     placed = placed.withColumn("block", F.pmod(F.col("key"), F.col("blocks")).cast("int")).drop("blocks")
@@ -137,8 +138,7 @@ def mix(docs: DataFrame, seed: int = 11, carry: Sequence[str] = ()) -> DataFrame
     plan = _small(spark, plan_blocks(sources, held, seed), PLAN).withColumnsRenamed({"source": "name", "block": "part"})
     joined = placed.join(plan, F.col("source").eqNullSafe(F.col("name")) & (F.col("block") == F.col("part"))).drop("name", "part")
 
-    # Only the block in which a source's target is met needs its documents in order; it holds BLOCK_WORDS words or a
-    # MOST_BLOCKS-th of its source.
+    # Only the block in which a source's target is met needs its documents in order; it holds about block_words words.
     plain = joined.where(F.col("cut_words") == 0).withColumn("before", F.lit(0).cast("long"))
     inside = Window.partitionBy("source", "block").orderBy(F.xxhash64(F.lit(seed + 1), "doc_id"), "doc_id", "size", *carry).rowsBetween(Window.unboundedPreceding, -1)
     met = joined.where(F.col("cut_words") > 0).withColumn("before", F.coalesce(F.sum("size").over(inside), F.lit(0)))
