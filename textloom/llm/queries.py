@@ -99,6 +99,19 @@ kept AS (
   SELECT line.doc_id, count(*) AS n_lines, count(gone.i) AS n_removed, coalesce(string_agg(line.line, chr(10) ORDER BY line.i) FILTER (WHERE gone.i IS NULL), '') AS kept_text
   FROM line LEFT JOIN gone ON line.doc_id = gone.doc_id AND line.i = gone.i GROUP BY line.doc_id)
 SELECT d.doc_id, coalesce(n_lines, 0) AS n_lines, coalesce(n_removed, 0) AS n_removed, kept_text FROM documents d LEFT JOIN kept ON d.doc_id = kept.doc_id
+""",
+    # Texts as hexadecimal digits; a byte goes if a string of 50 bytes over it starts in a document with a smaller doc_id.
+    "op5_suffix_dedup": r"""
+WITH d AS (SELECT doc_id, coalesce(doc_id, 9223372036854775807) AS owner, row_number() OVER () AS row, hex(encode(coalesce(text, ''))) AS h FROM documents),
+gram AS (SELECT row, owner, i, substr(h, 2 * i + 1, 100) AS g FROM (SELECT row, owner, h, unnest(range(0, length(h) // 2 - 49)) AS i FROM d WHERE length(h) >= 100)),
+least AS (SELECT g, min(owner) AS least FROM gram GROUP BY g HAVING count(*) > 1),
+lost AS (SELECT row, i, i - lag(i) OVER (PARTITION BY row ORDER BY i) AS step FROM gram JOIN least USING (g) WHERE least < owner),
+span AS (SELECT row, min(i) AS a, max(i) + 50 AS b FROM (SELECT row, i, count(*) FILTER (WHERE step IS NULL OR step > 50) OVER (PARTITION BY row ORDER BY i) AS island FROM lost) GROUP BY row, island),
+gap AS (SELECT row, lag(b, 1, 0) OVER (PARTITION BY row ORDER BY a) AS x, a AS y FROM span UNION ALL SELECT row, max(b), NULL FROM span GROUP BY row),
+kept AS (SELECT row, string_agg(substr(h, 2 * x + 1, 2 * (coalesce(y, length(h) // 2) - x)), '' ORDER BY x) AS h FROM gap JOIN d USING (row) GROUP BY row),
+gone AS (SELECT row, sum(b - a)::BIGINT AS n, count(*) AS spans FROM span GROUP BY row)
+SELECT doc_id, (length(d.h) // 2)::BIGINT AS n_bytes, coalesce(n, 0) AS n_removed, coalesce(spans, 0) AS n_spans, sha256(unhex(coalesce(kept.h, d.h))) AS kept_sha256
+FROM d LEFT JOIN gone USING (row) LEFT JOIN kept USING (row)
 """,
     "op10_exact_dedup": r"""
 WITH norm AS (SELECT doc_id, sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g')) AS text_sha256 FROM documents),
