@@ -30,7 +30,6 @@ import math
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
@@ -40,7 +39,8 @@ from pyspark.sql import functions as F
 from .bpe import chunks_of, ragged
 from .common import Workspace, join_counted, ship
 from .components import components
-from .packs import NO_ID, Pack, batch_of, digest_table, later_copies, make_packs, packs_in, squeeze, unsqueeze
+from .exchange import add, codes_of, exchange
+from .packs import NO_ID, PACK_BYTES, Pack, batch_of, digest_table, later_copies, make_packs, packs_in, squeeze, unsqueeze
 
 WORDS, THRESHOLD = 5, 0.8
 BANDS, ROWS = 14, 3
@@ -57,8 +57,6 @@ IDF_RANGE = 0.2
 STEPS = 8
 #: A shingle's number has so many bits more than the number of shingles has.
 SPARE_BITS = 20
-SENT = "bucket int, pack long, ids binary, counts binary"
-ANSWER = "pack long, bucket int, codes binary"
 LINK = "a long, b long"
 CANDIDATE = "doc_id long, keys binary, weight double, size long, vector binary"
 _RNG = np.random.default_rng(17)
@@ -105,54 +103,9 @@ def shingles(texts: pa.Array, bits: int) -> tuple[np.ndarray, np.ndarray, np.nda
     return owner[first], ids[first], np.diff(np.append(first, len(ids)))
 
 
-def _deltas(ids: np.ndarray) -> bytes:
-    """Sorted numbers as their differences, in byte planes: the three low ones as they are, the others squeezed.
-
-    The differences of hashes are spread evenly, so what they take is about their entropy, whatever the numbers' width.
-    """
-    planes = np.diff(ids, prepend=np.uint64(0)).astype("<u8").view(np.uint8).reshape(-1, 8).T
-    return np.ascontiguousarray(planes[:3]).tobytes() + squeeze(np.ascontiguousarray(planes[3:]))
-
-
-def _undelta(data: bytes, n: int) -> np.ndarray:
-    planes = np.empty((8, n), np.uint8)
-    planes[:3] = np.frombuffer(data, np.uint8, 3 * n).reshape(3, n)
-    planes[3:] = np.frombuffer(unsqueeze(data[3 * n :]), np.uint8).reshape(5, n)
-    return np.cumsum(np.ascontiguousarray(planes.T).view("<u8").ravel(), dtype=np.uint64)
-
-
-def bucket_edges(ids: np.ndarray, bits: int, buckets: int) -> np.ndarray:
-    """Where each bucket's range begins in sorted ids; buckets are ranges of equal width."""
-    width = np.array([(b << bits) // buckets for b in range(buckets)] + [1 << bits], np.uint64)
-    return np.searchsorted(ids, width)
-
-
-def send_counts(pack: Pack, bits: int, buckets: int) -> list[tuple]:
-    """Rows of SENT: each shingle of the pack once, and in how many of its documents it is."""
-    _, ids, _ = shingles(pack.texts(), bits)
-    distinct, counts = np.unique(ids, return_counts=True)
-    edges = bucket_edges(distinct, bits, buckets)
-    rows = []
-    for b, (x, y) in enumerate(zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True)):
-        if y > x:
-            rows.append((b, pack.pack, _deltas(distinct[x:y]), squeeze(counts[x:y].astype("<u4"))))
-    return rows
-
-
-def answer_frequencies(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Of a bucket: for each pack the codes of its shingles' document frequencies, in the order sent."""
-    counts = [np.frombuffer(unsqueeze(x), "<u4").astype(np.int64) for x in pdf["counts"]]
-    ids = [_undelta(x, len(c)) for x, c in zip(pdf["ids"], counts, strict=True)]
-    flat = np.concatenate(ids)
-    order = np.argsort(flat, kind="stable")
-    ordered = flat[order]
-    first = np.flatnonzero(np.append(True, ordered[1:] != ordered[:-1]))
-    total = np.add.reduceat(np.concatenate(counts)[order], first)
-    code = np.minimum(255, np.round(STEPS * np.log2(total))).astype(np.uint8)
-    spread = np.empty(len(flat), np.uint8)
-    spread[order] = np.repeat(code, np.diff(np.append(first, len(flat))))
-    parts = np.split(spread, np.cumsum([len(x) for x in ids])[:-1])
-    return pd.DataFrame({"pack": pdf["pack"], "bucket": pdf["bucket"], "codes": [squeeze(p) for p in parts]})
+def frequency_codes(total: np.ndarray) -> np.ndarray:
+    """Document frequencies as codes."""
+    return np.minimum(255, np.round(STEPS * np.log2(total.astype(float))))
 
 
 def idf(code: np.ndarray, documents: int) -> np.ndarray:
@@ -411,19 +364,19 @@ def near_dedup(docs: DataFrame) -> DataFrame:
     firsts = work.save(digests.groupBy("digest").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1"), "firsts")
     copies = later_copies(digests, firsts, place > F.col("first"))
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
         for (pack,) in packs_in(batches):
-            if rows := send_counts(pack, bits, buckets):
-                yield batch_of(SENT, *map(list, zip(*rows, strict=True)))
+            ids, counts = np.unique(shingles(pack.texts(), bits)[1], return_counts=True)
+            if len(ids):
+                yield pack.pack, ids, counts.astype(np.uint64)
 
-    answers = work.save(packs.mapInArrow(count, SENT).groupBy("bucket").applyInPandas(answer_frequencies, ANSWER), "answers")
-    told = answers.groupBy("pack").agg(F.collect_list(F.struct("bucket", "codes")).alias("codes"))
+    # A shingle takes about six bytes of text.
+    told = exchange(packs, count, bits, buckets, PACK_BYTES / 6, add, frequency_codes, work).withColumnRenamed("sender", "pack")
     full = packs.join(told.hint("merge"), "pack").join(copies.hint("merge"), "pack", "left")
 
     def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for pack, found, gone in packs_in(batches, "codes", "copies"):
-            codes = b"".join(unsqueeze(x["codes"]) for x in sorted(found, key=lambda x: x["bucket"]))
-            rows = candidates_of(pack, np.frombuffer(codes, np.uint8), np.array(gone or [], np.int64), bits, documents)
+            rows = candidates_of(pack, codes_of(found), np.array(gone or [], np.int64), bits, documents)
             if rows:
                 yield batch_of(CANDIDATE, *map(list, zip(*rows, strict=True)))
 
