@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import random
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -200,3 +203,45 @@ def test_command_line(spark, tmp_path, capsys, monkeypatch):
     assert command.main([*lexicon, "-i", str(tmp_path / "in.txt"), "-o", str(tmp_path / "out.txt"), "-s", "1"]) == 0
     assert (tmp_path / "out.txt").read_text() == "tēla"
     assert command.main(["tela"]) == 2 and command.main([*lexicon, "-s", "nothing", "tela"]) == 2
+
+
+def cut_chunk(chunk, front, back, whole, before, behind):
+    """The tokens of a chunk, one character after the other."""
+    head, tail, done = [], [], False
+    while not done:
+        done = True
+        if len(chunk) > 1 and chunk[0] in front:
+            head, chunk, done = [*head, chunk[0]], chunk[1:], False
+        if len(chunk) > 1 and chunk[-1] in back:
+            tail, chunk, done = [chunk[-1], *tail], chunk[:-1], False
+        if len(chunk) > 1 and chunk[-1] == "." and chunk[-2] in back:
+            tail, done = [".", *tail], False
+            chunk, tail = (chunk[:-2], [chunk[-2], *tail]) if len(chunk) > 2 else (chunk[:-1], tail)
+    if chunk in whole or re.fullmatch(r"([A-Za-z-]\.)+", chunk):
+        return [*head, chunk, *tail]
+    if len(chunk) > 1 and chunk.endswith(".") and chunk != "..." and not re.fullmatch(r"[0-9]+\.", chunk):
+        chunk, tail = chunk[:-1], [".", *tail]
+        if chunk in whole:
+            return [*head, chunk, *tail]
+    while before and (m := re.match(f"({before})(?=.)", chunk)):
+        head, chunk = [*head, m[1]], chunk[m.end() :]
+    while behind and (m := re.search(f"(?<=.)({behind})$", chunk)):
+        chunk, tail = chunk[: m.start()], [m[1], *tail]
+    return [*head, chunk, *tail]
+
+
+@pytest.mark.parametrize("language", [None, "en", "fr", "it"])
+def test_chunks_of_markup_against_a_plain_loop(spark, language):
+    rng = random.Random(8)
+    front, back = "[{(`\"‚„†‡‹‘’“”•–—›", "]}'`\"),;:!?%‚„…†‡‰‹‘’“”•–—›"
+    before, behind = T.FRONT_CLITICS.get(language, ""), T.BACK_CLITICS.get(language, "")
+    pool = ["(", "[", '"', ")", ",", "!", ".", ".", "U", "S", "l'", "qu'", "dell'", "dog", "n't", "'s", "-t-il", "-ce", "etc", "7", "-", "“", "…", "%"]
+    chunks = list({"".join(rng.choice(pool) for _ in range(rng.randrange(1, 7))) for _ in range(600)}) + ["...", "etc.", "U.S.", "14.", ")."]
+    df = spark.createDataFrame([(c,) for c in chunks], "c string")
+    got = {r["c"]: r["t"] for r in df.select("c", T.peel(F.col("c"), language, ("etc", "dog.")).alias("t")).collect()}
+    assert got == {c: cut_chunk(c, front, back, ("etc", "dog."), before, behind) for c in chunks}
+
+
+def test_markup_keeps_tags_whole(spark):
+    pages = spark.createDataFrame([(1, '<a href="x y">Hi,there!Now...</a> 3,5 < 4')], "page_id long, html string")
+    assert [r["text"] for r in T.tokenise_markup(pages).orderBy("idx").collect()] == ['<a href="x y">', "Hi", ",", "there", "!", "Now", "...", "</a>", "3,5", "<", "4"]

@@ -246,8 +246,8 @@ def tokenise_markup(pages: DataFrame, html: str = "html", language: str | None =
 
     def words(x: Column) -> Column:
         spaced = F.replace(F.concat(F.lit(" "), x, F.lit(" ")), F.lit("..."), F.lit(" ... "))
-        spaced = F.regexp_replace(spaced, r"([;!?])(?=[^\x20\x09-\x0D])", "$1 ")
-        spaced = F.regexp_replace(spaced, r"([.,:])(?=[^\x20\x09-\x0D0-9.])", "$1 ")
+        spaced = F.regexp_replace(spaced, r"([;!?])([^\x20\x09-\x0D])", "$1 $2")
+        spaced = F.regexp_replace(spaced, r"([.,:])([^\x20\x09-\x0D0-9.])", "$1 $2")
         chunks = F.filter(F.split(spaced, r"[\x20\x09-\x0D]+"), lambda c: c != "")
         return F.flatten(F.transform(chunks, lambda c: peel(c, language, whole)))
 

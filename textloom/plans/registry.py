@@ -97,7 +97,21 @@ def p03_words_only(spark, d):
     return docs(spark, d).select("doc_id", F.explode(T.words_only(F.col("text"))).alias("word"))
 
 
-@query()
+_FRONT, _BACK = T.PEEL_FRONT.replace("'", "''"), T.PEEL_BACK.replace("'", "''")
+_WS = r"[\x20\x09-\x0D]"
+MARKUP_SQL = rf"""WITH segment AS (SELECT page_id, unnest(p) AS x, generate_subscripts(p, 1) AS i FROM (SELECT page_id, regexp_extract_all(html, '(?s)(<[^<>]*>|[^<]+|<)', 1) AS p FROM pages)),
+spaced AS (SELECT page_id, i, regexp_matches(x, '(?s)^<.*>$') AS tag, x, regexp_replace(regexp_replace(replace(' ' || x || ' ', '...', ' ... '), '([;!?])([^\x20\x09-\x0D])', '\1 \2', 'g'), '([.,:])([^\x20\x09-\x0D0-9.])', '\1 \2', 'g') AS s FROM segment),
+chunk AS (SELECT page_id, i, tag, unnest(c) AS c, generate_subscripts(c, 1) AS j FROM (SELECT page_id, i, tag, CASE WHEN tag THEN [x] ELSE list_filter(regexp_split_to_array(s, '{_WS}+'), lambda y: y <> '') END AS c FROM spaced)),
+fronts AS (SELECT *, CASE WHEN tag THEN '' ELSE regexp_extract(c, '(?s)^({_FRONT}*)(.+)$', 1) END AS front FROM chunk),
+rests AS (SELECT *, substr(c, length(front) + 1) AS rest FROM fronts),
+cores AS (SELECT *, CASE WHEN tag THEN rest ELSE regexp_extract(rest, '(?s)^(.+?)((?:{_BACK}\.?)*)$', 1) END AS core FROM rests),
+stems AS (SELECT *, substr(rest, length(core) + 1) AS back, NOT tag AND NOT regexp_matches(core, '^([A-Za-z-]\.)+$') AND regexp_matches(core, '(?s)^.+\.$') AND core <> '...' AND NOT regexp_matches(core, '^[0-9]+\.$') AS part FROM cores),
+token AS (SELECT page_id, i, j, list_filter(list_concat(string_split(front, ''), [CASE WHEN part THEN left(core, length(core) - 1) ELSE core END], CASE WHEN part THEN ['.'] ELSE [] END, string_split(back, '')), lambda y: y <> '') AS t FROM stems),
+each AS (SELECT page_id, i, j, unnest(t) AS text, generate_subscripts(t, 1) AS k FROM token)
+SELECT page_id, row_number() OVER (PARTITION BY page_id ORDER BY i, j, k) - 1 AS idx, text FROM each"""
+
+
+@query(MARKUP_SQL)
 def p04_tokenise_markup(spark, d):
     return T.tokenise_markup(table(spark, d, "pages"))
 
