@@ -12,6 +12,7 @@ from textloom.functions import words as W
 from textloom.functions.register import FUNCTIONS, register
 from textloom.operators import lexicon as L
 from textloom.operators import morphology as M
+from textloom.operators import stats as S
 from textloom.operators import tokens as T
 from textloom.plans.pipeline import Engine, Options, mark_tokens, scan_tokens
 from textloom.sources import readers as R
@@ -245,3 +246,22 @@ def test_chunks_of_markup_against_a_plain_loop(spark, language):
 def test_markup_keeps_tags_whole(spark):
     pages = spark.createDataFrame([(1, '<a href="x y">Hi,there!Now...</a> 3,5 < 4')], "page_id long, html string")
     assert [r["text"] for r in T.tokenise_markup(pages).orderBy("idx").collect()] == ['<a href="x y">', "Hi", ",", "there", "!", "Now", "...", "</a>", "3,5", "<", "4"]
+
+
+def test_prefixed_and_irregular_words(spark):
+    stems = spark.createDataFrame([("duc", "verb3", "duco", "verb", []), ("lup", "o", "lupus", "noun", ["masc"])], "stem string, stemtype string, lemma string, kind string, keys array<string>")
+    endings = spark.createDataFrame([("it", "verb3", "v3spia---", []), ("us", "o", "n-s---mn-", ["masc"]), ("um", "o", "n-s---nn-", ["neut"])], "ending string, stemtype string, tag string, features array<string>")
+    irregular = spark.createDataFrame([("est", "sum", "v3spia---")], "form string, lemma string, tag string")
+    none = irregular.limit(0)
+    words = spark.createDataFrame([("deducit",), ("ducit",), ("abest",), ("lupus",), ("lupum",)], "word string")
+    prefixes = spark.createDataFrame([("de",), ("ab",)], "prefix string")
+    got = {(r["word"], r["lemma"], r["kind"]) for r in M.check_words(words, stems, endings, none, irregular, prefixes).collect()}
+    assert got == {("deducit", "de-duco", "verb"), ("ducit", "duco", "verb"), ("abest", "ab-sum", "irregular"), ("lupus", "lupus", "noun")}
+
+
+def test_rare_tags_are_pruned(spark):
+    counts = spark.createDataFrame([("w", "a", 90), ("w", "b", 10), ("w", "c", 1), ("x", "a", 3), ("x", "b", 0), ("y", "a", 0), ("y", "b", 0)], "word string, tag string, n long")
+    priors = spark.createDataFrame([("a", 0.6), ("b", 0.3), ("c", 0.1)], "tag string, prob double")
+    got = {(r["word"], r["tag"]): round(r["prob"], 6) for r in S.tag_probabilities(counts, priors, 0.05).collect()}
+    assert got == {("w", "a"): 0.9, ("w", "b"): 0.1, ("x", "a"): round((3 + 2 / 3) / 4, 6), ("x", "b"): round(1 / 3 / 4, 6), ("y", "a"): round(2 / 3, 6), ("y", "b"): round(1 / 3, 6)}
+    assert len(S.tag_probabilities(counts, priors).collect()) == 7

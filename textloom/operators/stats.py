@@ -55,15 +55,24 @@ def word_tags(tagged: DataFrame, listed: DataFrame) -> DataFrame:
     return both.groupBy("word", "tag").agg(F.sum("n").alias("n"))
 
 
-def tag_probabilities(counts: DataFrame, priors: DataFrame) -> DataFrame:
-    """A10: p(tag | word): the relative frequency; Witten-Bell with the prior if some listed tag is unseen; the prior
-    alone if the word is."""
+def tag_probabilities(counts: DataFrame, priors: DataFrame, least_share: float = 0.0) -> DataFrame:
+    """A10: p(tag | word): the prior alone if the word is unseen; without the tags rarer than `least_share` of the most
+    frequent one, where that is one occurrence or more; Witten-Bell with the prior if some listed tag is unseen; else the
+    relative frequency."""
     word = Window.partitionBy("word")
     rows = counts.join(priors.select("tag", F.col("prob").alias("prior")), "tag", "left").withColumn("prior", F.coalesce("prior", F.lit(0.0)))
     rows = rows.withColumns({"total": F.sum("n").over(word), "seen": F.sum(F.when(F.col("n") > 0, 1).otherwise(0)).over(word), "listed": F.count(F.lit(1)).over(word), "mass": F.sum("prior").over(word)})
     prior = F.when(F.col("mass") > 0, F.col("prior") / F.col("mass")).otherwise(1 / F.col("listed"))
     backed = (F.col("n") + F.col("seen") * prior) / (F.col("total") + F.col("seen"))
-    prob = F.when(F.col("total") == 0, prior).when(F.col("seen") < F.col("listed"), backed).otherwise(F.col("n") / F.col("total"))
+    if least_share:
+        least = F.max("n").over(word) * least_share
+        rows = rows.withColumn("least", F.when(least >= 1, least))
+        kept = F.sum(F.when(F.col("n") >= F.col("least"), F.col("n"))).over(word)
+        rows = rows.withColumn("kept", kept).where(F.col("least").isNull() | (F.col("n") >= F.col("least")))
+        pruned = F.when(F.col("least").isNotNull(), F.col("n") / F.col("kept"))
+    else:
+        pruned = F.lit(None).cast("double")
+    prob = F.when(F.col("total") == 0, prior).when(pruned.isNotNull(), pruned).when(F.col("seen") < F.col("listed"), backed).otherwise(F.col("n") / F.col("total"))
     return rows.select("word", "tag", "n", prob.alias("prob"))
 
 
