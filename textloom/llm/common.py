@@ -42,7 +42,7 @@ class Workspace:
 HOT_ROWS, HOT_SHARE = 1000, 256
 
 
-def join_counted(rows: DataFrame, table: DataFrame, key: str, total: int, how: str = "inner", count: str = "n") -> DataFrame:
+def join_counted(rows: DataFrame, table: DataFrame, key: str | list[str], total: int, how: str = "inner", count: str = "n") -> DataFrame:
     """`rows` with the row of `table` for their key. table: one row for each key, `count` says how many of `rows` have it.
 
     how: inner or left. Keys that very many rows share would put all of them in one task. There are at most HOT_SHARE such
@@ -50,7 +50,7 @@ def join_counted(rows: DataFrame, table: DataFrame, key: str, total: int, how: s
     """
     hot = F.col(count) > max(HOT_ROWS, total // HOT_SHARE)
     many, few = F.broadcast(table.where(hot).drop(count)), table.where(~hot).drop(count)
-    return rows.join(many, key).unionByName(rows.join(many.select(key), key, "left_anti").join(few.hint("merge"), key, how))
+    return rows.join(many, key).unionByName(rows.join(many.select(*([key] if isinstance(key, str) else key)), key, "left_anti").join(few.hint("merge"), key, how))
 
 
 def ship(spark: SparkSession) -> None:

@@ -14,7 +14,7 @@ least THRESHOLD; classes are the connected components of the links, named by the
 
 Equal texts are one document in 2 to 4 and come back at the end, so copies cost nothing.
 
-The inverse document frequency is damped to between 1 and 1.2: a large group of near copies raises the frequency of its
+The inverse document frequency is damped to between 1 and 1.5: a large group of near copies raises the frequency of its
 own shingles, and undamped weights would then hang on the few words by which its members differ. Between documents whose
 shingles are about equally frequent the similarity is the plain one.
 
@@ -52,7 +52,7 @@ BLOCK, BLOCK_SHINGLES = 1000, 1_000_000
 #: Bytes of text that a bucket of shingles stands for, and least number of buckets.
 BUCKET_BYTES, LEAST_BUCKETS = 18_000_000, 48
 #: The inverse document frequency lies between 1 and 1 + IDF_RANGE.
-IDF_RANGE = 0.2
+IDF_RANGE = 0.5
 #: Document frequencies are kept as powers of two in steps of an eighth; 0 is a single document.
 STEPS = 8
 #: A shingle's number has so many bits more than the number of shingles has.
@@ -284,16 +284,16 @@ def compare_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
             yield batch_of(LINK, *map(list, zip(*links, strict=True)))
 
 
-def remaining(known: DataFrame, tried: DataFrame, candidates: DataFrame) -> DataFrame:
+def remaining(known: DataFrame, tried: DataFrame, candidates: DataFrame, work: Workspace, total: int) -> DataFrame:
     """The links that centres left out, by comparing all pairs of the bands that still hold several classes.
 
     known: doc_id, band, key, size, root; tried: band, key, doc_id of the centres, which have met all others of their band.
     """
-    rest = known.join(tried.hint("merge"), ["band", "key", "doc_id"], "left_anti")
+    rest = work.save(known.join(tried.hint("merge"), ["band", "key", "doc_id"], "left_anti"), "rest")
     several = rest.groupBy("band", "key").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("held"), F.min("root").alias("low"), F.max("root").alias("high"))
     blocks = F.greatest(F.ceil(F.col("n") / BLOCK), F.ceil(F.col("held") / BLOCK_SHINGLES)).cast("int")
-    several = several.where("low <> high").select("band", "key", blocks.alias("blocks"))
-    rows = rest.join(several.hint("merge"), ["band", "key"]).withColumn("block", F.pmod(F.xxhash64("doc_id", "band"), F.col("blocks")).cast("int"))
+    several = work.save(several.where("low <> high").select("band", "key", blocks.alias("blocks"), "n"), "several")
+    rows = join_counted(rest, several, ["band", "key"], total).withColumn("block", F.pmod(F.xxhash64("doc_id", "band"), F.col("blocks")).cast("int"))
     rows = rows.drop("size").join(candidates.select("doc_id", "keys", "weight", "vector").hint("merge"), "doc_id")
     met = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     met = met.withColumn("one", F.least("block", "other")).withColumn("two", F.greatest("block", "other"))
@@ -312,23 +312,25 @@ def classes(candidates: DataFrame, same: DataFrame, work: Workspace) -> DataFram
             yield batch_of("doc_id long, band int, key long, size long", doc, np.tile(np.arange(BANDS, dtype=np.int32), batch.num_rows), keys, size)
 
     bands = candidates.select("doc_id", "keys", "size").mapInArrow(explode, "doc_id long, band int, key long, size long")
-    bands = bands.groupBy("band", "key", "doc_id").agg(F.max("size").alias("size"))
-    shared = bands.groupBy("band", "key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("band", "key")
-    bands = work.save(bands.join(shared.hint("merge"), ["band", "key"]), "bands")
+    bands = work.save(bands.groupBy("band", "key", "doc_id").agg(F.max("size").alias("size")), "each")
+    band, number = ["band", "key"], F.count(F.lit(1)).alias("n")
+    total = bands.count()
+    # The smallest doc_id of a band, which most bands of a group share. Bands of very many documents are joined by broadcast.
+    first = work.save(bands.groupBy(*band).agg(F.min("doc_id").alias("centre"), number).where("n > 1"), "centres0")
+    bands = work.save(join_counted(bands, first, band, total), "bands")
+    work.drop("each")
     vectors = candidates.select("doc_id", "vector")
 
     def rooted(roots: DataFrame, table: str) -> DataFrame:
         """The bands that hold several classes, with each document's class."""
-        named = bands.join(roots.withColumnRenamed("node", "doc_id").hint("merge"), "doc_id", "left").withColumn("root", F.coalesce("root", "doc_id"))
-        several = named.groupBy("band", "key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("band", "key")
-        return work.save(named.join(several.hint("merge"), ["band", "key"]), table)
+        named = bands.drop("centre").join(roots.withColumnRenamed("node", "doc_id").hint("merge"), "doc_id", "left").withColumn("root", F.coalesce("root", "doc_id"))
+        several = named.groupBy(*band).agg(F.min("root").alias("low"), F.max("root").alias("high"), number).where("low <> high").select(*band, "n")
+        return work.save(join_counted(named, several, band, total), table)
 
     def pairs(rows: DataFrame) -> DataFrame:
         return rows.select(F.col("centre").alias("a"), "doc_id").distinct()
 
-    # The smallest doc_id of a band, which most bands of a group share.
-    first = work.save(bands.groupBy("band", "key").agg(F.min("doc_id").alias("centre")), "centres0")
-    stars = work.save(pairs(bands.join(first.hint("merge"), ["band", "key"]).where("doc_id <> centre")), "stars0")
+    stars = work.save(pairs(bands.where("doc_id <> centre")), "stars0")
     links = work.save(verified(stars, vectors).unionByName(same), "links0")
     roots = components(links, work, "classes0")
     work.drop("stars0")
@@ -336,15 +338,15 @@ def classes(candidates: DataFrame, same: DataFrame, work: Workspace) -> DataFram
     degree = links.select(F.col("a").alias("doc_id")).unionByName(links.select(F.col("b").alias("doc_id"))).groupBy("doc_id").agg(F.count(F.lit(1)).alias("degree"))
     known = rooted(roots, "known1").join(degree.hint("merge"), "doc_id", "left")
     drawn = F.struct(F.coalesce("degree", F.lit(0)).alias("degree"), F.xxhash64("doc_id").alias("draw"), "doc_id", "root")
-    most = known.groupBy("band", "key").agg(F.max(drawn).alias("c"))
-    second = work.save(most.select("band", "key", F.col("c.doc_id").alias("centre"), F.col("c.root").alias("centre_root")), "centres1")
-    stars = work.save(pairs(known.join(second.hint("merge"), ["band", "key"]).where("root <> centre_root")), "stars1")
+    most = known.groupBy(*band).agg(F.max(drawn).alias("c"), number)
+    second = work.save(most.select(*band, F.col("c.doc_id").alias("centre"), F.col("c.root").alias("centre_root"), "n"), "centres1")
+    stars = work.save(pairs(join_counted(known, second, band, total).where("root <> centre_root")), "stars1")
     links = links.unionByName(work.save(verified(stars, vectors), "links1"))
     roots = components(links, work, "classes1")
     work.drop("stars1", "known1", "classes0")
     # What is left: each pair of a band, between documents that were no centre of it.
-    tried = first.unionByName(second.select("band", "key", "centre")).select("band", "key", F.col("centre").alias("doc_id")).distinct()
-    more = work.save(remaining(rooted(roots, "known2"), tried, candidates), "links2")
+    tried = first.select("band", "key", "centre").unionByName(second.select("band", "key", "centre")).select("band", "key", F.col("centre").alias("doc_id")).distinct()
+    more = work.save(remaining(rooted(roots, "known2"), tried, candidates, work, total), "links2")
     if more.isEmpty():
         return roots
     return components(links.unionByName(more), work, "classes2")
