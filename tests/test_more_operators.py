@@ -13,8 +13,9 @@ from textloom.functions.register import FUNCTIONS, register
 from textloom.operators import lexicon as L
 from textloom.operators import morphology as M
 from textloom.operators import stats as S
+from textloom.operators import tagger as G
 from textloom.operators import tokens as T
-from textloom.plans.pipeline import Engine, Options, mark_tokens, scan_tokens
+from textloom.plans.pipeline import Engine, Lemmas, Options, mark_tokens, restore_marks, scan_tokens
 from textloom.sources import readers as R
 from textloom.sources import sinks as K
 
@@ -265,3 +266,34 @@ def test_rare_tags_are_pruned(spark):
     got = {(r["word"], r["tag"]): round(r["prob"], 6) for r in S.tag_probabilities(counts, priors, 0.05).collect()}
     assert got == {("w", "a"): 0.9, ("w", "b"): 0.1, ("x", "a"): round((3 + 2 / 3) / 4, 6), ("x", "b"): round(1 / 3 / 4, 6), ("y", "a"): round(2 / 3, 6), ("y", "b"): round(1 / 3, 6)}
     assert len(S.tag_probabilities(counts, priors).collect()) == 7
+
+
+def test_a_capital_at_the_start_of_a_sentence_says_nothing(spark):
+    rows = [(0, "rosa", "n", "Rosa", "ro_sa"), (1, "rosa", "n", "rosa", "rosa_"), (2, "alia", "a", "alius", "alia")]
+    lexicon = spark.createDataFrame(rows, ENTRY)
+    docs = spark.createDataFrame([(1, "alia Rosa. Rosa alia a. Rosa")], "doc_id long, text string")
+    frequency = spark.createDataFrame([("rosa", 9)], "lemma string, freq long")
+    lemmas = Lemmas(frequency, spark.createDataFrame([], "wordform string, ord long, lemma string, freq long"))
+    want = "alia Rōsa. Rosā alia a. Rōsa"
+    assert restore_marks(docs, lexicon, lemmas=lemmas).first()["text"] == want
+    tokens = mark_tokens(docs, lexicon, lemmas=lemmas).orderBy("idx", "sub_idx").collect()
+    assert "".join(r["marked"] for r in tokens) == want
+    starts = [r["starts"] for r in T.word_tails(docs).orderBy("idx").collect()]
+    assert starts == [True, False, True, False, False, False]
+
+
+def test_a_trained_tagger_chooses_by_context(spark):
+    rows = []
+    for k in range(40):
+        words = [("haec", "p"), ("cana", "n.a")] if k % 2 else [("cum", "r"), ("cana", "n.b")]
+        rows += [(k, i, w, f"{t}.{'.'.join('-' * 7)}" if "." in t else f"{t}.{'.'.join('-' * 8)}") for i, (w, t) in enumerate(words)]
+    model = G.fit(spark.createDataFrame(rows, "key long, pos long, word string, tag string"), threshold=2.0)
+    entries = [(0, "cana", "na-------", "cana", "cana"), (1, "cana", "nb-------", "cana", "cana_"), (2, "haec", "p--------", "hic", "haec"), (3, "cum", "r--------", "cum", "cum")]
+    lexicon = spark.createDataFrame(entries, ENTRY)
+    docs = spark.createDataFrame([(1, "haec cana. cum cana!"), (2, "cum cana")], "doc_id long, text string")
+    got = {r["doc_id"]: r["text"] for r in restore_marks(docs, lexicon, model=model).collect()}
+    assert got == {1: "haec cana. cum canā!", 2: "cum canā"}
+    engine = Engine(spark, model=model)
+    engine.load_lexicon(lexicon)
+    assert engine.mark(["cum cana"])[0]["text"] == "cum canā"
+    engine.close()

@@ -87,14 +87,17 @@ def known_lemma(words: DataFrame, corpus: DataFrame, lemmas: DataFrame) -> DataF
 
 def candidates(queries: DataFrame, lexicon: DataFrame) -> DataFrame:
     """The ranked accented forms of (form, tag, lemma): by case, tag distance, lemma distance, then text; only
-    those of the least case distance, each once. One distinct form needs no ranking."""
+    those of the least case distance, each once. One distinct form needs no ranking. A capital says nothing where the
+    queries have `starts` and it is true: at a sentence's start."""
+    key = [c for c in ("form", "tag", "lemma", "starts") if c in queries.columns]
+    free = W.is_title(F.col("form")) & F.col("starts") if "starts" in key else F.lit(False)
     entries = lexicon.select("wordform", F.col("tag").alias("_tag"), F.col("lemma").alias("_lemma"), "accented").where("accented <> ''")
     joined = queries.join(entries, F.lower(W.to_ascii(F.col("form"))) == F.col("wordform"))
-    case = F.when(W.is_title(F.col("form")) == W.is_title(F.col("_lemma")), 0).otherwise(1)
+    case = F.when((W.is_title(F.col("form")) == W.is_title(F.col("_lemma"))) | free, 0).otherwise(1)
     row = F.struct(case.alias("c"), W.tag_distance(F.col("tag"), F.col("_tag")).alias("t"), F.levenshtein("lemma", "_lemma").alias("l"), F.col("accented").alias("a"))
-    found = joined.groupBy("form", "tag", "lemma").agg(F.array_sort(F.collect_list(row)).alias("r"), F.countDistinct(F.lower("accented")).alias("n"))
+    found = joined.groupBy(*key).agg(F.array_sort(F.collect_list(row)).alias("r"), F.countDistinct(F.lower("accented")).alias("n"))
     best = F.array_distinct(F.transform(F.filter("r", lambda x: x["c"] == F.col("r")[0]["c"]), lambda x: x["a"]))
-    return found.select("form", "tag", "lemma", best.alias("accented"), (F.col("n") > 1).alias("is_ambiguous"))
+    return found.select(*key, best.alias("accented"), (F.col("n") > 1).alias("is_ambiguous"))
 
 
 def best_of_tag(lexicon: DataFrame) -> DataFrame:

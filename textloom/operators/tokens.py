@@ -129,12 +129,16 @@ def sentences(flagged: DataFrame, key: tuple[str, ...] = ("doc_id",)) -> DataFra
 
 
 def word_tails(docs: DataFrame, text: str = "text") -> DataFrame:
-    """The words of a document with what stands between them: doc_id, idx, text (a word, or nothing at the beginning) and
-    tail (what comes before the next word). Joined in order they are the document, with half the rows of its tokens."""
+    """The words of a document with what stands between them: doc_id, idx, text (a word, or nothing at the beginning), tail
+    (what comes before the next word) and starts (W02: whether it starts a sentence: a longer word and . ; : ? or ! come
+    before it). Joined in order they are the document, with half the rows of its tokens."""
     letter = r"\p{L}\p{Nl}\p{No}"
     pairs = [F.regexp_extract_all(text, F.lit(rf"(?s)([{letter}]+|^)([^{letter}]*)"), F.lit(k)) for k in (1, 2)]
-    rows = docs.select("doc_id", F.posexplode(F.arrays_zip(pairs[0].alias("w"), pairs[1].alias("t"))).alias("idx", "x"))
-    return rows.select("doc_id", F.col("idx").cast("long").alias("idx"), F.col("x.w").alias("text"), F.col("x.t").alias("tail")).where("text <> '' OR tail <> ''")
+    arrays = docs.select("doc_id", pairs[0].alias("w"), pairs[1].alias("t"))
+    before = lambda i: (F.length(F.get("w", i - 1)) > 1) & W.is_sentence_ender(F.get("t", i - 1))
+    starts = F.transform("w", lambda x, i: F.coalesce((i == 0) | ((i == 1) & (F.get("w", F.lit(0)) == "")) | before(i), F.lit(False)))
+    rows = arrays.select("doc_id", F.posexplode(F.arrays_zip("w", "t", starts.alias("s"))).alias("idx", "x"))
+    return rows.select("doc_id", F.col("idx").cast("long").alias("idx"), F.col("x.w").alias("text"), F.col("x.t").alias("tail"), F.col("x.s").alias("starts")).where("text <> '' OR tail <> ''")
 
 
 def generic_clitic(word: Column) -> Column:

@@ -631,19 +631,24 @@ _DASHES = "'---------'"
 #: The whole flow in SQL. The tables have no ligatures, so a word and its form without marks are equally long, and marks
 #: go where they stand in the lexicon's form.
 RESTORE_SQL = f"""WITH {CLITIC.replace('FROM documents)', f"FROM (SELECT doc_id, translate(text, '{W.LONG}', '{W.PLAIN}') AS text FROM documents))")}, {ENDINGS_SQL},
-part AS (SELECT doc_id, idx, sub_idx, x[1] AS text, regexp_matches(x[1], '{WORD}') AS word FROM split),
-form AS (SELECT DISTINCT text AS form, lower({ASCII.format('text')}) AS key FROM part WHERE word),
+seen AS (SELECT doc_id, idx, text, regexp_matches(text, '{WORD}') AS word, NOT regexp_matches(text, '{WORD}') AND regexp_matches(text, '[.;:?!]') AS ender FROM tok),
+last AS (SELECT *, last_value(CASE WHEN word THEN idx END IGNORE NULLS) OVER p AS w, last_value(CASE WHEN word THEN length(text) END IGNORE NULLS) OVER p AS n, last_value(CASE WHEN ender THEN idx END IGNORE NULLS) OVER p AS e
+  FROM seen WINDOW p AS (PARTITION BY doc_id ORDER BY idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+numbered AS (SELECT doc_id, idx, word, coalesce(sum((ender AND coalesce(n > 1 AND (e IS NULL OR e < w), false))::INT) OVER (PARTITION BY doc_id ORDER BY idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS sentence FROM last),
+first AS (SELECT doc_id, min(idx) AS idx, true AS begins FROM numbered WHERE word GROUP BY doc_id, sentence),
+part AS (SELECT s.doc_id, s.idx, sub_idx, x[1] AS text, regexp_matches(x[1], '{WORD}') AS word, coalesce(begins AND sub_idx = 0, false) AS starts FROM split s LEFT JOIN first f ON s.doc_id = f.doc_id AND s.idx = f.idx),
+form AS (SELECT DISTINCT text AS form, starts, lower({ASCII.format('text')}) AS key FROM part WHERE word),
 lemmas AS (SELECT wordform, arg_min(lemma, seq) AS lemma FROM lexicon GROUP BY wordform),
-entry AS (SELECT form, accented, lower(accented) AS low, (form = upper(left(form, 1)) || lower(substr(form, 2)) AND form <> lower(form)) <> (l.lemma = upper(left(l.lemma, 1)) || lower(substr(l.lemma, 2)) AND l.lemma <> lower(l.lemma)) AS cd,
+entry AS (SELECT form, starts, accented, lower(accented) AS low, (form = upper(left(form, 1)) || lower(substr(form, 2)) AND form <> lower(form)) <> (l.lemma = upper(left(l.lemma, 1)) || lower(substr(l.lemma, 2)) AND l.lemma <> lower(l.lemma)) AND NOT (starts AND form = upper(left(form, 1)) || lower(substr(form, 2)) AND form <> lower(form)) AS cd,
   {distance_sql(_DASHES, 'l.tag')} AS td, levenshtein(coalesce(m.lemma, '-'), l.lemma) AS ld FROM form JOIN lexicon l ON key = l.wordform LEFT JOIN lemmas m ON key = m.wordform WHERE accented <> ''),
-ranked AS (SELECT form, arg_min(accented, (cd::INT, td, ld, accented)) AS accented, count(DISTINCT low) > 1 AS ambiguous FROM entry GROUP BY form),
+ranked AS (SELECT form, starts, arg_min(accented, (cd::INT, td, ld, accented)) AS accented, count(DISTINCT low) > 1 AS ambiguous FROM entry GROUP BY form, starts),
 guess AS (SELECT form, arg_min(e, priority) AS e FROM (SELECT form, priority, accented_ending AS e FROM form JOIN ending ON tag = {_DASHES} AND ends_with(lower(form), replace(accented_ending, '_', '')) AND length(form) > length(replace(accented_ending, '_', ''))) GROUP BY form),
-target AS (SELECT f.form, r.form IS NULL AS unknown, coalesce(ambiguous, false) AS ambiguous,
-  replace(replace(coalesce(r.accented, left(lower(f.form), length(f.form) - length(replace(g.e, '_', ''))) || g.e, ''), '_^', ''), '^', '') AS t FROM form f LEFT JOIN ranked r USING (form) LEFT JOIN guess g USING (form)),
+target AS (SELECT f.form, f.starts, r.form IS NULL AS unknown, coalesce(ambiguous, false) AS ambiguous,
+  replace(replace(coalesce(r.accented, left(lower(f.form), length(f.form) - length(replace(g.e, '_', ''))) || g.e, ''), '_^', ''), '^', '') AS t FROM form f LEFT JOIN ranked r ON f.form = r.form AND f.starts = r.starts LEFT JOIN guess g ON f.form = g.form),
 marked AS (SELECT *, CASE WHEN contains(t, '_') THEN array_to_string(list_transform(range(1, length(t) + 1), lambda i: CASE WHEN t[i] = '_' THEN '_' ELSE form[i - length(left(t, i)) + length(replace(left(t, i), '_', ''))] END), '') ELSE form END AS m FROM target),
 shown AS (SELECT *, {_unicode_marks('m')} AS u FROM marked)
 SELECT doc_id, string_agg(coalesce(u, text), '' ORDER BY idx, sub_idx) AS text, count(*) FILTER (WHERE word) AS words, count(*) FILTER (WHERE word AND unknown) AS unknown, count(*) FILTER (WHERE word AND ambiguous) AS ambiguous
-FROM part LEFT JOIN shown ON word AND text = form GROUP BY doc_id"""
+FROM part LEFT JOIN shown ON word AND text = form AND part.starts = shown.starts GROUP BY doc_id"""
 
 
 @query(RESTORE_SQL)
