@@ -297,3 +297,25 @@ def test_a_trained_tagger_chooses_by_context(spark):
     engine.load_lexicon(lexicon)
     assert engine.mark(["cum cana"])[0]["text"] == "cum canā"
     engine.close()
+
+
+def test_tools(spark, tmp_path, monkeypatch, capsys):
+    import textloom.session as session
+    from textloom import tools
+
+    monkeypatch.setattr(session, "local_session", lambda *a, **k: spark)
+    path = lambda name: str(tmp_path / name)
+    (tmp_path / "corpus.txt").write_text("the\tDT\nold\tADJ\nman\tN\n\nthe\tDT\nman\tN\nsat\tV\n\n" * 8)
+    (tmp_path / "in.txt").write_text("the\nman\nsat\n\nold\n")
+    assert tools.main(["train", path("corpus.txt"), path("model"), "-c", "1", "-p", "1"]) == 0
+    assert tools.main(["annotate", path("model"), path("in.txt"), path("out")]) == 0
+    lines = [r["value"] for r in spark.read.text(path("out")).collect()]
+    assert [x for x in lines if x] == ["the\tDT", "man\tN", "sat\tV", "old\tADJ"] and lines.count("") == 2
+    assert tools.main(["print", path("model"), path("shown")]) == 0
+    assert {r["value"].split("\t")[0] for r in spark.read.text(path("shown")).collect()} == {"lexicon", "guesser", "tree"}
+    (tmp_path / "words.txt").write_text("# list\nlupus1\nlupa\n")
+    (tmp_path / "stems.txt").write_text(":le:lupus\n:no:lup us_i\n")
+    (tmp_path / "us_i.end").write_text("us us_i masc nom sg\n")
+    assert tools.main(["analyse", path("words.txt"), path("stems.txt"), path("us_i.end"), path("analysed")]) == 0
+    assert [r["value"] for r in spark.read.text(path("analysed")).collect()] == ["lupus\tlupus\tmasc nom sg\tno\tlup\tus"]
+    assert "words: 2" in capsys.readouterr().err
