@@ -35,6 +35,11 @@ def test_functions(spark):
     assert values(spark, W.code_name, "ADV", "Zed") == ["adverb", "zed"]
 
 
+def test_word_classes(spark):
+    steps = {(0, "a"): 0, (0, "1"): 1, (1, "1"): 1}
+    assert values(spark, lambda x: W.word_class(x, steps, {0: 3, 1: 2}), "aa", "1", "a11", "1a", "b", "") == [3, 2, 2, 0, 0, 3]
+
+
 def test_functions_under_sql_names(spark):
     names = register(spark)
     df = spark.createDataFrame([("Tēla_v Jus qu'ē &<",), ("amare",), ("",), (None,)], "x string")

@@ -341,3 +341,12 @@ def code_name(x: Column) -> Column:
     """the name of a part-of-speech code; other codes in lower case."""
     names = F.create_map(*[F.lit(v) for kv in CODE_NAMES.items() for v in kv])
     return F.coalesce(F.element_at(names, x), F.lower(x))
+
+
+def word_class(x: Column, steps: dict[tuple[int, str], int], classes: dict[int, int]) -> Column:
+    """Q13: the class of a word by an automaton over its letters, from state 0; 0 where it stops within the word or ends in a
+    state without a class. steps: (state, letter) to the next state."""
+    moves = F.create_map(*[v for (state, letter), to in steps.items() for v in (F.lit(f"{state}:{letter}"), F.lit(to))])
+    named = F.create_map(*[F.lit(v) for kv in classes.items() for v in kv])
+    state = F.aggregate(F.filter(F.split(x, ""), lambda c: c != ""), F.lit(0), lambda s, c: F.coalesce(F.element_at(moves, F.concat_ws(":", s.cast("string"), c)), F.lit(-1)))
+    return F.coalesce(F.element_at(named, state), F.lit(0))
