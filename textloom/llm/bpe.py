@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import ship, text_or_empty
+from .common import returns_memory, ship, text_or_empty
 
 #: The tokenizer's file among the public ones; a path with a slash is taken as it is.
 VOCABULARY = "word_bpe_49k.json"
@@ -231,6 +231,12 @@ def coder(name: str) -> ChunkCoder:
     return ChunkCoder(load(name).encode_chunks)
 
 
+def forget(name: str) -> None:
+    """Forgets chunks and words at the end of a task, so that other stages have the worker's memory."""
+    coder(name).clear()
+    load(name).words.clear()
+
+
 @lru_cache(2)
 def _written(name: str) -> tuple[pa.Array, pa.Array]:
     """Of each id: its decimal digits and its token."""
@@ -266,8 +272,9 @@ def encode_column(docs: DataFrame, out: str = "ids", keep: list[str] | None = No
             offsets = pa.array(np.append(0, np.cumsum(lengths)).astype(np.int32))
             columns = [batch.column(i) for i in range(len(kept))]
             yield pa.RecordBatch.from_arrays([*columns, pa.ListArray.from_arrays(offsets, pa.array(ids.astype(np.int32)))], [*kept, out])
+        forget(name)
 
-    return docs.select(*[F.col(f"`{c}`") for c in kept], text_or_empty().alias("_tl_text")).mapInArrow(run, schema)
+    return docs.select(*[F.col(f"`{c}`") for c in kept], text_or_empty().alias("_tl_text")).mapInArrow(returns_memory(run), schema)
 
 
 def round_trip(docs: DataFrame, name: str = VOCABULARY) -> DataFrame:
@@ -280,5 +287,6 @@ def round_trip(docs: DataFrame, name: str = VOCABULARY) -> DataFrame:
             lengths, ids = coder(name).encode_texts(batch.column("text"))
             found = [batch.column("doc_id"), pa.array(lengths), pa.array(_sha256(_joined(digits, ids, lengths))), pa.array(_sha256(decode(ids, lengths, name)))]
             yield pa.RecordBatch.from_arrays(found, ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+        forget(name)
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text")).mapInArrow(run, RESULT)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text")).mapInArrow(returns_memory(run), RESULT)

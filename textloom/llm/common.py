@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import ctypes
 import io
 import os
 import tempfile
 import zipfile
+from collections.abc import Callable, Iterator
 from pathlib import Path
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -53,6 +56,22 @@ def join_counted(rows: DataFrame, table: DataFrame, key: str | list[str], total:
     return rows.join(many, key).unionByName(rows.join(many.select(*([key] if isinstance(key, str) else key)), key, "left_anti").join(few.hint("merge"), key, how))
 
 
+def returns_memory(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """A task's function that gives free memory back to the system at its end: Python workers live on and serve other
+    stages, next to others on their executor."""
+
+    def wrapped(batches: Iterator) -> Iterator:
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+            if trim is not None:
+                trim(0)
+
+    return wrapped
+
+
 def ship(spark: SparkSession) -> None:
     """Sends this package to the Python workers, once for each application."""
     sc = spark.sparkContext

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Workspace
+from .common import Workspace, returns_memory
 from .packs import batch_of, squeeze, unsqueeze
 
 #: Keys of a pack that a row should hold; packs that are put together in the first of two steps, and coarse ranges.
@@ -111,7 +111,7 @@ def exchange(packs: DataFrame, send: Callable[[Iterator[pa.RecordBatch]], Iterat
             if rows := cut(sender, keys, values, edges):
                 yield batch_of(SENT, *map(list, zip(*rows, strict=True)))
 
-    sent = packs.mapInArrow(first, SENT)
+    sent = packs.mapInArrow(returns_memory(first), SENT)
     if not fine:
         answers = work.save(ask(sent, combine, answer), "answers")
         return answers.groupBy("sender").agg(F.collect_list(F.struct("bucket", "codes")).alias("codes"))

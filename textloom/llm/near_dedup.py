@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import chunks_of, ragged
-from .common import Workspace, join_counted, ship
+from .common import Workspace, join_counted, returns_memory, ship
 from .components import components
 from .exchange import add, codes_of, exchange
 from .packs import NO_ID, PACK_BYTES, Pack, batch_of, digest_table, later_copies, make_packs, packs_in, squeeze, unsqueeze
@@ -48,7 +48,7 @@ SAMPLES = BANDS * ROWS
 #: Documents of a centre that are compared in one place, and places over which the search for large centres is spread.
 PART, SALTS = 1000, 64
 #: Documents and shingles of a block, when all pairs of a band are compared.
-BLOCK, BLOCK_SHINGLES = 1000, 1_000_000
+BLOCK, BLOCK_SHINGLES = 1000, 500_000
 #: Bytes of text that a bucket of shingles stands for, and least number of buckets.
 BUCKET_BYTES, LEAST_BUCKETS = 18_000_000, 48
 #: The inverse document frequency lies between 1 and 1 + IDF_RANGE.
@@ -211,7 +211,7 @@ def verified(stars: DataFrame, vectors: DataFrame) -> DataFrame:
     parts = sizes.select("a", F.explode(F.sequence(F.lit(0), F.ceil(F.col("n") / PART).cast("int") - 1)).alias("part"), F.col("a").alias("doc_id"))
     met = dealt.unionByName(parts).join(vectors.hint("merge"), "doc_id")
     ordered = met.repartition("a", "part").sortWithinPartitions("a", "part", F.col("doc_id") != F.col("a"))
-    return ordered.select("a", "part", "doc_id", "vector").mapInArrow(compare_stars, LINK)
+    return ordered.select("a", "part", "doc_id", "vector").mapInArrow(returns_memory(compare_stars), LINK)
 
 
 def groups_of(batches: Iterator[pa.RecordBatch], names: list[str]) -> Iterator[pa.Table]:
@@ -299,7 +299,7 @@ def remaining(known: DataFrame, tried: DataFrame, candidates: DataFrame, work: W
     met = met.withColumn("one", F.least("block", "other")).withColumn("two", F.greatest("block", "other"))
     group = ["band", "key", "one", "two"]
     met = met.select(*group, "block", "doc_id", "root", "weight", "keys", "vector")
-    return met.repartition(*group).sortWithinPartitions(*group).mapInArrow(compare_blocks, LINK)
+    return met.repartition(*group).sortWithinPartitions(*group).mapInArrow(returns_memory(compare_blocks), LINK)
 
 
 def classes(candidates: DataFrame, same: DataFrame, work: Workspace) -> DataFrame:
@@ -382,7 +382,7 @@ def near_dedup(docs: DataFrame) -> DataFrame:
             if rows:
                 yield batch_of(CANDIDATE, *map(list, zip(*rows, strict=True)))
 
-    chosen = work.save(full.mapInArrow(choose, CANDIDATE), "candidates")
+    chosen = work.save(full.mapInArrow(returns_memory(choose), CANDIDATE), "candidates")
     work.drop("answers", "packs")
     first = firsts.select("digest", F.col("first.doc_id").alias("least"), "n")
     least = join_counted(digests.select("digest", "doc_id"), first, "digest", documents, "left")

@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import slices
-from .common import Workspace, join_counted, text_or_empty
+from .common import Workspace, join_counted, returns_memory, text_or_empty
 
 #: Bytes of text in a pack; a longer document is a pack by itself.
 PACK_BYTES = 3_000_000
@@ -91,7 +91,7 @@ def make_packs(docs: DataFrame, work: Workspace, table: str = "packs") -> DataFr
             yield out()
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
-    return work.save(rows.mapInArrow(run, PACK), table)
+    return work.save(rows.mapInArrow(returns_memory(run), PACK), table)
 
 
 def batch_of(schema: str, *columns: list) -> pa.RecordBatch:

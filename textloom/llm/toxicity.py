@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import ChunkCoder, chunks_of, slices
-from .common import Workspace, ship, text_or_empty
+from .common import Workspace, returns_memory, ship, text_or_empty
 
 #: The sample that the model is fitted on: documents of each class, and characters of each.
 MOST_DOCS, MOST_CHARS = 2_000, 3_000_000
@@ -344,7 +344,7 @@ def score(docs: DataFrame, model: Model | None) -> DataFrame:
             spans = [pa.array(x, pa.list_(pa.int32())) for x in (starts, stops)]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("held_out"), pa.array(value), pa.array((value >= 0.5).astype(np.int32)), *spans], ["doc_id", "held_out", "score", "predicted", "span_starts", "span_ends"])
 
-    return rows.mapInArrow(run, RESULT)
+    return rows.mapInArrow(returns_memory(run), RESULT)
 
 
 def without_toxic(docs: DataFrame, model: Model | None) -> DataFrame:
@@ -361,7 +361,7 @@ def without_toxic(docs: DataFrame, model: Model | None) -> DataFrame:
             clean = batch.filter(pa.array(scorer.model.score(mass, top) < 0.5))
             yield pa.RecordBatch.from_arrays([clean.column(i) for i in range(len(names))], names)
 
-    return docs.select(*[F.col(f"`{c}`") for c in names], text_or_empty().alias("_tl_text")).mapInArrow(run, docs.schema)
+    return docs.select(*[F.col(f"`{c}`") for c in names], text_or_empty().alias("_tl_text")).mapInArrow(returns_memory(run), docs.schema)
 
 
 def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
