@@ -32,7 +32,7 @@ from .common import returns_memory, ship, text_or_empty
 #: The tokenizer's file among the public ones; a path with a slash is taken as it is.
 VOCABULARY = "word_bpe_49k.json"
 #: Bytes of text that are worked on together, and chunks that a worker remembers.
-SLICE_BYTES, CACHE_CHUNKS = 4_000_000, 250_000
+SLICE_BYTES, CACHE_CHUNKS = 2_000_000, 250_000
 RESULT = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 _NONE = np.iinfo(np.int64).max
 
