@@ -199,6 +199,25 @@ def test_query_scans_long_verses(spark, tmp_path):
     assert costs and got[0]["penalty"] == got[2]["penalty"] == min(costs) and len(got[0]["forms"]) == len(long)
 
 
+def test_parts_are_made_once_for_a_token(spark):
+    text = "Nec necnon NECNON attamen arma virumque que aque neQUE Estne tuve ve st est plusquam seseque"
+    lexicon = spark.createDataFrame([("virumque",), ("neque",), ("plusquam",)], "wordform string")
+    df = T.split_clitics(T.tokenise(spark.createDataFrame([(1, text)], "doc_id long, text string")), lexicon)
+    # Spark infers a filter on the number of parts from a plain explode, and would make the parts twice.
+    assert "(size(" not in df._jdf.queryExecution().optimizedPlan().toString()
+    got = [(r["text"], r["kind"][0]) for r in df.orderBy("idx", "sub_idx").collect() if r["text"] != " "]
+    joined = " ".join(f"{t}/{k}" for t, k in got)
+    assert joined == "Ne/b c/c ne/b c/c non/w NE/b C/c NON/w at/w tamen/w arma/w virumque/w que/w a/b que/c ne/b QUE/c Est/b ne/c tu/b ve/c ve/w st/w e/b st/c plusquam/w sese/b que/c"
+
+
+def test_query_of_tagger_stream_moves_documents_not_tokens(spark):
+    from textloom.plans import registry
+
+    plan = registry.queries()["p21_tagger_stream"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    window, cut = plan.index("Window"), plan.index("posexplode(regexp_extract_all")
+    assert "Exchange hashpartitioning(doc_id" not in plan[window:cut] and "Exchange hashpartitioning(doc_id" in plan[cut:]
+
+
 def test_viterbi_against_all_paths():
     rng = random.Random(4)
     tags = ["N.sg", "N.pl", "V"]
