@@ -218,6 +218,21 @@ def test_query_of_tagger_stream_moves_documents_not_tokens(spark):
     assert "Exchange hashpartitioning(doc_id" not in plan[window:cut] and "Exchange hashpartitioning(doc_id" in plan[cut:]
 
 
+def test_query_of_best_lemmas_takes_the_first_of_equally_frequent_ones(spark, tmp_path):
+    from textloom.plans import registry
+
+    # Each pair of words has one form without diaeresis and two lemmas; the later of a pair comes first in the file.
+    pairs = [(a + k, b + k) for k in "bcdfghklmnpr" for a, b in (("äa", "aa"), ("eo", "ëo"))]
+    rows = [(2, 0, "user", " ".join(y for _, y in pairs)), (1, 0, "user", " ".join(x for x, _ in pairs))]
+    schema = "conv_id long, turn long, role string, text string"
+    spark.createDataFrame(rows, schema).coalesce(1).write.parquet(f"{tmp_path}/conversations.parquet")
+    spark.createDataFrame([(1, rows[0][3])], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, "zz")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    got = {r["form"]: r["lemma"] for r in registry.queries()["j04_best_lemmas"](spark, str(tmp_path)).collect()}
+    plain = str.maketrans("äë", "ae")
+    assert got == {x.translate(plain): x[:3] for x, _ in pairs}
+
+
 def test_viterbi_against_all_paths():
     rng = random.Random(4)
     tags = ["N.sg", "N.pl", "V"]
